@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GRAM_BASE, GRAM_BASE_2, byte_table, chunks, grams, ranged, sums, text_key, words_of
+from .common import GRAM_BASE, GRAM_BASE_2, byte_table, chunks, cut, grams, ranged, sums, text_key, words_of
 
 #: Words of an anchor.
 ANCHOR = 6
@@ -83,7 +83,7 @@ def duplicate_spans(docs: DataFrame, window: int = 35, text: str = "text") -> Da
     anchors = found.groupBy("v").agg(F.count("*").alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi"), F.max("again").alias("again"))
     loose = (F.col("lo") != F.col("hi")) | F.col("again")
     anchors = anchors.where((F.col("n") > 1) | loose).select("v", loose.alias("loose"))
-    met = found.join(anchors, "v")
+    met = cut(found.join(anchors, "v").select("v", "s", "t1", "t2", "at", "size", "loose"))
     equal = met.groupBy("v", "s").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "at", "size")).alias("src"), F.first("loose").alias("loose"))
     whole = met.join(equal.where("n > 1").select("v", "s", "src"), ["v", "s"])
     whole = whole.groupBy("t1", "t2").agg(F.collect_set(F.struct("at", "size", F.col("src.t1").alias("src1"), F.col("src.t2").alias("src2"), F.col("src.at").alias("src_at"))).alias("whole"))
