@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
 from .ranking import finite
 
 
@@ -74,13 +75,15 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def gene_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(gene, component), the least gene that can be reached; each round takes the least of the neighbours, then of their own."""
-    both = directed(edges.withColumn("__one", F.lit(1)), "__one").select("a", "b").distinct().persist()
+    both = directed(edges.withColumn("__one", F.lit(1)), "__one").select("a", "b").distinct()
+    both = stored(both)
     now = both.groupBy(F.col("a").alias("gene")).agg(F.min("b").alias("m")).select("gene", F.least("gene", "m").alias("component"))
     for _ in range(rounds):
         near = both.join(now.select(F.col("gene").alias("b"), "component"), "b").groupBy(F.col("a").alias("gene")).agg(F.min("component").alias("m"))
         step = now.join(near, "gene").select("gene", F.col("component").alias("was"), F.least("component", "m").alias("c"))
         up = step.select(F.col("gene").alias("c"), F.col("c").alias("cc"))
-        step = step.join(up, "c").select("gene", "was", F.least("c", "cc").alias("component")).persist()
+        step = step.join(up, "c").select("gene", "was", F.least("c", "cc").alias("component"))
+        step = stored(step)
         done = not step.where("component <> was").limit(1).count()
         now = step.select("gene", "component")
         if done:
@@ -154,7 +157,7 @@ def in_one_task(rows: DataFrame, by: list[str], fn: Callable[[pd.DataFrame], pd.
     """fn on each group of a gene graph's rows; without a key the whole graph, whose size is that of the panel, is one group."""
     if by:
         return rows.groupBy(*by).applyInPandas(fn, schema)
-    return rows.groupBy(F.lit(0).alias("__all")).applyInPandas(lambda pdf: fn(pdf.drop(columns="__all")), schema)
+    return rows.groupBy(F.lit(0).alias("__all")).applyInPandas(lambda pdf: fn(pdf.drop(columns="__all", errors="ignore")), schema)
 
 
 def adjacency(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray]:
@@ -236,7 +239,7 @@ def restarts(edges: DataFrame, n: int, resolution: float = 1.0, objective: str =
 
 def modules_of(edges: DataFrame, n: int = 20, threshold: float = 0.95, resolution: float = 1.0, objective: str = "modularity") -> DataFrame:
     """(gene, module): communities of the consensus graph of n restarts; the first restart's if the consensus is empty."""
-    runs = restarts(edges, n, resolution, objective).persist()
+    runs = stored(restarts(edges, n, resolution, objective))
     agreed = consensus(runs, threshold).select("gene1", "gene2", "weight")
     if not agreed.limit(1).count():
         return runs.where("run = 1").select("gene", F.col("label").alias("module"))
@@ -367,16 +370,17 @@ def page_ranks(edges: DataFrame, start: DataFrame, damping: float = 0.85, steps:
     soft = start.crossJoin(F.broadcast(cut)).select("gene", F.exp(F.least(F.greatest("score", F.col("q")[0]), F.col("q")[1])).alias("e"))
     nodes = directed(edges).select(F.col("a").alias("gene")).distinct().join(soft, "gene", "left").withColumn("e", F.coalesce("e", F.lit(0.0)))
     total = nodes.agg(F.sum("e").alias("t"), F.count("*").alias("n"))
-    nodes = nodes.crossJoin(F.broadcast(total)).select("gene", F.when(F.col("t") > 0, F.col("e") / F.col("t")).otherwise(1.0 / F.col("n")).alias("p")).persist()
+    nodes = nodes.crossJoin(F.broadcast(total)).select("gene", F.when(F.col("t") > 0, F.col("e") / F.col("t")).otherwise(1.0 / F.col("n")).alias("p"))
+    nodes = stored(nodes)
     out = directed(edges)
-    flow = out.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("a"))).persist()
+    flow = out.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("a")))
+    flow = stored(flow)
     rank = nodes.withColumnRenamed("p", "rank")
     for step in range(steps):
         into = flow.join(rank.withColumnRenamed("gene", "a"), "a").groupBy(F.col("b").alias("gene")).agg(F.sum(F.col("w") * F.col("rank")).alias("r"))
         rank = nodes.join(into, "gene", "left").select("gene", (F.col("p") * (1 - damping) + damping * F.coalesce("r", F.lit(0.0))).alias("rank"))
         if step % 5 == 4:  # plans don't grow with the steps
-            rank = rank.persist()
-            rank.count()
+            rank = stored(rank)
     return rank
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 EPS = 1e-6
 
 
@@ -66,10 +68,12 @@ def segmented_tiles(counts: DataFrame, tagged: DataFrame, least: int) -> DataFra
 
 
 def layer(points: DataFrame, length: float, min_genes: int = 1, flipped: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(tile table, counts) of one length: quality first, then counts and tiles that both have."""
-    box = bounds(points)
-    counts = rich_tiles(bin_points(points, [length], flipped, box=box), min_genes)
+    """(tile table, counts) of one length: quality first, then counts and tiles that both have. Both are stored, as every verb reads
+    them several times and they are much smaller than the points."""
+    box = stored(bounds(points))
+    counts = stored(rich_tiles(bin_points(points, [length], flipped, box=box), min_genes))
     info = tiles(box, length, flipped).join(counts.select("grid_id").distinct(), "grid_id", "left_semi")
+    info = stored(info)
     return info, counts.join(info.select("grid_id"), "grid_id", "left_semi")
 
 

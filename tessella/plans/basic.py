@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import curve, grids, inference, pairs, points, ranking, weights
 from ..sources import readers
 from ..sources import tables as T
+from ..storage import stored
 from .registry import LENGTH, good, layer, md5_int, md5_sql, query, r, rounded, with_, xz
 
 S = SparkSession
@@ -158,7 +159,7 @@ def modules(spark: S, sf: str) -> DataFrame:
 
 def lee(spark: S, sf: str) -> DataFrame:
     info, z = xz(spark, sf)
-    return pairs.lees_l(z, weights.weights(info), info)
+    return stored(pairs.lees_l(z, stored(weights.weights(info)), info))
 
 
 def pear(spark: S, sf: str) -> DataFrame:

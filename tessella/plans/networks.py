@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import curve, graphs, grids, metadata, pairs, ranking, views, weights
 from ..sources import tables as T
+from ..storage import stored
 from ..streaming import binning
 from .basic import BAND_SQL, BH_SQL, CURVE_SQL, P_SQL, band, idelta, lee, modules, pear, with_p
 from .registry import good, layer, md5_int, md5_sql, query, r, rounded, with_, xz
@@ -16,7 +17,7 @@ S = SparkSession
 
 
 def graph(spark: S, sf: str) -> DataFrame:
-    return graphs.log_weights(graphs.threshold_graph(lee(spark, sf))).select("gene1", "gene2", "L", "weight")
+    return stored(graphs.log_weights(graphs.threshold_graph(lee(spark, sf))).select("gene1", "gene2", "L", "weight"))
 
 
 def runs(spark: S, sf: str) -> DataFrame:
@@ -153,13 +154,13 @@ def paper(spark: S, sf: str) -> DataFrame:
 @query("GRF15_clustered_genes")
 def clustered(spark: S, sf: str) -> DataFrame:
     g = graph(spark, sf)
-    return graphs.pruned(graphs.modules_of(g, 8, 0.5).persist(), g)
+    return graphs.pruned(graphs.modules_of(g, 8, 0.5), g)
 
 
 BOTH = "both_ AS (SELECT gene1 AS a, gene2 AS b FROM graph WHERE weight > 0.01 UNION SELECT gene2, gene1 FROM graph WHERE weight > 0.01)"
 
 
-@query("GRF16_simple_paths", with_("graph", "SELECT array_to_string(p, '>') AS path, len(p) - 1 AS length FROM walk WHERE len(p) > 1 ORDER BY length, path LIMIT 300", BOTH, "walk AS (SELECT ['Brand#11'] AS p UNION ALL SELECT list_append(p, b) FROM walk JOIN both_ ON a = p[-1] WHERE NOT list_contains(p, b) AND len(p) <= 3)"))
+@query("GRF16_simple_paths", with_("graph", "SELECT array_to_string(p, '>') AS path, (len(p) - 1)::INT AS length FROM walk WHERE len(p) > 1 ORDER BY length, path LIMIT 300", BOTH, "walk AS (SELECT ['Brand#11'] AS p UNION ALL SELECT list_append(p, b) FROM walk JOIN both_ ON a = p[-1] WHERE NOT list_contains(p, b) AND len(p) <= 3)"))
 def paths(spark: S, sf: str) -> DataFrame:
     return graphs.simple_paths(graph(spark, sf).where("weight > 0.01"), "Brand#11", 3, 300)
 
@@ -177,7 +178,7 @@ def degree(spark: S, sf: str) -> DataFrame:
 @query("GRF17_page_rank")
 def page_rank(spark: S, sf: str) -> DataFrame:
     start = idelta(spark, sf).where("idelta is not null").select("gene", F.col("idelta").alias("score"))
-    g = graph(spark, sf).persist()
+    g = graph(spark, sf)
     return rounded(graphs.reweighted(g, graphs.page_ranks(g, start)))
 
 
@@ -314,14 +315,14 @@ def l_vs_r(spark: S, sf: str) -> DataFrame:
 
 @query("PLT02_dendrogram")
 def dendrogram(spark: S, sf: str) -> DataFrame:
-    tree = graphs.spanning_forest(graph(spark, sf)).persist()
+    tree = stored(graphs.spanning_forest(graph(spark, sf)))
     return rounded(tree.join(graphs.leaf_order(graphs.tree_distances(tree)).withColumnRenamed("gene", "gene1"), "gene1"))
 
 
 @query("PLT03_dendrogram_network")
 def dendrogram_network(spark: S, sf: str) -> DataFrame:
-    g = graph(spark, sf).persist()
-    tree = graphs.spanning_forest(g).persist()
+    g = graph(spark, sf)
+    tree = stored(graphs.spanning_forest(g))
     return rounded(tree.withColumn("kind", F.lit("tree")).union(graphs.extra_edges(g, tree, 5).withColumn("kind", F.lit("extra"))))
 
 
@@ -332,7 +333,7 @@ def dendrogram_multi(spark: S, sf: str) -> DataFrame:
 
 @query("PLT05_dendrogram_branches")
 def dendrogram_branches(spark: S, sf: str) -> DataFrame:
-    tree = graphs.spanning_forest(graph(spark, sf)).persist()
+    tree = stored(graphs.spanning_forest(graph(spark, sf)))
     return rounded(tree.join(graphs.branches(tree).withColumnRenamed("gene", "gene1"), "gene1", "left"))
 
 

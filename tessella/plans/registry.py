@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import grids, points
 from ..sources.tables import molecules
+from ..storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,7 +50,7 @@ def layer(spark: SparkSession, sf: str, panel: str = "brand") -> tuple[DataFrame
 def xz(spark: SparkSession, sf: str, panel: str = "brand") -> tuple[DataFrame, DataFrame]:
     """(tile table, normalised values)."""
     info, counts = layer(spark, sf, panel)
-    return info, grids.normalise(counts, info)
+    return info, stored(grids.normalise(counts, info))
 
 
 def md5_int(*parts: Column | str) -> Column:
@@ -85,7 +86,7 @@ CTE = {
     "delta": (["lee", "pear"], "SELECT gene1, gene2, L, r, L - r AS Delta FROM lee JOIN pear USING (gene1, gene2)"),
     "cell": (["mol"], "SELECT cell, gene, count(*)::DOUBLE AS c FROM mol GROUP BY cell, gene"),
     "ex": ([], "SELECT vec_id AS sample, printf('f%02d', i - 1) AS gene, embedding[i]::DOUBLE AS v FROM embeddings, unnest(range(1, len(embedding) + 1)) AS t(i)"),
-    "ring": ([], "SELECT c_custkey AS cell_id, c_acctbal / 10.0::DOUBLE + 100.0::DOUBLE AS x, c_nationkey * 40.0::DOUBLE + 10.0::DOUBLE AS y FROM customer"),
+    "ring": ([], "SELECT c_custkey AS cell_id, c_acctbal / 10.0::DOUBLE + 100.0::DOUBLE AS x, c_nationkey * 40.0::DOUBLE + 21.0::DOUBLE AS y FROM customer"),
     "runs": ([], f"SELECT gene, run::INT AS run, CASE WHEN {md5_sql('run', 'gene')} % 10 < 2 THEN {md5_sql('gene', 'run')} % 4 ELSE {md5_sql('gene')} % 4 END AS label FROM (SELECT DISTINCT p_brand AS gene FROM part), range(1, 9) AS t(run)"),
     "cons": (["runs"], "SELECT a.gene AS gene1, b.gene AS gene2, count(*) AS n FROM runs a JOIN runs b ON a.run = b.run AND a.label = b.label AND a.gene < b.gene GROUP BY a.gene, b.gene"),
     "graph": (["lee"], "SELECT gene1, gene2, L, ln(1 + L) AS weight FROM lee WHERE L > 0"),

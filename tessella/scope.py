@@ -1,4 +1,5 @@
-"""A scope: named tables of one tissue, and the verbs that add to them. Everything is lazy until a table is read."""
+"""A scope: named tables of one tissue, and the verbs that add to them. What verbs add is stored in the shared
+folder, so that plans stay short."""
 
 from __future__ import annotations
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators import grids, inference, pairs, ranking, weights
 from .operators import graphs as graph_ops
+from .storage import stored
 
 
 @dataclass(frozen=True)
@@ -46,14 +48,14 @@ class Scope:
 
     def normalise(self, grid: str, layer: str = "Xz", keep_zero: bool = False) -> Scope:
         g = self.grids[grid]
-        return self.with_grid(grid, layers=g.layers | {layer: grids.normalise(g.counts, g.info, keep_zero)})
+        return self.with_grid(grid, layers=g.layers | {layer: stored(grids.normalise(g.counts, g.info, keep_zero))})
 
     def normalise_cells(self, scale: float = 1e4) -> Scope:
         return replace(self, cells=self.cells | {"logCPM": grids.log_cpm(self.cells["counts"], scale)})
 
     def compute_weights(self, grid: str, style: str = "B", topology: str | None = None, **options) -> Scope:
         g = self.grids[grid]
-        return self.with_grid(grid, weights=weights.weights(g.info, style, weights.choose_topology(g.info, topology, self.metadata.get("platform")), **options))
+        return self.with_grid(grid, weights=stored(weights.weights(g.info, style, weights.choose_topology(g.info, topology, self.metadata.get("platform")), **options)))
 
     def compute_l(self, grid: str, layer: str = "Xz", perms: int = 0, block_side: int | None = None, dense: bool = False) -> Scope:
         g = self.grids[grid]
@@ -64,12 +66,12 @@ class Scope:
             drawn = inference.permutations(info, perms, None if block_side is None else "block")
             out = inference.permutation_test_dense(x, g.weights, out, perms) if dense and block_side is None else inference.permutation_test(x, g.weights, g.info, out, drawn, perms)
             out = inference.adjusted(out, "p", "BH", out="fdr")
-        return replace(self, stats=self.stats | {f"L_{layer}": out})
+        return replace(self, stats=self.stats | {f"L_{layer}": stored(out)})
 
     def compute_correlation(self, grid: str | None = None, layer: str = "Xz", method: str = "pearson") -> Scope:
         x, unit, value = (self.cells["logCPM"], "cell", "value") if grid is None else (self.grids[grid].layers[layer], "grid_id", "z")
         fn = {"pearson": pairs.pearson, "spearman": pairs.spearman}[method]
-        return replace(self, stats=self.stats | {"r": fn(x, unit, value)})
+        return replace(self, stats=self.stats | {"r": stored(fn(x, unit, value))})
 
     def compute_density(self, grid: str, name: str, genes: Column, mode: str = "none") -> Scope:
         g = self.grids[grid]
@@ -85,8 +87,8 @@ class Scope:
         return replace(self, stats=self.stats | {"mh": pairs.morisita_horn(value, graph_ops.threshold_graph(self.stats[stats]), chao)})
 
     def cluster_genes(self, stats: str = "L_Xz", restarts: int = 20, threshold: float = 0.95, least: int = 2, resolution: float = 1.0) -> Scope:
-        edges = graph_ops.log_weights(graph_ops.threshold_graph(self.stats[stats]))
-        modules = graph_ops.modules_of(edges, restarts, threshold, resolution)
+        edges = stored(graph_ops.log_weights(graph_ops.threshold_graph(self.stats[stats])))
+        modules = stored(graph_ops.modules_of(edges, restarts, threshold, resolution))
         return replace(self, stats=self.stats | {"modules": graph_ops.pruned(modules, edges, least)})
 
     def top_l_vs_r(self, stats: str = "L_Xz", n: int = 10, direction: str = "largest", clamp: str = "none") -> DataFrame:

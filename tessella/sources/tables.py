@@ -34,7 +34,7 @@ def expression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cell_id, fov, x_centroid, y_centroid), one a customer."""
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cell_id"), (F.col("c_custkey") % 4).cast("int").alias("fov"), (F.col("c_acctbal") / 10.0 + 100.0).alias("x_centroid"), (F.col("c_nationkey") * 40.0 + 10.0).alias("y_centroid"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cell_id"), (F.col("c_custkey") % 4).cast("int").alias("fov"), (F.col("c_acctbal") / 10.0 + 100.0).alias("x_centroid"), (F.col("c_nationkey") * 40.0 + 21.0).alias("y_centroid"))
 
 
 def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,8 @@ def test_orders(spark):
     base = weights.neighbours(line, "queen").select("i", "j")
     assert degree(weights.higher_order(base, 2))["g3_1"] == 4
     edges, order = weights.expanded(line, "queen", 3.0)
-    assert order == 3 and edges.count() >= 18
+    assert order == 2 and edges.count() == 18
+    assert weights.expanded(line, "queen", 99.0, 3)[1] == 3
 
 
 def test_topologies(spark):
