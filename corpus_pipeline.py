@@ -34,8 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of passages of 35 words or more that stand elsewhere too. What is left may be empty."""
-    out = substring_dedup(docs, 35)
-    text = F.when(out["text"].isNull(), F.lit(None)).otherwise(out["kept"])
+    out = substring_dedup(docs.withColumn("__none", F.col("text").isNull()), 35)  # so that the old text isn't shuffled beside the new one
+    text = F.when(out["__none"], F.lit(None)).otherwise(out["kept"])
     changed = {"text": text, "n_chars": F.when(out["n_removed"] > 0, F.length("kept").cast("long")).otherwise(out["n_chars"])}
     return out.select(*[changed[c].alias(c) if c in changed else out[c] for c in docs.columns])
 
