@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, kept
+from .common import chunks, kept, small_batches
 
 #: Characters of a pre-token up to which its encoding is remembered, and how many are.
 REMEMBERED, MEMORY = 48, 150_000
@@ -130,6 +130,7 @@ def byte_bpe(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str =
     repeated, no shuffle. All columns of docs stay, but for those with a clashing name, which the result's replace. Only the
     vocabulary is sent to executors, whose size is that of its file.
     """
+    small_batches(docs.sparkSession)
     added = ["n_tokens", *(["ids_sha256", "decoded_sha256"] if digest else ["token_ids", "decoded"])]
     model = docs.sparkSession.sparkContext.broadcast(serialise(ranks))
     stay = [f for f in docs.schema.fields if f.name not in added]

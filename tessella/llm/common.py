@@ -16,7 +16,9 @@ U = np.uint64
 #: Odd bases of the polynomial hashes, and what the rows of a second, independent hash use.
 BYTE_BASE, GRAM_BASE, GRAM_BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 #: Bytes of text that are hashed at once, and text bytes of the documents handled together.
-PIECE, CHUNK = 1 << 19, 1 << 21
+PIECE, CHUNK = 1 << 18, 1 << 19
+#: Rows of an Arrow batch of texts at most.
+BATCH_ROWS = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -169,6 +171,14 @@ def grams(hashes: np.ndarray, k: int, base: int = GRAM_BASE) -> np.ndarray:
     return ranged(sums(hashes, base), a, a + k)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches have BATCH_ROWS rows at most from now on in this session, as a batch of whole texts is held by the JVM and by a
+    Python worker at once. A smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK):
     """Slices of a batch with about `limit` bytes of text each, one row at least; its text column without nulls."""
     at = batch.schema.get_field_index(text)

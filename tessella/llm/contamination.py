@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_table, chunks, got, grams, sent, words_of
+from .common import byte_table, chunks, got, grams, sent, small_batches, words_of
 
 #: Words of a shingle, and bytes of benchmark text whose index is sent to executors at once.
 SHINGLE, BLOCK_BYTES = 3, 8 << 20
@@ -171,6 +171,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
     empty tables give no rows or no hits. All columns of docs stay, but for those with a clashing name, which the result's replace.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.coalesce(benchmark[item].cast("string"), F.lit("null")).alias("name"), benchmark[text].alias("text")).where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, small_batches
 
 #: Buckets of a digest (a power of two), and length steps an octave.
 BUCKETS, STEPS = 2048, 4
@@ -134,4 +134,5 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
+    small_batches(docs.sparkSession)
     return with_next(docs, text, key).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_table, chunks, cut, global_rank, grams, mix, text_bytes, text_key, words_of
+from .common import CHUNK, byte_table, chunks, cut, global_rank, grams, mix, small_batches, text_bytes, text_key, words_of
 from .graph import components
 
 #: 64 hashes make 128 values in 32 bands of four: a pair of similarity 0.8 shares no band once in 2e7.
@@ -127,7 +127,7 @@ class Block:
         ends = text_bytes(text)[1]
         row = 0
         while row < len(text):  # as many bytes at once as chunks() would give
-            to = max(row + 1, int(np.searchsorted(ends, ends[row] + (1 << 21), "right")) - 1)
+            to = max(row + 1, int(np.searchsorted(ends, ends[row] + CHUNK, "right")) - 1)
             g, doc = shingles(words_of(text.slice(row, to - row), bytes_), k)
             parts.append(g)
             docs.append(doc + row)
@@ -211,6 +211,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, fold: bool =
     keys are in one component; repeated keys are rows of their own. A null key counts as greatest. An empty table gives no rows. Other
     columns of docs are ignored.
     """
+    small_batches(docs.sparkSession)
     sig = cut(signatures(docs, k, fold, text, key))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "t1", "t2"))
     classes = sig.where("n > 0").groupBy("s1", "s2", "n").agg(first.alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))

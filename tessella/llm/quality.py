@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_table, chunks, grams, mix, text_bytes, words_of
+from .common import byte_table, chunks, grams, mix, small_batches, text_bytes, words_of
 
 STATISTICS = ["log_bytes", "log_words", "word_bytes", "upper", "digits", "marks", "bangs", "bars", "stops", "lines", "high", "distinct_words", "distinct_triples", "top_word"]
 #: Byte classes, counted a byte of text (upper: a letter).
@@ -60,6 +60,7 @@ def statistics(column: pa.Array) -> np.ndarray:
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with a column stat_<name> for each of STATISTICS; one pass over the texts, no shuffle."""
+    small_batches(docs.sparkSession)
     added = [f"stat_{s}" for s in STATISTICS]
     stay = [f for f in docs.schema.fields if f.name not in added]
     names = [f.name for f in stay]

@@ -50,7 +50,7 @@ def ordinal(column: Column, kind: str) -> Column:
     return F.coalesce(column.cast("long"), F.lit(-(1 << 62)))
 
 
-def curve_shards(docs: DataFrame, dims: list[str], shards: int = 40, law: str = "rows", bits: int = 6, text: str = "text", key: str = "doc_id") -> DataFrame:
+def curve_shards(docs: DataFrame, dims: list[str], shards: int = 40, law: str = "rows", bits: int = 6, text: str = "text", key: str = "doc_id", carry: bool = False) -> DataFrame:
     """Puts every row into one of `shards` shards, each a run of the Hilbert order over `dims`, so that each shard spans a small box
     of metadata and readers can skip shards by the extrema of any dimension.
 
@@ -59,14 +59,15 @@ def curve_shards(docs: DataFrame, dims: list[str], shards: int = 40, law: str =
     running size passes multiples of total / shards; a shard's size differs from it by a row's at most). Within a cell, rows lie in
     the order of text checksum and key, so equal texts of like metadata stay together until a cut.
     Nulls: a null text has no bytes, a null dimension counts as lowest, null keys come first. Equal rows get slots of their own.
-    An empty table gives no rows. Other columns are ignored. Returns key, size, text_crc32, curve, shard, slot (from 0, gapless).
+    An empty table gives no rows. Returns doc_id, size, text_crc32, curve, shard, slot (from 0, gapless) and, with carry, a struct
+    `row` of all columns of docs; else other columns are ignored.
     """
     if law not in ("rows", "bytes"):
         raise ValueError(f"law {law!r}")
     kinds = dict(docs.dtypes)
     names = [f"__d{i}" for i in range(len(dims))]
     body = F.coalesce(docs[text], F.lit(""))
-    slim = docs.select(docs[key].alias("doc_id"), (F.octet_length(body) + SIZE_OVERHEAD).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), *[ordinal(docs[c], kinds[c]).alias(n) for c, n in zip(dims, names, strict=True)])
+    slim = docs.select(docs[key].alias("doc_id"), (F.octet_length(body) + SIZE_OVERHEAD).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), *[ordinal(docs[c], kinds[c]).alias(n) for c, n in zip(dims, names, strict=True)], *([F.struct(*docs.columns).alias("row")] if carry else []))
     cells = 1 << bits
     steps = [i / cells for i in range(1, cells)]
     cuts = slim.agg(*[F.percentile_approx(n, steps, 10_000).alias(n) for n in names]).first()
@@ -86,6 +87,16 @@ def curve_shards(docs: DataFrame, dims: list[str], shards: int = 40, law: str =
     return by_bytes(ranked, shards)
 
 
+def write_shards(docs: DataFrame, dims: list[str], path: str, shards: int = 40, law: str = "bytes", **options) -> DataFrame:
+    """Writes the rows as Parquet, a folder `_shard=n` a shard in the order of its slots, and returns the manifest: shard, rows, bytes
+    and the extrema of each dimension (lo_, hi_), by which a reader tells the shards it can skip. A task writes one shard."""
+    out = curve_shards(docs, dims, shards, law, carry=True, **options)
+    rows = out.repartition("shard").sortWithinPartitions("shard", "slot")
+    rows.select(F.col("shard").alias("_shard"), "row.*").write.mode("overwrite").partitionBy("_shard").parquet(path)
+    extrema = [f(F.col(f"row.{d}")).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]
+    return out.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), *extrema)
+
+
 def by_bytes(ranked: DataFrame, shards: int) -> DataFrame:
     """Runs of near equal size. The running size is that of all earlier blocks of ranks plus that within the block."""
     from pyspark.sql import Window

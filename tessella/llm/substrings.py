@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GRAM_BASE, GRAM_BASE_2, byte_table, chunks, cut, grams, ranged, sums, text_key, words_of
+from .common import GRAM_BASE, GRAM_BASE_2, byte_table, chunks, cut, grams, ranged, small_batches, sums, text_key, words_of
 
 #: Words of an anchor.
 ANCHOR = 6
@@ -67,6 +67,7 @@ def signed(x: np.ndarray) -> pa.Array:
 def duplicate_spans(docs: DataFrame, window: int = 35, text: str = "text") -> DataFrame:
     """Per distinct text (t1, t2): the text, and `whole`, its phrases that stand elsewhere too with their sources, and `single`, first
     words of further windows that do. Both may be null."""
+    small_batches(docs.sparkSession)
     anchor = min(ANCHOR, window)
     table = byte_table("space", False)
     keyed = docs.select(F.coalesce(docs[text], F.lit("")).alias("text"), *text_key(docs[text]))

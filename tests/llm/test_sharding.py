@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tessella.llm.queries import op1_hilbert_shards
-from tessella.llm.sharding import curve_shards, hilbert_index
+from tessella.llm.sharding import curve_shards, hilbert_index, write_shards
 
 from .conftest import SF
 
@@ -50,6 +50,18 @@ def test_nulls_repeats_and_empty(spark, docs, empty):
         curve_shards(docs, ["source"], 4, "other")
 
 
+@pytest.mark.parametrize("law", ["rows", "bytes"])
+def test_files_and_manifest(spark, docs, corpus, tmp_path, law):
+    manifest = {r.shard: r for r in write_shards(docs, ["source", "n_chars"], str(tmp_path / "s"), 5, law).collect()}
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(back.columns) == sorted([*docs.columns, "_shard"])
+    assert sorted((r.doc_id, r.text or "") for r in back.collect()) == sorted((i, t or "") for i, t, _ in corpus)
+    for r in back.collect():
+        m = manifest[r._shard]
+        assert m.lo_source <= r.source <= m.hi_source and m.lo_n_chars <= r.n_chars <= m.hi_n_chars
+    assert sum(m.rows for m in manifest.values()) == len(corpus)
+
+
 def test_query(spark):
     out = op1_hilbert_shards(spark, SF)
     counts = [r["count"] for r in out.groupBy("shard").count().collect()]
