@@ -141,16 +141,27 @@ def tree_union(trees: DataFrame) -> DataFrame:
     return trees.groupBy("gene1", "gene2").agg(F.avg("weight").alias("weight"), F.count("*").alias("runs"))
 
 
-def simple_paths(edges: DataFrame, gene: str, cutoff: int = 4, most: int = 50_000) -> DataFrame:
-    """(path, length): all simple paths from the gene of up to `cutoff` edges, grown from the frontier by joins. most is a stated
-    limit of the report: shorter paths first, then by name."""
+def simple_paths(edges: DataFrame, gene: str, cutoff: int = 8, most: int = 50_000, target: str | None = None, shortest: bool = False) -> DataFrame:
+    """(path, length): simple paths from the gene of up to `cutoff` edges, grown from the frontier by joins; with a target those that end
+    there, with shortest only the shortest of them. most is a stated limit of the report: shorter paths first, then by name."""
     both = directed(edges.withColumn("__one", F.lit(1)), "__one").select("a", "b").distinct()
     front = both.where(F.col("a") == gene).select(F.array("a", "b").alias("path"))
     out = front
     for _ in range(cutoff - 1):
-        front = front.withColumn("a", F.element_at("path", -1)).join(both, "a").where(~F.array_contains("path", F.col("b"))).select(F.concat("path", F.array("b")).alias("path"))
+        end = F.element_at("path", -1)
+        open_ = front if target is None else front.where(end != target)
+        front = open_.withColumn("a", end).join(both, "a").where(~F.array_contains("path", F.col("b"))).select(F.concat("path", F.array("b")).alias("path"))
         out = out.union(front)
-    return out.select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("length")).distinct().orderBy("length", "path").limit(most)
+        if target is not None and shortest:
+            out = stored(out)
+            if out.where(F.element_at("path", -1) == target).limit(1).count():
+                break
+    if target is not None:
+        out = out.where(F.element_at("path", -1) == target)
+    out = out.select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("length")).distinct()
+    if shortest:
+        out = out.crossJoin(F.broadcast(out.agg(F.min("length").alias("least")))).where("length = least").drop("least")
+    return out.orderBy("length", "path").limit(most)
 
 
 def in_one_task(rows: DataFrame, by: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

@@ -68,6 +68,15 @@ class Scope:
             out = inference.adjusted(out, "p", "BH", out="fdr")
         return replace(self, stats=self.stats | {f"L_{layer}": stored(out)})
 
+    def compute_l_visium(self, grid: str, layer: str = "Xz", min_detect: float = 0.1, top: int = 500, winsorise: float = 0.95, **options) -> Scope:
+        """compute_l() on the most counted genes that enough tiles have, with values above a quantile cut to it and centred again."""
+        g = self.grids[grid]
+        some = grids.prescreen(g.counts, g.info, min_detect, top).select("gene")
+        cut = grids.winsorise(g.layers[layer].join(F.broadcast(some), "gene", "left_semi"), winsorise)
+        mean = cut.groupBy("gene").agg(F.avg("z").alias("m"))
+        centred = stored(cut.join(F.broadcast(mean), "gene").select("grid_id", "gene", (F.col("z") - F.col("m")).alias("z")))
+        return self.with_grid(grid, layers=g.layers | {f"{layer}_visium": centred}).compute_l(grid, f"{layer}_visium", **options)
+
     def compute_correlation(self, grid: str | None = None, layer: str = "Xz", method: str = "pearson") -> Scope:
         x, unit, value = (self.cells["logCPM"], "cell", "value") if grid is None else (self.grids[grid].layers[layer], "grid_id", "z")
         fn = {"pearson": pairs.pearson, "spearman": pairs.spearman}[method]

@@ -156,6 +156,19 @@ def crop_box(bbox: DataFrame, width: int, height: int, scale: float) -> DataFram
     return bbox.select(edge("left", F.floor, width).alias("left"), edge("right", F.ceil, width).alias("right"), edge("top", F.floor, height).alias("top"), edge("bottom", F.ceil, height).alias("bottom"))
 
 
+def histology(spark: SparkSession, path: str) -> DataFrame:
+    """(origin, width, height) of the images in a path; pixels stay in the files."""
+    image = spark.read.format("image").load(path)
+    return image.select(F.col("image.origin").alias("origin"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))
+
+
+def y_origin(choice: str, platform: str | None) -> str:
+    """top-left or bottom-left: as chosen, else top-left for Visium, whose spots count pixel rows downwards."""
+    if choice in ("top-left", "bottom-left"):
+        return choice
+    return "top-left" if platform == "Visium" else "bottom-left"
+
+
 def roi_polygon(df: DataFrame) -> DataFrame:
     """(x, y) of a region file with any case of headers; an error under three rows."""
     lower = {c.lower(): c for c in df.columns}

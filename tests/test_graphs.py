@@ -70,6 +70,9 @@ def test_trees(spark):
 def test_paths_components_ranks(spark):
     e = edges(spark, [("A", "B", 1), ("B", "C", 1), ("C", "A", 1), ("D", "E", 1)])
     assert sorted(r.path for r in graphs.simple_paths(e, "A", 3).collect()) == ["A>B", "A>B>C", "A>C", "A>C>B"]
+    assert [r.path for r in graphs.simple_paths(e, "A", 3, target="C").collect()] == ["A>C", "A>B>C"]
+    assert [r.path for r in graphs.simple_paths(e, "A", 3, target="C", shortest=True).collect()] == ["A>C"]
+    assert graphs.simple_paths(e, "A", 3, target="D").count() == 0
     assert {r.gene: r.component for r in graphs.gene_components(e).collect()} == {"A": "A", "B": "A", "C": "A", "D": "D", "E": "D"}
     start = spark.createDataFrame([("A", 1.0), ("B", 0.0), ("C", 0.0), ("D", 0.0), ("E", 0.0)], "gene string, score double")
     ranks = {r.gene: r.rank for r in graphs.page_ranks(e, start).collect()}

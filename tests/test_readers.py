@@ -66,3 +66,21 @@ def test_regions(spark):
     assert readers.roi_polygon(spark.createDataFrame([("1", "2")] * 3, "X string, Y string")).count() == 3
     with pytest.raises(ValueError):
         readers.roi_polygon(spark.createDataFrame([("1", "2")] * 2, "X string, Y string"))
+
+
+def test_sinks_round_trip(spark, tmp_path):
+    from tessella.sources import sinks
+
+    m = spark.createDataFrame([(1.0, 2.0, 30.0, 0.5, "A")], "x_location double, y_location double, qv double, nucleus_distance double, feature_name string")
+    c = spark.createDataFrame([(1, 2.0, 3.0)], "cell_id int, x_centroid double, y_centroid double")
+    sinks.write_tables(str(tmp_path / "t"), m, c)
+    assert readers.read_molecules(spark, str(tmp_path / "t/transcripts.parquet")).collect() == m.select([f.name for f in readers.MOLECULES.fields]).collect()
+    pairs = spark.createDataFrame([(f"g{i}", f"h{j}", float(i * j)) for i in range(9) for j in range(5)], "gene1 string, gene2 string, weight double")
+    sinks.write_pairs(pairs, str(tmp_path / "p"), 4)
+    assert sinks.read_pairs(str(tmp_path / "p"), m).count() == 45 and sinks.read_pairs(str(tmp_path / "p"), m, "g3", 4).count() == 5
+    sinks.write_edges(pairs.where("gene1 = 'g1'"), str(tmp_path / "e"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "e")).collect()) == [f"g1 h{j} {float(j)}" for j in range(5)]
+
+
+def test_y_origin():
+    assert readers.y_origin("auto", "Visium") == "top-left" == readers.y_origin("top-left", None) and readers.y_origin("auto", "Xenium") == "bottom-left"

@@ -13,6 +13,7 @@ def test_workflow(spark):
     assert set(scope.grids) == {"grid100", "grid200"}
     assert scope.stats["L_Xz"].count() == 300 == scope.stats["r"].count()
     assert scope.top_l_vs_r(n=5).count() >= 5
+    assert scope.compute_l_visium("grid200", top=6).stats["L_Xz_visium"].count() == 15
     scope = scope.compute_density("grid200", "d", F.col("gene") == "Brand#11").compute_idelta("grid200")
     assert scope.density["d"].count() == scope.grids["grid200"].info.count()
     assert scope.cluster_genes(restarts=2).stats["modules"].count() <= 25
