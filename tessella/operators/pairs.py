@@ -103,14 +103,24 @@ def pearson(values: DataFrame, unit: str, value: str = "value", n: DataFrame | N
     return both.select("gene1", "gene2", F.when(flat, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov / F.sqrt(F.greatest(var(1), F.lit(1e-300)) * F.greatest(var(2), F.lit(1e-300)))))).alias("r"))
 
 
-def average_ranks(values: DataFrame, value: str = "value") -> DataFrame:
-    """Values as ranks within their gene, ties at their mean."""
+def zero_ranks(values: DataFrame, n: DataFrame, value: str = "value") -> DataFrame:
+    """Values other than 0 as average ranks within their gene, less the rank that a zero has; so absent values, which are zeros, stay
+    absent. n: one row, the number of units."""
     by = Window.partitionBy("gene")
-    return values.withColumn(value, (F.rank().over(by.orderBy(value)) + (F.count("*").over(Window.partitionBy("gene", value)) - 1) / 2.0).cast("double"))
-
-
-def spearman(values: DataFrame, unit: str, value: str = "value") -> DataFrame:
-    return pearson(average_ranks(values, value), unit, value)
+    v = F.col(value)
+    some = values.where(v != 0).crossJoin(F.broadcast(n))
+    rank = F.rank().over(by.orderBy(value)) + (F.count("*").over(Window.partitionBy("gene", value)) - 1) / 2.0
+    zeros = F.col("n") - F.count("*").over(by)
+    below = F.sum((v < 0).cast("int")).over(by)
+    out = some.withColumns({"__rank": rank, "__zeros": zeros, "__below": below})
+    shifted = F.col("__rank") + F.when(v > 0, F.col("__zeros")).otherwise(0.0) - F.col("__below") - (F.col("__zeros") + 1) / 2.0
+    return out.withColumn(value, shifted.cast("double")).drop("__rank", "__zeros", "__below", "n")
+
+
+def spearman(values: DataFrame, unit: str, value: str = "value", n: DataFrame | None = None) -> DataFrame:
+    """(gene1, gene2, r) of ranks over all units; absent values are zeros."""
+    n = values.select(unit).distinct().agg(F.count("*").cast("double").alias("n")) if n is None else n
+    return pearson(zero_ranks(values, n, value), unit, value, n)
 
 
 def t_statistics(pairs: DataFrame, n: int) -> DataFrame:

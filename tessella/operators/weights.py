@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TOPOLOGIES = ("rook", "queen", "hex-oddr", "hex-evenr", "hex-oddq", "hex-evenq")
@@ -178,8 +178,4 @@ def fuzzy_jaccard(values: DataFrame) -> DataFrame:
 def symmetric(edges: DataFrame) -> DataFrame:
     """(A + A') / 2, once a pair."""
     key = lambda f: f(F.col("i"), F.col("j"))
-    return edges.groupBy(key(F.least).alias("i"), key(F.greatest).alias("j")).agg((F.sum("w") / 2.0).alias("w")) if edges is not None else edges
-
-
-def column_parity(c: Column) -> Column:
-    return F.pmod(c - 1, F.lit(2))
+    return edges.groupBy(key(F.least).alias("i"), key(F.greatest).alias("j")).agg((F.sum("w") / 2.0).alias("w"))

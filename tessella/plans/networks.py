@@ -11,7 +11,6 @@ from ..storage import stored
 from ..streaming import binning
 from .basic import BAND_SQL, BH_SQL, CURVE_SQL, P_SQL, band, idelta, lee, modules, pear, with_p
 from .registry import good, layer, md5_int, md5_sql, query, r, rounded, with_, xz
-from .spatial import mh
 
 S = SparkSession
 
@@ -359,8 +358,3 @@ def fingerprint(spark: S, sf: str) -> DataFrame:
 @query("STR01_streaming_counts", with_("good", "SELECT floor(x / 100 + 1)::INT AS gx, floor(y / 100 + 1)::INT AS gy, gene, count(*) AS count FROM good GROUP BY ALL"))
 def streaming(spark: S, sf: str) -> DataFrame:
     return binning.tile_counts(good(spark, sf), 100.0, 0.0, 0.0)
-
-
-@query("SIM01_mh_network")
-def mh_network(spark: S, sf: str) -> DataFrame:
-    return rounded(mh(spark, sf, True).where("mh > 0.5"))

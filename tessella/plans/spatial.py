@@ -289,8 +289,15 @@ def module_cosine(spark: S, sf: str) -> DataFrame:
     return rounded(pairs.module_similarity(module_density(spark, sf), "cosine"))
 
 
-for _m in ("pearson", "spearman", "jaccard"):
-    query(f"SIM03_module_{_m}")(lambda spark, sf, m=_m: rounded(pairs.module_similarity(module_density(spark, sf), m)))
+FULL = "full_ AS (SELECT u.grid_id AS sample, m.gene, coalesce(v, 0) AS v FROM (SELECT DISTINCT grid_id FROM d) u CROSS JOIN (SELECT DISTINCT gene FROM d) m LEFT JOIN d ON d.grid_id = u.grid_id AND d.gene = m.gene)"
+RANKED = "rk AS (SELECT sample, gene, rank() OVER (PARTITION BY gene ORDER BY v) + (count(*) OVER (PARTITION BY gene, v) - 1) / 2.0 AS v FROM full_)"
+_module_sql = {
+    "pearson": with_("counts mods", f"SELECT gene1, gene2, {r('r', 'similarity')} FROM ({EX_R.format('full_')})", MODD, FULL),
+    "spearman": with_("counts mods", f"SELECT gene1, gene2, {r('r', 'similarity')} FROM ({EX_R.format('rk')})", MODD, FULL, RANKED),
+    "jaccard": with_("counts mods", f"SELECT a.gene AS gene1, b.gene AS gene2, {r('sum(CASE WHEN a.v > 0 AND b.v > 0 THEN 1 ELSE 0 END) / sum(CASE WHEN a.v > 0 OR b.v > 0 THEN 1 ELSE 0 END)', 'similarity')} FROM full_ a JOIN full_ b ON a.sample = b.sample AND a.gene < b.gene GROUP BY a.gene, b.gene", MODD, FULL),
+}
+for _m, _sql in _module_sql.items():
+    query(f"SIM03_module_{_m}", _sql)(lambda spark, sf, m=_m: rounded(pairs.module_similarity(module_density(spark, sf), m)))
 
 
 AGG13 = "wb AS (SELECT gene, module, avg(v) FILTER (WHERE same) AS within, avg(v) FILTER (WHERE NOT same) AS between_, count(*) FILTER (WHERE same) AS n_within, count(*) FILTER (WHERE NOT same) AS n_between FROM (SELECT p.gene, m.module, o.module = m.module AS same, v FROM (SELECT gene1 AS gene, gene2 AS other, jaccard AS v FROM j UNION ALL SELECT gene2, gene1, jaccard FROM j) p JOIN mods m ON m.gene = p.gene JOIN mods o ON o.gene = p.other) GROUP BY gene, module HAVING count(*) FILTER (WHERE same) >= 1 AND count(*) FILTER (WHERE NOT same) >= 1)"

@@ -107,6 +107,11 @@ def test_correlations(spark):
         for r in pairs.pearson(v, "cell", n=n, dense=dense).collect():
             i, j = int(r.gene1[1]), int(r.gene2[1])
             assert r.r == pytest.approx(0.0 if 5 in (i, j) else np.corrcoef(x[:, i], x[:, j])[0, 1], abs=1e-12)
+    signed = x[:, :5] * np.where(np.arange(40) % 3 == 0, -1, 1)[:, None]
+    sparse = spark.createDataFrame([(i, f"g{j}", float(signed[i, j])) for i in range(40) for j in range(5) if signed[i, j]], "cell int, gene string, value double")
+    want = pd.DataFrame(signed).rank().corr().to_numpy()
+    for r in pairs.spearman(sparse, "cell", n=n).collect():
+        assert r.r == pytest.approx(want[int(r.gene1[1]), int(r.gene2[1])], abs=1e-9)
     full = spark.createDataFrame([(i, f"g{j}", float(x[i, j])) for i in range(40) for j in range(5)], "cell int, gene string, value double")
     want = pd.DataFrame(x[:, :5]).rank().corr().to_numpy()
     for r in pairs.spearman(full, "cell").collect():
