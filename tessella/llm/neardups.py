@@ -21,8 +21,9 @@ from .graph import components
 HASHES, BAND = 64, 4
 #: Values that must agree before full sets are compared: at similarity 0.8, fewer do once in 1e12.
 AGREE = 70
-#: Texts of a block that one task compares.
+#: Texts of a block that one task compares; and of a block of a band's bucket, of which signatures are compared.
 BLOCK = 512
+BUCKET = 2048
 
 
 def shingles(words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,13 +182,19 @@ def compared(tasks: DataFrame, k: int, fold: bool, percent: int) -> DataFrame:
     return rows.repartition("task1", "task2").sortWithinPartitions("task1", "task2", "node", F.desc("pivot")).mapInArrow(run, "a long, b long")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Links (a, b) of each text to the first and the last of each band's bucket, where enough signature values agree."""
+def candidates(classes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) where enough signature values agree, such that any two texts of a band's bucket that agree and whose sizes allow
+    the similarity are connected.
+
+    Each text is compared with the first and the last of each of its buckets; what other texts of a bucket isn't connected then is
+    compared with one another by bucket_links().
+    """
     held = classes.select("node", F.explode("bands").alias("h"))
-    ends = held.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    stars = held.join(ends, "h").select("node", F.explode(F.array("lo", "hi")).alias("b")).where("node <> b")
+    ends = held.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    met = held.join(ends, "h")
+    stars = met.select("node", F.explode(F.array("lo", "hi")).alias("b")).where("node <> b")
     stars = stars.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    side = lambda c: classes.select(F.col("node").alias(c), F.col("sketch").alias(f"{c}_sketch"), F.col("n").alias(f"{c}_n"))
+    side = lambda c: classes.select(F.col("node").alias(c), F.col("sketch").alias(f"{c}_sketch"))
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +202,48 @@ def candidates(classes: DataFrame) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("a_sketch", "b_sketch"))
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= AGREE))
 
-    return stars.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_sketch", "b_sketch").mapInArrow(agree, "a long, b long")
+    links = cut(stars.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_sketch", "b_sketch").mapInArrow(agree, "a long, b long"))
+    # All pairs with an end are compared by now, so buckets of three are done.
+    inner = met.where("size > 3 and node <> lo and node <> hi").select("h", "node")
+    inner = cut(inner.join(components(links), "node", "left").select("h", "node", F.coalesce("root", "node").alias("root")))
+    mixed = inner.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size")).where("least <> most")
+    return links.union(bucket_links(inner.join(mixed.select("h", "size"), "h"), classes, percent))
+
+
+def bucket_links(rest: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect any two texts of a bucket that agree. rest: h, node, root (what is connected already), size (texts of h).
+
+    A bucket is dealt in blocks of about BUCKET texts, and a task compares two blocks, or one with itself; it gives no link between
+    texts connected already, so its links are fewer than its texts. Work is quadratic in what unlike texts a bucket has."""
+    blocks = F.expr(f"(size + {BUCKET - 1}) div {BUCKET}")
+    dealt = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("pair", F.least("block", "other") * (1 << 31) + F.greatest("block", "other"))
+    rows = dealt.join(classes.select("node", "n", "sketch"), "node").select("h", "pair", "node", "root", "n", "block", "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in groups_of(batches, ["h", "pair"]):
+            n, node, root, block = (found.column(c).to_numpy().copy() for c in ("n", "node", "root", "block"))
+            sketch = np.frombuffer(b"".join(found.column("sketch").to_pylist()), np.uint8).reshape(len(n), -1)
+            order = np.lexsort((node, n))
+            n, node, root, block, sketch = n[order], node[order], root[order], block[order], sketch[order]
+            two = block.min() != block.max()
+            ends = np.searchsorted(n, 100 * n // percent, "right")  # larger sets can't be similar enough
+            links = []
+            for i, end in enumerate(ends.tolist()):
+                apart = root[i + 1 : end] != root[i]
+                if two:
+                    apart &= block[i + 1 : end] != block[i]
+                others = np.flatnonzero(apart) + i + 1
+                if len(others):
+                    for j in others[(sketch[others] == sketch[i]).sum(axis=1) >= AGREE]:
+                        if root[j] != root[i]:
+                            root[root == root[j]] = root[i]
+                            links.append((int(node[i]), int(node[j])))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return rows.repartition("h", "pair").sortWithinPartitions("h", "pair").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, fold: bool = True, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -217,7 +265,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, fold: bool =
     classes = sig.where("n > 0").groupBy("s1", "s2", "n").agg(first.alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes, _ = global_rank(classes.select("s1", "s2", "n", F.col("rep.doc_id").alias("id"), F.col("rep.t1").alias("t1"), F.col("rep.t2").alias("t2"), "bands", "sketch"), [F.col("s1"), F.col("s2"), F.col("n")], "node")
 
-    clusters = components(candidates(classes)).withColumnRenamed("root", "cluster")
+    clusters = components(candidates(classes, percent)).withColumnRenamed("root", "cluster")
     placed, _ = global_rank(clusters, [F.col("cluster"), F.col("node")])
     starts = placed.groupBy("cluster").agg(F.min("rank").alias("start"), F.count("*").alias("size"))
     placed = placed.join(starts, "cluster").withColumn("block", F.expr(f"(rank - start) div {BLOCK}")).withColumn("blocks", F.expr(f"(size + {BLOCK - 1}) div {BLOCK}"))

@@ -66,6 +66,37 @@ def test_clusters_of_several_blocks(spark, monkeypatch):
     assert len(set(got.values())) > 2
 
 
+@pytest.mark.parametrize("bucket", [2048, 2])
+def test_buckets_with_unlike_ends(spark, monkeypatch, bucket):
+    """Texts of one bucket that agree are connected, whether they agree with neither end or each with another end."""
+    monkeypatch.setattr(neardups, "BUCKET", bucket)
+    width = 2 * neardups.HASHES
+    part = lambda *runs: b"".join(bytes([v]) * n for v, n in runs)
+    sketch = {0: part((1, width)), 9: part((1, 60), (2, 68)), 2: part((1, 70), (6, 58)), 6: part((1, 60), (2, 10), (6, 58))}
+    sketch |= {3: part((3, width)), 4: part((3, width)), 5: part((3, 80), (4, 48)), 7: part((5, width))}
+    rows = [(i, [77], 100 if i != 4 else 300, bytearray(s)) for i, s in sketch.items()]
+    classes = spark.createDataFrame(rows, "node long, bands array<long>, n long, sketch binary")
+    got = {r.node: r.root for r in components(neardups.candidates(classes, 80)).collect()}
+    agree = lambda a, b: sum(x == y for x, y in zip(sketch[a], sketch[b], strict=True)) >= neardups.AGREE
+    assert agree(3, 5) and agree(2, 0) and agree(6, 9) and agree(2, 6) and not agree(6, 0) and not agree(2, 9) and not agree(0, 9)
+    assert got[3] == got[5] and {got[i] for i in (0, 2, 6, 9)} == {0} and 7 not in got and 4 not in got
+
+
+def test_few_frequent_lines(spark):
+    rng = random.Random(7)
+    lines = [" ".join(f"l{i}w{j}" for j in range(8)) for i in range(30)]
+    texts = []
+    for _ in range(700):
+        some = rng.sample(lines, 10)
+        texts.append("\n".join(some))
+        if rng.random() < 0.3:
+            texts.append("\n".join([*some[:9], rng.choice(lines)]))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, 2).collect()}
+    assert got == {i: c for i, (_, c) in enumerate(brute(list(range(len(texts))), texts, 2))}
+
+
 def test_one_of_each_group_stays(docs, corpus):
     want = {i for (i, _, _), (_, c) in zip(corpus, brute([i for i, _, _ in corpus], [t for _, t, _ in corpus], 5), strict=True) if c == i}
     out = drop_near_duplicates(docs, 5)
