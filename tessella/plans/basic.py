@@ -30,6 +30,12 @@ def boundary_scan(spark: S, sf: str) -> DataFrame:
     return rounded(out.select("label_id", "cell", F.size("ring").cast("long").alias("n"), F.col("ring")[0]["x"].alias("first_x"), F.element_at("ring", -1)["y"].alias("last_y")))
 
 
+@query("SRC04_all_boundaries", with_("ring", f"SELECT 'c' || cell_id AS label_id, cell_id AS cell, 5::BIGINT AS n, {r('x - 4', 'first_x')}, {r('y - 4', 'last_y')} FROM ring"))
+def all_boundaries(spark: S, sf: str) -> DataFrame:
+    out = readers.boundaries(T.vertices(spark, sf), T.cells(spark, sf))
+    return rounded(out.select("label_id", "cell", F.size("ring").cast("long").alias("n"), F.col("ring")[0]["x"].alias("first_x"), F.element_at("ring", -1)["y"].alias("last_y")))
+
+
 @query("SRC05_cosmx_molecules", with_("mol", f"SELECT {r('x * 0.120280945::DOUBLE', 'x_location')}, {r('y * 0.120280945::DOUBLE', 'y_location')}, qv, 0.0::DOUBLE AS nucleus_distance, gene AS feature_name FROM mol"))
 def cosmx(spark: S, sf: str) -> DataFrame:
     raw = T.molecules(spark, sf).select(F.col("x_location").alias("x_global_px"), F.col("y_location").alias("y_global_px"), F.col("feature_name").alias("target"), "qv")
@@ -79,6 +85,11 @@ def factors(spark: S, sf: str) -> DataFrame:
     return rounded(readers.scalefactors(p))
 
 
+@query("SRC11_all_scalefactors", "SELECT round(55.0 / (p_size + 10), 6) + 0.0 AS microns_per_pixel, 55.0::DOUBLE AS spot_um FROM part")
+def all_factors(spark: S, sf: str) -> DataFrame:
+    return rounded(readers.scalefactors(T.table(spark, sf, "part").select((F.col("p_size") + 10.0).alias("spot_diameter_fullres"))))
+
+
 @query("SRC13_crop_box", with_("box", 'SELECT floor(xmin * 0.3::DOUBLE)::INT AS "left", least(ceil(xmax * 0.3::DOUBLE), 300)::INT AS "right", floor(ymin * 0.3::DOUBLE)::INT AS top, least(ceil(ymax * 0.3::DOUBLE), 280)::INT AS bottom FROM box'))
 def crop(spark: S, sf: str) -> DataFrame:
     box = grids.bounds(good(spark, sf)).select(F.col("xmin").alias("left"), F.col("xmax").alias("right"), F.col("ymin").alias("top"), F.col("ymax").alias("bottom"))
@@ -320,12 +331,23 @@ def common(spark: S, sf: str) -> DataFrame:
     return rounded(lee(spark, sf).where(F.col("gene1").isin(*BRANDS)).join(pear(spark, sf).where("gene2 < 'Brand#44'"), ["gene1", "gene2"]))
 
 
+@query("JN12_all_common_pairs", with_("delta", f"SELECT gene1, gene2, {r('L')}, {r('r')} FROM delta"))
+def all_common(spark: S, sf: str) -> DataFrame:
+    return rounded(lee(spark, sf).join(pear(spark, sf), ["gene1", "gene2"]).select("gene1", "gene2", "L", "r"))
+
+
 @query("JN13_barcode_alignment", with_("counts info", "SELECT grid_id, gene, c AS count, center_x FROM counts JOIN (SELECT grid_id, center_x FROM info WHERE gx % 2 = 0) USING (grid_id)"))
 def barcodes(spark: S, sf: str) -> DataFrame:
     info, c = layer(spark, sf)
     return c.join(info.where("gx % 2 = 0").select("grid_id", "center_x"), "grid_id").select("grid_id", "gene", "count", "center_x")
 
 
+@query("JN13_all_barcodes", with_("counts info", "SELECT grid_id, gene, c AS count, center_x FROM counts JOIN (SELECT grid_id, center_x FROM info) USING (grid_id)"))
+def all_barcodes(spark: S, sf: str) -> DataFrame:
+    info, c = layer(spark, sf)
+    return c.join(info.select("grid_id", "center_x"), "grid_id").select("grid_id", "gene", "count", "center_x")
+
+
 def _multi_sql() -> str:
     one = lambda lg: f"SELECT {lg}::DOUBLE AS length, (floor((x - floor(xmin / {lg}) * {lg}) / {lg}) + 1)::INT AS gx, (floor((y - floor(ymin / {lg}) * {lg}) / {lg}) + 1)::INT AS gy, gene, count(*) AS count FROM good, box GROUP BY ALL"
     return with_("box", " UNION ALL ".join(one(lg) for lg in (30, 50, 100)))
