@@ -352,6 +352,18 @@ perm_query("PRM02_block_permutations", 49, True, False)
 perm_query("PRM03_delta_permutations", 49, False, True)
 
 
+def all_pairs_query(name: str, n: int, block: bool) -> None:
+    @query(name)
+    def run(spark: S, sf: str) -> DataFrame:
+        info, z = xz(spark, sf)
+        perms = inference.permutations(grids.block_ids(info, 4), n, "block") if block else inference.permutations(info.select("grid_id"), n)
+        return rounded(inference.permutation_test(z, weights.weights(info), info, lee(spark, sf), perms, n).select("gene1", "gene2", "k", "p"))
+
+
+all_pairs_query("PRM01_global_permutations_all_pairs", 49, False)
+all_pairs_query("PRM02_block_permutations_all_pairs", 49, True)
+
+
 @query("PRM01_dense_permutations")
 def dense_permutations(spark: S, sf: str) -> DataFrame:
     info, z = xz(spark, sf)
