@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import CHUNK, byte_table, chunks, cut, global_rank, grams, mix, small_batches, text_bytes, text_key, words_of
@@ -259,6 +259,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, fold: bool =
     keys are in one component; repeated keys are rows of their own. A null key counts as greatest. An empty table gives no rows. Other
     columns of docs are ignored.
     """
+    return grouped(docs, k, percent, fold, text, key).drop("root")
+
+
+def grouped(docs: DataFrame, k: int, percent: int, fold: bool, text: str, key: str) -> DataFrame:
+    """near_duplicates() with root, a number of each component, which keys may not tell apart; null without shingles."""
     small_batches(docs.sparkSession)
     sig = cut(signatures(docs, k, fold, text, key))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "t1", "t2"))
@@ -283,9 +288,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, fold: bool =
     roots = components(links)
     ids = classes.join(roots, "node", "left").select("s1", "s2", "n", "id", F.coalesce("root", "node").alias("root"))
     least = ids.groupBy("root").agg(F.min("id").alias("component_id"))
-    ids = ids.join(least, "root").select(F.col("s1").alias("__s1"), F.col("s2").alias("__s2"), F.col("n").alias("__n"), "component_id")
+    ids = ids.join(least, "root").select(F.col("s1").alias("__s1"), F.col("s2").alias("__s2"), F.col("n").alias("__n"), "root", "component_id")
     per_row = sig.select("doc_id", "t1", "t2", "n", "s1", "s2").join(ids, [F.col("s1") == F.col("__s1"), F.col("s2") == F.col("__s2"), F.col("n") == F.col("__n")], "left")
-    return per_row.select("doc_id", "t1", "t2", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return per_row.select("doc_id", "t1", "t2", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root")
 
 
 def rest_links(large: DataFrame, links: DataFrame, k: int, fold: bool, percent: int) -> DataFrame:
@@ -309,8 +314,17 @@ def rest_links(large: DataFrame, links: DataFrame, k: int, fold: bool, percent:
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents of which near_duplicates() keeps one a group: the least key's."""
-    found = near_duplicates(docs, k, percent, True, text, key).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2")).distinct()
+    """One row of each component of near_duplicates(): the least key's, a null key greatest, then by text key; of rows equal in both,
+    the one whose other columns as JSON have the least hash. Rows without shingles are linked with nothing, so they all stay."""
+    each = grouped(docs, k, percent, True, text, key).groupBy("root", "doc_id", "t1", "t2").agg(F.count("*").alias("same"))
+    least = each.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "t1", "t2", "same")).alias("row"))
+    found = least.select("row.doc_id", "row.t1", "row.t2", "row.same").union(each.where("root is null").select("doc_id", "t1", "t2", F.lit(0).cast("long")))
+    found = cut(found.toDF("__id", "__t1", "__t2", "__same"))
     one, two = text_key(docs[text])
     rows = docs.select(*docs.columns, one.alias("__k1"), two.alias("__k2"))
-    return rows.join(found, [rows["__k1"] == found["__t1"], rows["__k2"] == found["__t2"], rows[key].eqNullSafe(found["__id"])], "left_semi").drop("__k1", "__k2")
+    kept = rows.join(found, [rows["__k1"] == found["__t1"], rows["__k2"] == found["__t2"], rows[key].eqNullSafe(found["__id"])])
+    if found.where("__same > 1").limit(1).count():
+        row = F.xxhash64(F.to_json(F.struct(*docs.columns)))
+        nth = F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy(row))
+        kept = kept.withColumn("__nth", F.when(F.col("__same") > 0, nth).otherwise(1)).where("__nth = 1")
+    return kept.select(*docs.columns)

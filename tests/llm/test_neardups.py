@@ -103,6 +103,14 @@ def test_one_of_each_group_stays(docs, corpus):
     assert {r.doc_id for r in out.collect()} == want and out.columns == docs.columns
 
 
+def test_repeated_rows_and_null_keys_leave_one(spark):
+    long = " ".join(f"n{i}" for i in range(60))
+    rows = [(1, "a b c d", 5), (1, "a b c d", 5), (1, "a b c d", 7), (None, "e f g h", 1), (None, "e f g h", 1), (None, "i j k l", 1), (2, long, 1), (2, long + " x", 1), (1, "m n o p", 1), (3, "", 1), (3, "", 1)]
+    out = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, extra int")).collect()
+    texts = sorted(r.text[:7] for r in out)
+    assert texts == ["", "", "a b c d", "e f g h", "i j k l", "m n o p", long[:7]]
+
+
 def test_defined_results(spark, empty):
     assert near_duplicates(empty).count() == 0 and drop_near_duplicates(empty).count() == 0
     rows = near_duplicates(spark.createDataFrame([(None, "a b c"), (4, "a b c"), (4, "a b c"), (4, "d e f"), (9, None), (None, "")], "doc_id long, text string"), 2).collect()
