@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, kept, small_batches
+from .common import Rows, chunks, kept, with_fields
 
 #: Characters of a pre-token up to which its encoding is remembered, and how many are.
 REMEMBERED, MEMORY = 48, 150_000
@@ -127,31 +127,29 @@ def byte_bpe(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str =
 
     Each match of pattern is encoded by itself, as pairs of the lowest rank join first; no special tokens. Whole texts, whatever
     their length; a null or empty text has no tokens, and an empty table gives no rows. Each row by itself: repeated rows are
-    repeated, no shuffle. All columns of docs stay, but for those with a clashing name, which the result's replace. Only the
-    vocabulary is sent to executors, whose size is that of its file.
+    repeated, ties can't arise, no shuffle. All columns of docs stay, whatever their names, but for those named like an added one
+    (in any case), which the result's replace. Only the vocabulary is sent to executors, whose size is that of its file.
     """
-    small_batches(docs.sparkSession)
     added = ["n_tokens", *(["ids_sha256", "decoded_sha256"] if digest else ["token_ids", "decoded"])]
     model = docs.sparkSession.sparkContext.broadcast(serialise(ranks))
-    stay = [f for f in docs.schema.fields if f.name not in added]
-    names = [f.name for f in stay]
-    at = names.index(text)
+    rows = Rows(docs)
+    body = rows.column(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = codec(model.value, pattern)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            for part in chunks(batch.append_column("__whole", batch.column(at)), "__whole"):
+            for part, texts in chunks(batch, body):
                 counts, ids, decoded = [], [], []
-                for t in part.column("__whole").to_pylist():
+                for t in texts.to_pylist():
                     parts, n = enc.encode(t)
                     counts.append(n)
                     joined, plain = ",".join([p[0] for p in parts]), b"".join([p[2] for p in parts])
                     ids.append(sha(joined.encode()) if digest else [int(i) for i in joined.split(",")] if joined else [])
                     decoded.append(sha(plain) if digest else plain)
                 kinds = (pa.string(), pa.string()) if digest else (pa.list_(pa.int32()), pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(counts, pa.int64()), pa.array(ids, kinds[0]), pa.array(decoded, kinds[1])], names=[*names, *added])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int64()), pa.array(ids, kinds[0]), pa.array(decoded, kinds[1])], names=[*part.schema.names, *added])
 
     kinds = ("string", "string") if digest else ("array<int>", "binary")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in stay), f"n_tokens long, {added[1]} {kinds[0]}, {added[2]} {kinds[1]}"])
-    return docs.select(*names).mapInArrow(run, schema)
+    schema = with_fields(rows.df, f"n_tokens long, {added[1]} {kinds[0]}, {added[2]} {kinds[1]}")
+    return rows.back(rows.df.mapInArrow(run, schema), {a: a for a in added})

@@ -5,12 +5,14 @@ from __future__ import annotations
 import pickle
 import sys
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 U = np.uint64
 #: Odd bases of the polynomial hashes, and what the rows of a second, independent hash use.
@@ -22,9 +24,15 @@ BATCH_ROWS = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one in /tmp where the cluster names none, as in tests."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. Where it is unset, one in /tmp if all tasks run in
+    the driver's own process, as in tests; else an error, since executors wouldn't see one another's files."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return folder or "/tmp/checkpoints"
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return "/tmp/checkpoints"
+    raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -32,9 +40,53 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    kept("tables")[path] = None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_made() -> list[str]:
+    """Paths of the tables that cut() has written in this process and release() hasn't removed."""
+    return list(kept("tables"))
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables of the shared folder. Only for those that no DataFrame still to be run reads."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        kept("tables").pop(path, None)
+
+
+class Rows:
+    """A table whose columns have plain names, __c0 and so on by position, whatever the original ones are: dots, quotes, names that
+    differ by case alone, or an operator's own names. back() gives the original names again."""
+
+    def __init__(self, docs: DataFrame) -> None:
+        self.names = docs.columns
+        self.plain = [f"__c{i}" for i in range(len(self.names))]
+        self.df = docs.toDF(*self.plain)
+
+    def column(self, name: str) -> str:
+        """The plain name of a column; names are matched by case first, without case if none does."""
+        same = [i for i, n in enumerate(self.names) if n == name] or [i for i, n in enumerate(self.names) if n.lower() == name.lower()]
+        if not same:
+            raise ValueError(f"no column {name!r} among {self.names}")
+        return self.plain[same[0]]
+
+    def back(self, out: DataFrame, added: dict[str, str | Column]) -> DataFrame:
+        """out with the original columns under their names, but for those that an added one replaces (whatever their case), and the
+        added ones, by name."""
+        new = {a.lower() for a in added}
+        stay = [F.col(c).alias(n) for c, n in zip(self.plain, self.names, strict=True) if n.lower() not in new]
+        return out.select(*stay, *[(F.col(c) if isinstance(c, str) else c).alias(a) for a, c in added.items()])
+
+
+def with_fields(df: DataFrame, fields: str) -> StructType:
+    """The schema of df and further fields, for functions that add columns to Arrow batches."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(fields).fields])
+
+
 def global_rank(df: DataFrame, order: list[Column], rank: str = "rank") -> tuple[DataFrame, int]:
     """df with a gapless rank by `order` from 0, and the number of rows. No window over all rows: the rows are range-partitioned and
     sorted, then each partition's offset is added. `order` must be a total order up to equal rows. df should be narrow, as it is
@@ -54,6 +106,17 @@ def global_rank(df: DataFrame, order: list[Column], rank: str = "rank") -> tuple
     return out.drop("__p", "__base", mid), total
 
 
+def heavy_join(big: DataFrame, small: DataFrame, on: list[str], size: str, share: int = 1000) -> DataFrame:
+    """big joined with small, which has one row a key, on columns that one key may dominate. size: a column of small with the number of
+    big's rows of that key, dropped from the result. Keys of more than 1 / share of all rows counted are fewer than `share`; they are
+    broadcast, so their rows stay where they are; the others meet by a shuffle. Both tables are read twice."""
+    total = small.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first().n
+    hot = small.where(F.col(size) > total // share)
+    common = big.join(F.broadcast(hot.drop(size)), on)
+    rest = big.join(F.broadcast(hot.select(*on)), on, "left_anti").join(small.where(F.col(size) <= total // share).drop(size), on)
+    return common.unionByName(rest)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64-bit values, so that every bit depends on all bits."""
     x = x ^ (x >> U(30))
@@ -172,31 +235,24 @@ def grams(hashes: np.ndarray, k: int, base: int = GRAM_BASE) -> np.ndarray:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lets Arrow batches have BATCH_ROWS rows at most from now on in this session, as a batch of whole texts is held by the JVM and by a
-    Python worker at once. A smaller setting stays."""
+    """Lets Arrow batches have BATCH_ROWS rows at most in this session, as a batch of whole texts is held by the JVM and by a Python
+    worker at once. A smaller setting stays. For those who own the session (the queries and the pipeline); operators don't call it."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, BATCH_ROWS)
 
 
-def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK):
-    """Slices of a batch with about `limit` bytes of text each, one row at least; its text column without nulls."""
-    at = batch.schema.get_field_index(text)
-    column = batch.column(at).cast(pa.large_string()).fill_null("")
-    batch = batch.set_column(at, pa.field(text, pa.large_string()), column)
-    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of a batch with about `limit` bytes of text each, one row at least, and each one's texts, nulls as empty."""
+    texts = batch.column(batch.schema.get_field_index(text)).cast(pa.large_string()).fill_null("")
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     row = 0
-    while row < len(column):
+    while row < len(texts):
         to = max(row + 1, int(np.searchsorted(ends, ends[row] + limit, "right")) - 1)
-        yield batch.slice(row, to - row)
+        yield batch.slice(row, to - row), texts.slice(row, to - row)
         row = to
 
 
-def with_text(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
-    """The columns an operator reads, under their names; what else the table holds doesn't reach it."""
-    return docs.select(*[docs[c] for c in columns])
-
-
 def sent(spark: SparkSession, value: object) -> Broadcast:
     """value for functions on executors, which read it with got(); its class travels with it."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))

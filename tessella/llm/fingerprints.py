@@ -13,30 +13,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, small_batches
+from .common import Rows, chunks
 
 #: Buckets of a digest (a power of two), and length steps an octave.
 BUCKETS, STEPS = 2048, 4
 
 
 def triplet_counts(data: bytes, buckets: int = BUCKETS) -> np.ndarray:
-    """Counts of hashed byte triplets: of every window of four bytes, the three triplets that hold its first byte and two others."""
-    b = np.frombuffer(data, np.uint8)
-    if len(b) < 4:
-        b = np.concatenate([b, np.zeros(4 - len(b), np.uint8)]) if len(b) else np.zeros(0, np.uint8)
-    if not len(b):
-        return np.zeros(buckets, np.int64)
-    shift = np.uint32(32 - buckets.bit_length() + 1)
+    """Counts of hashed byte triplets: of every window of four bytes, the three triplets that hold its first byte and two others, and
+    the triplet of the last three bytes. A text of one or two bytes counts as three, zeros behind."""
     out = np.zeros(buckets, np.int64)
+    if not data:
+        return out
+    b = np.frombuffer(data + bytes(max(0, 3 - len(data))), np.uint8)
+    shift = np.uint32(32 - buckets.bit_length() + 1)
+
+    def add(x: np.ndarray, i: np.ndarray, j: np.ndarray, salt: int) -> None:
+        h = ((x << np.uint32(16) | i << np.uint32(8) | j) + np.uint32(salt << 24)) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x85EBCA77)
+        out[:] += np.bincount(h >> shift, minlength=buckets)
+
     step = 1 << 18
     for lo in range(0, len(b) - 3, step):
         w = b[lo : lo + step + 3].astype(np.uint32)
         x, y, z, q = w[:-3], w[1:-2], w[2:-1], w[3:]
         for salt, (i, j) in enumerate(((y, z), (y, q), (z, q))):
-            h = ((x << np.uint32(16) | i << np.uint32(8) | j) + np.uint32(salt << 24)) * np.uint32(0x9E3779B1)
-            h ^= h >> np.uint32(15)
-            h *= np.uint32(0x85EBCA77)
-            out += np.bincount(h >> shift, minlength=buckets)
+            add(x, i, j, salt)
+    add(*b[-3:].astype(np.uint32).reshape(3, 1), 0)
     return out
 
 
@@ -62,14 +66,26 @@ def bucket_distances() -> np.ndarray:
     return sum(step[(b[:, None] >> s) & 3, (b >> s) & 3] for s in (0, 2, 4, 6)).astype(np.uint16)
 
 
-#: Mean difference of two buckets with independent codes, and the most that a length counts, as a share of all.
-CHANCE, LENGTH_SHARE = 1.625, 0.1
+#: The most that a length counts, as a share of all.
+LENGTH_SHARE = 0.1
 
 
-def likeness(a: bytes, b: bytes, table: np.ndarray) -> float:
-    """1 for equal digests, 0 for those that differ as much as independent ones or more."""
+def code_counts() -> np.ndarray:
+    """How many of a byte's four codes are 0, 1, 2, 3: a row a byte."""
+    b = np.arange(256)
+    return sum(((b[:, None] >> s) & 3 == np.arange(4)).astype(np.int64) for s in (0, 2, 4, 6))
+
+
+def likeness(a: bytes, b: bytes, table: np.ndarray, codes: np.ndarray) -> float:
+    """1 for equal digests, 0 for those that differ as much as independent ones with as many buckets of each quartile would, or more.
+    table: bucket_distances(); codes: code_counts()."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    buckets = float(table[x[1:], y[1:]].sum()) / (CHANCE * 4 * (len(x) - 1))
+    p, q = (np.bincount(v[1:], minlength=256) @ codes for v in (x, y))
+    step = np.abs(np.arange(4)[:, None] - np.arange(4))
+    step[step == 3] = 6
+    chance = float(p @ step @ q) / (4 * (len(x) - 1))
+    differ = float(table[x[1:], y[1:]].sum())
+    buckets = differ / chance if chance else float(differ > 0)
     length = min(1.0, abs(int(x[0]) - int(y[0])) / (4 * STEPS))
     return max(0.0, 1.0 - buckets - LENGTH_SHARE * length)
 
@@ -82,8 +98,8 @@ def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    body = F.coalesce(docs[text], F.lit(""))
-    rows = docs.select(docs[key].cast("long").alias("doc_id"), body.alias("text"))
+    plain = Rows(docs)
+    rows = plain.df.select(F.col(plain.column(key)).cast("long").alias("doc_id"), F.coalesce(plain.column(text), F.lit("")).alias("text"))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("q")).first().q
     bounds = np.unique(np.array(cuts or [0], np.int64))
     lowest = F.coalesce("doc_id", F.lit(-(1 << 63)))  # null keys come last
@@ -111,28 +127,27 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     descending key, or all of that text; the last row's next is the first. Fingerprints are base64 of digest(). Whole texts count.
     A null text is empty; the empty text has a fingerprint of its own, of likeness 1 to itself. Null keys come last; equal keys are
     ordered by a hash of their texts, equal rows are next to each other. A single row is its own next. An empty table gives no rows.
-    Each text is moved once, with one more copy at the end of each range of keys. Other columns are ignored.
+    Each text is moved once, with one more copy at the end of each range of keys. Other columns are ignored, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = bucket_distances()
+        table, codes = bucket_distances(), code_counts()
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         held = None
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part, texts in chunks(batch, "text"):
                 out = []
-                for doc, text_, where, tail in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "part", "tail")), strict=True):
+                for doc, text_, where, tail in zip(part.column("doc_id").to_pylist(), texts.to_pylist(), *(part.column(c).to_pylist() for c in ("part", "tail")), strict=True):
                     mine = digest(text_.encode())
                     if held is not None and held[2] == where:
                         before, now = held[:2]
                         cut_ = len(before[1]) // 3
                         edited = (before[1][: len(before[1]) - cut_] + text_[:cut_]).encode()
                         other = digest(edited)
-                        out.append((before[0], len(before[1]), hashlib.sha256(edited).hexdigest(), base64.b64encode(now).decode(), base64.b64encode(other).decode(), likeness(now, other, table), likeness(now, mine, table)))
+                        out.append((before[0], len(before[1]), hashlib.sha256(edited).hexdigest(), base64.b64encode(now).decode(), base64.b64encode(other).decode(), likeness(now, other, table, codes), likeness(now, mine, table, codes)))
                     held = None if tail else ((doc, text_), mine, where)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    small_batches(docs.sparkSession)
     return with_next(docs, text, key).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -1,8 +1,9 @@
 """License texts in documents by diagonal voting, in DataFrame functions alone.
 
 Every run of three words of a document is joined with the places of such runs in license templates; a pair of places votes for its
-diagonal (place in the document less place in the template). Neighbouring diagonals, as missing or added words make them, are merged,
-and a template counts where enough of it is covered.
+diagonal (place in the document less place in the template). Neighbouring diagonals, as missing or added words make them, are merged;
+what is merged is verified as a span: its votes must follow one another in the document without large gaps or jumps and in the order of
+the template, and they must fill enough of both the template and the span.
 """
 
 from __future__ import annotations
@@ -10,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Rows, cut
 
-#: Words of a run; diagonals this close are merged; share of a template's runs that must be covered.
+#: Words of a run; diagonals this close are merged, and jumps within a span are no larger; share of the runs of template and span alike
+#: that must be covered in order.
 K, GAP, COVERAGE = 3, 3, 0.8
 
 #: Phrases of the query contract and their labels.
@@ -59,36 +61,57 @@ def template_runs(spark: SparkSession, templates: list[tuple[str, str]], phrases
     return spark.createDataFrame(rows, "template int, label string, phrase boolean, runs int, at int, gram string")
 
 
+def spans_of(votes: DataFrame) -> DataFrame:
+    """(rid, template, label, start, end, coverage) of the verified spans. votes: rid, template, label, runs, pos, at.
+
+    Diagonals of a document and a template that are GAP apart at most are merged. Along the document, a merged group is parted where a
+    vote's diagonal differs from the one's before it by more than GAP, or where it stands more than K + GAP words behind it. Of each
+    part, the votes count that lie further in the template than all before them; their share of the template's runs, or of the part's
+    own runs if these are more, is the coverage."""
+    by = ["rid", "template"]
+    votes = votes.withColumn("diagonal", F.col("pos") - F.col("at"))
+    along = Window.partitionBy(*by).orderBy("diagonal")
+    lines = votes.select(*by, "diagonal").distinct()
+    apart = F.coalesce(((F.col("diagonal") - F.lag("diagonal").over(along)) > GAP).cast("int"), F.lit(0))
+    lines = lines.withColumn("apart", apart).withColumn("merged", F.sum("apart").over(along)).drop("apart")
+    votes = votes.join(lines, [*by, "diagonal"])
+    inside = Window.partitionBy(*by, "merged").orderBy("pos", "at")
+    jump = F.abs(F.col("diagonal") - F.lag("diagonal").over(inside)) > GAP
+    hole = F.col("pos") - F.lag("pos").over(inside) > K + GAP
+    votes = votes.withColumn("breaks", F.coalesce((jump | hole).cast("int"), F.lit(0))).withColumn("part", F.sum("breaks").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    before = F.max("at").over(Window.partitionBy(*by, "merged", "part").orderBy("pos", "at").rowsBetween(Window.unboundedPreceding, -1))
+    votes = votes.withColumn("onward", F.col("at") > F.coalesce(before, F.lit(-1)))
+    parts = votes.groupBy(*by, "label", "runs", "merged", "part").agg(F.sum(F.col("onward").cast("long")).alias("n"), F.min("pos").cast("long").alias("start"), (F.max("pos") + K).cast("long").alias("end"))
+    parts = parts.withColumn("coverage", F.col("n") / F.greatest(F.col("runs").cast("long"), F.col("end") - F.col("start") - (K - 1)))
+    return parts.where(F.col("coverage") >= COVERAGE).select(*by, "label", "start", "end", "coverage")
+
+
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, places, spans): places are those of phrases, array<struct<label, start>>; spans those of templates,
-    array<struct<label, start, end, coverage>> in words, of coverage COVERAGE or more.
+    array<struct<label, start, end, coverage>> in words, of coverage COVERAGE or more (spans_of()).
 
     The runs of templates are joined by hash (their number is that of the fixed texts, so they are broadcast) and compared as words.
     A document's runs whose hash no template has are dropped before they become rows. Votes meet by document, template and diagonal;
     no document's votes outnumber its words times the templates' repeated runs.
-    A null or empty text has no words and no spans; repeated rows are repeated; an empty table gives no rows. Long texts are scanned
-    whole. Other columns of docs are ignored.
+    A null or empty text has no words and no spans; repeated rows are repeated; equal places and spans of several templates of one label
+    are all given, in order; an empty table gives no rows. Long texts are scanned whole. Other columns of docs are ignored, whatever
+    their names.
     """
     spark = docs.sparkSession
     known = template_runs(spark, TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases)
     hashed = known.withColumn("h", F.xxhash64(*[F.split("gram", " ")[j] for j in range(K)]))
     hashes = sorted({r.h for r in hashed.select("h").collect()})
-    rows = docs.select(docs[key].alias("doc_id"), words_of_text(docs[text]).alias("words"))
+    given = Rows(docs)
+    rows = given.df.select(F.col(given.column(key)).alias("doc_id"), words_of_text(F.col(given.column(text))).alias("words"))
     at = F.filter(F.sequence(F.lit(0), F.size("words") - K), lambda i: run_hash(F.col("words"), i).isin(hashes))
     hits = F.when(F.size("words") >= K, F.transform(at, lambda i: F.struct(i.alias("pos"), run_hash(F.col("words"), i).alias("h"), F.concat_ws(" ", *[F.col("words")[i + j] for j in range(K)]).alias("gram"))))
     read = cut(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.size("words").cast("long").alias("n_words"), hits.alias("hits")))
 
     runs = read.select("rid", F.explode("hits").alias("hit")).select("rid", "hit.*")
     votes = runs.join(F.broadcast(hashed.withColumnRenamed("gram", "exact")), "h").where("gram = exact")
-    lines = votes.groupBy("rid", "template", "label", "phrase", "runs", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("votes"), F.collect_list("at").alias("ats"), F.min("pos").alias("start"), (F.max("pos") + K).alias("end"))
-    places = lines.where("phrase and votes = runs").select("rid", F.struct("label", F.col("diagonal").cast("long").alias("start")).alias("place"))
-    near = Window.partitionBy("rid", "template").orderBy("diagonal")
-    # Merged are diagonals that are close and whose places in the document meet.
-    fresh = F.coalesce(((F.col("diagonal") - F.lag("diagonal").over(near)) > GAP).cast("int"), F.lit(0))
-    merged = lines.where("not phrase").withColumn("fresh", fresh).withColumn("group", F.sum("fresh").over(near))
-    spans = merged.groupBy("rid", "template", "label", "runs", "group").agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.min("start").alias("start"), F.max("end").alias("end"))
-    spans = spans.withColumn("coverage", F.size("ats") / F.col("runs")).where(F.col("coverage") >= COVERAGE)
-    spans = spans.select("rid", F.struct("label", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "coverage").alias("span"))
+    straight = votes.where("phrase").groupBy("rid", "template", "label", "runs", (F.col("pos") - F.col("at")).cast("long").alias("start")).agg(F.count("*").alias("votes"))
+    places = straight.where("votes = runs").select("rid", F.struct("label", "start").alias("place"))
+    spans = spans_of(votes.where("not phrase").select("rid", "template", "label", "runs", "pos", "at")).select("rid", F.struct("label", "start", "end", "coverage").alias("span"))
     both = places.select("rid", "place", F.lit(None).cast(spans.schema["span"].dataType).alias("span")).unionByName(spans.select("rid", F.lit(None).cast(places.schema["place"].dataType).alias("place"), "span"))
     found = both.groupBy("rid").agg(F.array_sort(F.collect_list("place")).alias("places"), F.array_sort(F.collect_list("span")).alias("spans"))
     return read.select("rid", "doc_id", "n_words").join(found, "rid", "left").drop("rid")

@@ -11,18 +11,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, byte_table, chunks, cut, global_rank, grams, mix, small_batches, text_bytes, text_key, words_of
+from .common import Rows, byte_table, chunks, cut, grams, heavy_join, mix, text_key, words_of
 from .graph import components
 
 #: 64 hashes make 128 values in 32 bands of four: a pair of similarity 0.8 shares no band once in 2e7.
 HASHES, BAND = 64, 4
 #: Values that must agree before full sets are compared: at similarity 0.8, fewer do once in 1e12.
 AGREE = 70
-#: Texts of a block that one task compares; and of a block of a band's bucket, of which signatures are compared.
-BLOCK = 512
+#: Texts of a block that one task compares, and shingles of its texts in all, about; and texts of a band's bucket whose signatures are
+#: compared in one task.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21
 BUCKET = 2048
 
 
@@ -65,16 +66,16 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return key
 
 
-def signatures(docs: DataFrame, k: int, fold: bool, text: str, key: str) -> DataFrame:
-    """(doc_id, t1, t2, n, s1, s2, bands, sketch): text key, number of shingles, 128-bit hash of their set, keys of the bands, and
-    the last byte of each signature value."""
+def signatures(rows: DataFrame, k: int, fold: bool) -> DataFrame:
+    """From (doc_id, t1, t2, text): (doc_id, t1, t2, n, s1, s2, bands, sketch): text key, number of shingles, 128-bit hash of their set,
+    keys of the bands, and the last byte of each signature value."""
     table = byte_table("space", fold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part, body in chunks(batch, "text"):
                 n = len(part)
-                g, doc = shingles(words_of(part.column("text"), table), k)
+                g, doc = shingles(words_of(body, table), k)
                 count = np.bincount(doc, minlength=n)
                 some = np.flatnonzero(count)
                 at = np.searchsorted(doc, some)
@@ -88,14 +89,23 @@ def signatures(docs: DataFrame, k: int, fold: bool, text: str, key: str) -> Data
                     bands[some] = band_keys(values)
                     sketch[some] = (mix(values) >> np.uint64(56)).astype(np.uint8)
                 lists = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32), pa.array(bands.view(np.int64).ravel()))
-                raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, sketch.size + 1, sketch.shape[1], dtype=np.int32)), pa.py_buffer(sketch.tobytes())])
+                raw = binaries(sketch.tobytes(), np.full(n, sketch.shape[1]))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "t1", "t2")), pa.array(count.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), lists, raw], names=["doc_id", "t1", "t2", "n", "s1", "s2", "bands", "sketch"])
 
-    kind = dict(docs.dtypes)[key]
-    rows = docs.select(docs[key].alias("doc_id"), *text_key(docs[text]), F.coalesce(docs[text], F.lit("")).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, t1 long, t2 long, n long, s1 long, s2 long, bands array<long>, sketch binary")
 
 
+def binaries(data: bytes, sizes: np.ndarray) -> pa.Array:
+    """A binary column of values of these sizes, one after another in data."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
 def groups_of(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
     """Tables of the rows that agree in `by`; equal ones must follow one another."""
     held: list[pa.RecordBatch] = []
@@ -116,42 +126,154 @@ def groups_of(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
+def pairs(links: list[tuple[int, int]], *more) -> pa.RecordBatch:
+    """(a, b) of links, and further columns."""
+    return pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)), *(c for _, c in more)], names=["a", "b", *(n for n, _ in more)])
+
+
+def alike(n: np.ndarray, sketch: np.ndarray, root: np.ndarray, pivots: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between pivots and any other texts whose sketches agree and whose sizes allow the similarity, none between those connected
+    already (by root, changed in place)."""
+    order = np.argsort(n, kind="stable")
+    sizes, out = n[order], []
+    for i in pivots.tolist():
+        lo, hi = np.searchsorted(sizes, -(-percent * n[i] // 100), "left"), np.searchsorted(sizes, 100 * n[i] // percent, "right")
+        others = order[lo:hi]
+        others = others[root[others] != root[i]]
+        if len(others):
+            for j in others[(sketch[others] == sketch[i]).sum(axis=1) >= AGREE].tolist():
+                if root[j] != root[i]:
+                    root[root == root[j]] = root[i]
+                    out.append((i, j))
+    return out
+
+
+def candidates(classes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) where enough signature values agree, such that any two texts of a band's bucket that agree and whose sizes allow
+    the similarity are connected. classes: node, n, bands, sketch.
+
+    A bucket of BUCKET texts at most is compared in one task, with its first text first and then, of what that leaves apart, every
+    text with every other. Of larger buckets see large_buckets()."""
+    held = classes.select("node", F.explode("bands").alias("h"))
+    shared = held.groupBy("h").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("size > 1")
+    met = cut(held.join(shared, "h"))
+    facts = classes.select("node", "n", "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_buckets(batches):
+            h, node, n = (table.column(c).to_numpy() for c in ("h", "node", "n"))
+            sketch = sketches(table.column("sketch"))
+            first = np.flatnonzero(np.diff(h, prepend=h[0] ^ 1) != 0)
+            bucket = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+            with_first = (sketch == sketch[first[bucket]]).sum(axis=1) >= AGREE
+            root = np.where(with_first, first[bucket], np.arange(len(h)))
+            links = [(int(node[first[bucket[i]]]), int(node[i])) for i in np.flatnonzero(with_first & (root != np.arange(len(h)))).tolist()]
+            left = np.flatnonzero(~with_first)  # of buckets with three texts or more, all are compared with these
+            for b in np.unique(bucket[left]).tolist():
+                lo, hi = int(first[b]), int(first[b + 1]) if b + 1 < len(first) else len(h)
+                if hi - lo > 2:
+                    found = alike(n[lo:hi], sketch[lo:hi], root[lo:hi], left[np.searchsorted(left, lo) : np.searchsorted(left, hi)] - lo, percent)
+                    links += [(int(node[lo + i]), int(node[lo + j])) for i, j in found]
+            if links:
+                yield pairs(links)
+
+    small = met.where(F.col("size") <= BUCKET).select("h", "node").join(facts, "node")
+    links = cut(small.repartition("h").sortWithinPartitions("h", "node").mapInArrow(run, "a long, b long"))
+    large = met.where(F.col("size") > BUCKET)
+    return links.union(large_buckets(cut(large), facts, percent)) if large.limit(1).count() else links
+
+
+def whole_buckets(batches: Iterator[pa.RecordBatch], least: int = 8 * BUCKET) -> Iterator[pa.Table]:
+    """Tables of about `least` rows in which all rows of an h are together; equal ones must follow one another."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            h = batch.column("h").to_numpy()
+            if sum(b.num_rows for b in held) >= least:
+                last = held[-1].column("h")[-1].as_py()
+                ends = np.flatnonzero(h != last)
+                if len(ends):
+                    if ends[0]:
+                        held.append(batch.slice(0, ends[0]))
+                        batch = batch.slice(ends[0])
+                    yield pa.Table.from_batches(held)
+                    held = []
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def large_buckets(large: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect any two texts of a large bucket that agree. large: h, node, size, lo, hi; facts: node, n, sketch.
+
+    Every text is compared with the first and the last of its buckets. What isn't connected with a bucket's first text then, by this bucket
+    or any other, is compared with the whole bucket, in blocks of about BUCKET texts on either side. So work is quadratic only in what a
+    bucket has of texts unlike its ends."""
+    stars = large.select("node", F.explode(F.array("lo", "hi")).alias("b")).where("node <> b")
+    stars = stars.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    side = lambda c: facts.select(F.col("node").alias(c), F.col("sketch").alias(f"{c}_sketch"))
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (sketches(batch.column(c)) for c in ("a_sketch", "b_sketch"))
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= AGREE))
+
+    links = cut(stars.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_sketch", "b_sketch").mapInArrow(agree, "a long, b long"))
+    now = cut(large.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    main = now.where("node = lo").select("h", F.col("root").alias("main"), F.col("size").alias("rows"))
+    now = cut(heavy_join(now.select("h", "node", "size", "root"), cut(main), ["h"], "rows"))
+    loose = now.where("root <> main").select("h", "node")
+    many = loose.groupBy("h").agg(F.count("*").alias("loose"))
+    blocks = lambda c: F.expr(f"({c} + {BUCKET - 1}) div {BUCKET}")
+    mixed = now.join(many, "h").withColumn("rows", blocks("size")).withColumn("groups", blocks("loose"))
+    number = lambda c: F.pmod(F.xxhash64("node"), F.col(c))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    every = mixed.withColumn("block", number("rows")).withColumn("group", upto("groups")).withColumn("pivot", F.lit(False))
+    each = mixed.where("root <> main").withColumn("group", number("groups")).withColumn("block", upto("rows")).withColumn("pivot", F.lit(True))
+    tasks = every.unionByName(each).select("h", (F.col("group") * (1 << 31) + F.col("block")).alias("pair"), "node", "root", "pivot").join(facts, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups_of(batches, ["h", "pair"]):
+            node = rows.column("node").to_numpy()
+            rows = rows.take(np.unique(node, return_index=True)[1])  # a pivot of this block stands once, as pivot
+            node, n, pivot, root = (rows.column(c).to_numpy() for c in ("node", "n", "pivot", "root"))
+            found = alike(n, sketches(rows.column("sketch")), root.copy(), np.flatnonzero(pivot), percent)
+            if found:
+                yield pairs([(int(node[i]), int(node[j])) for i, j in found])
+
+    rest = tasks.select("h", "pair", "node", "root", "pivot", "n", "sketch").repartition("h", "pair").sortWithinPartitions("h", "pair", "node", F.desc("pivot"))
+    return links.union(cut(rest.mapInArrow(run, "a long, b long")))
+
+
 class Block:
-    """The texts of one task with their sets; finds links between those that aren't connected yet."""
+    """The sets of one task's texts; finds links between those that aren't connected yet."""
 
-    def __init__(self, table: pa.Table, k: int, bytes_: np.ndarray, percent: int) -> None:
-        text = pa.concat_arrays([c.cast(pa.large_string()) for c in table.column("text").chunks])
+    def __init__(self, table: pa.Table, percent: int) -> None:
         self.node = table.column("node").to_numpy()
-        self.sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(table), -1)
+        self.sketch = sketches(table.column("sketch"))
         self.percent = percent
-        parts, docs, base = [], [], 0
-        ends = text_bytes(text)[1]
-        row = 0
-        while row < len(text):  # as many bytes at once as chunks() would give
-            to = max(row + 1, int(np.searchsorted(ends, ends[row] + CHUNK, "right")) - 1)
-            g, doc = shingles(words_of(text.slice(row, to - row), bytes_), k)
-            parts.append(g)
-            docs.append(doc + row)
-            row = to
-        self.g, doc = np.concatenate(parts), np.concatenate(docs)
-        self.at = np.searchsorted(doc, np.arange(len(table) + 1))
-        self.n = np.diff(self.at)
+        self.g = np.frombuffer(b"".join(table.column("set").to_pylist()), np.uint64)
+        self.n = table.column("n").to_numpy()
+        self.at = np.cumsum(self.n) - self.n
 
     def linked(self, i: int, others: np.ndarray) -> np.ndarray:
         """Which of the others are similar to i, on full sets."""
         n, m = self.n[i], self.n[others]
-        others = others[(100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)) & (n > 0) & (m > 0)]
+        others = others[100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)]
         others = others[(self.sketch[others] == self.sketch[i]).sum(axis=1) >= AGREE]
-        if not len(others):
-            return others
-        m = self.n[others]
-        own = self.g[self.at[i] : self.at[i + 1]]
-        ends = np.cumsum(m)
-        where = np.arange(ends[-1]) + np.repeat(self.at[others] - (ends - m), m)
-        theirs = self.g[where]
-        spot = np.minimum(np.searchsorted(own, theirs), n - 1)
-        same = np.add.reduceat((own[spot] == theirs).astype(np.int64), ends - m)
-        return others[100 * same >= self.percent * (n + m - same)]
+        own = self.g[self.at[i] : self.at[i] + n]
+        kept, begin = [others[:0]], 0
+        while begin < len(others):  # of about BLOCK_SHINGLES shingles at once
+            end = begin + max(1, int(np.searchsorted(np.cumsum(self.n[others[begin:]]), BLOCK_SHINGLES, "right")))
+            some, begin = others[begin:end], end
+            m = self.n[some]
+            ends = np.cumsum(m)
+            theirs = self.g[np.arange(ends[-1]) + np.repeat(self.at[some] - (ends - m), m)]
+            spot = np.minimum(np.searchsorted(own, theirs), n - 1)
+            same = np.add.reduceat((own[spot] == theirs).astype(np.int64), ends - m)
+            kept.append(some[100 * same >= self.percent * (n + m - same)])
+        return np.concatenate(kept)
 
 
 def union_links(block: Block, pivots: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
@@ -165,85 +287,43 @@ def union_links(block: Block, pivots: np.ndarray, root: np.ndarray) -> list[tupl
     return out
 
 
-def compared(tasks: DataFrame, k: int, fold: bool, percent: int) -> DataFrame:
-    """Links (a, b) within each task (task1, task2: long). tasks: node, root, pivot (whether to compare it with all), sketch, text."""
+def with_sets(rows: DataFrame, k: int, fold: bool) -> DataFrame:
+    """rows with their column text replaced by set, the sorted hashes of its shingles."""
     table = byte_table("space", fold)
+    stay = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in groups_of(batches, ["task1", "task2"]):
-            node = rows.column("node").to_numpy()
-            rows = rows.take(np.unique(node, return_index=True)[1])
-            block = Block(rows, k, table, percent)
-            links = union_links(block, np.flatnonzero(rows.column("pivot").to_numpy(zero_copy_only=False)), rows.column("root").to_numpy().copy())
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    rows = tasks.select("task1", "task2", "node", "root", "pivot", "sketch", "text")
-    return rows.repartition("task1", "task2").sortWithinPartitions("task1", "task2", "node", F.desc("pivot")).mapInArrow(run, "a long, b long")
-
-
-def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) where enough signature values agree, such that any two texts of a band's bucket that agree and whose sizes allow
-    the similarity are connected.
-
-    Each text is compared with the first and the last of each of its buckets; what other texts of a bucket isn't connected then is
-    compared with one another by bucket_links().
-    """
-    held = classes.select("node", F.explode("bands").alias("h"))
-    ends = held.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    met = held.join(ends, "h")
-    stars = met.select("node", F.explode(F.array("lo", "hi")).alias("b")).where("node <> b")
-    stars = stars.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    side = lambda c: classes.select(F.col("node").alias(c), F.col("sketch").alias(f"{c}_sketch"))
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("a_sketch", "b_sketch"))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= AGREE))
-
-    links = cut(stars.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_sketch", "b_sketch").mapInArrow(agree, "a long, b long"))
-    # All pairs with an end are compared by now, so buckets of three are done.
-    inner = met.where("size > 3 and node <> lo and node <> hi").select("h", "node")
-    inner = cut(inner.join(components(links), "node", "left").select("h", "node", F.coalesce("root", "node").alias("root")))
-    mixed = inner.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size")).where("least <> most")
-    return links.union(bucket_links(inner.join(mixed.select("h", "size"), "h"), classes, percent))
+            for part, body in chunks(batch, "text"):
+                g, doc = shingles(words_of(body, table), k)
+                raw = binaries(g.tobytes(), 8 * np.bincount(doc, minlength=len(part)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in stay), raw], names=[*stay, "set"])
 
+    kinds = dict(rows.dtypes)
+    return rows.select(*stay, "text").mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in stay), "set binary"]))
 
-def bucket_links(rest: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect any two texts of a bucket that agree. rest: h, node, root (what is connected already), size (texts of h).
 
-    A bucket is dealt in blocks of about BUCKET texts, and a task compares two blocks, or one with itself; it gives no link between
-    texts connected already, so its links are fewer than its texts. Work is quadratic in what unlike texts a bucket has."""
-    blocks = F.expr(f"(size + {BUCKET - 1}) div {BUCKET}")
-    dealt = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("pair", F.least("block", "other") * (1 << 31) + F.greatest("block", "other"))
-    rows = dealt.join(classes.select("node", "n", "sketch"), "node").select("h", "pair", "node", "root", "n", "block", "sketch")
+def compared(tasks: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b, done) within each task (task1, task2: long). tasks: node, root, pivot (whether to compare it with all), whole (whether
+    no other task has texts of this cluster), n, sketch, set. Links of whole clusters lead from each component's least node to all others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in groups_of(batches, ["h", "pair"]):
-            n, node, root, block = (found.column(c).to_numpy().copy() for c in ("n", "node", "root", "block"))
-            sketch = np.frombuffer(b"".join(found.column("sketch").to_pylist()), np.uint8).reshape(len(n), -1)
-            order = np.lexsort((node, n))
-            n, node, root, block, sketch = n[order], node[order], root[order], block[order], sketch[order]
-            two = block.min() != block.max()
-            ends = np.searchsorted(n, 100 * n // percent, "right")  # larger sets can't be similar enough
-            links = []
-            for i, end in enumerate(ends.tolist()):
-                apart = root[i + 1 : end] != root[i]
-                if two:
-                    apart &= block[i + 1 : end] != block[i]
-                others = np.flatnonzero(apart) + i + 1
-                if len(others):
-                    for j in others[(sketch[others] == sketch[i]).sum(axis=1) >= AGREE]:
-                        if root[j] != root[i]:
-                            root[root == root[j]] = root[i]
-                            links.append((int(node[i]), int(node[j])))
+        for rows in groups_of(batches, ["task1", "task2"]):
+            node = rows.column("node").to_numpy()
+            rows = rows.take(np.unique(node, return_index=True)[1])
+            block = Block(rows, percent)
+            root = rows.column("root").to_numpy().copy()
+            links = union_links(block, np.flatnonzero(rows.column("pivot").to_numpy()), root)
+            whole = bool(rows.column("whole")[0].as_py())
+            if whole and links:
+                _, first, number = np.unique(root, return_index=True, return_inverse=True)  # nodes are in order
+                least = block.node[first][number.ravel()]
+                links = [(int(a), int(b)) for a, b in zip(least, block.node, strict=True) if a != b]
             if links:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+                yield pairs(links, ("done", pa.array([whole] * len(links))))
 
-    return rows.repartition("h", "pair").sortWithinPartitions("h", "pair").mapInArrow(run, "a long, b long")
+    rows = tasks.select("task1", "task2", "node", "root", "pivot", "whole", "n", "sketch", "set")
+    return rows.repartition("task1", "task2").sortWithinPartitions("task1", "task2", "node", F.desc("pivot")).mapInArrow(run, "a long, b long, done boolean")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, fold: bool = True, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -251,80 +331,87 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, fold: bool =
     Jaccard similarity of at least percent / 100 are linked, component_id is the least key that links lead to; t1, t2 is text_key().
 
     Words are runs of other than ASCII white space, A-Z lower-cased if fold. Equal sets are one node whatever their number. Band
-    buckets connect possible partners into clusters; a cluster is dealt in blocks of BLOCK texts, each with the cluster's first
-    text, and each block compares full sets until it is connected or exhausted. What is then not connected to the first text of a
-    cluster of several blocks is compared with all its blocks. So no pairs are emitted and no cluster is collected, and every link
-    that bands propose counts. Two sets at the threshold share no band once in 2e7 pairs.
-    Null and empty texts have no shingles and are linked with nothing; their component is their own key. Rows of equal text but other
-    keys are in one component; repeated keys are rows of their own. A null key counts as greatest. An empty table gives no rows. Other
-    columns of docs are ignored.
+    buckets connect possible partners into clusters; a cluster is dealt in blocks of about BLOCK texts or BLOCK_SHINGLES shingles, each
+    with the cluster's first text, and each block compares full sets until it is connected or exhausted. What is then not connected to
+    the first text of a cluster of several blocks is compared with all its blocks. So no pairs are emitted and no cluster is
+    collected, and every link that bands propose counts. Two sets at the threshold share no band once in 2e7 pairs.
+    Null and empty texts have no shingles and are linked with nothing; their component is their own key. Texts of any length count
+    whole. Rows of equal text but other keys are in one component; repeated keys are rows of their own. A null key counts as greatest.
+    An empty table gives no rows. Other columns of docs are ignored, whatever their names.
     """
     return grouped(docs, k, percent, fold, text, key).drop("root")
 
 
 def grouped(docs: DataFrame, k: int, percent: int, fold: bool, text: str, key: str) -> DataFrame:
     """near_duplicates() with root, a number of each component, which keys may not tell apart; null without shingles."""
-    small_batches(docs.sparkSession)
-    sig = cut(signatures(docs, k, fold, text, key))
+    given = Rows(docs)
+    body = F.col(given.column(text))
+    rows = given.df.select(F.col(given.column(key)).alias("doc_id"), *text_key(body), F.coalesce(body, F.lit("")).alias("text"))
+    sig = cut(signatures(rows, k, fold))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "t1", "t2"))
-    classes = sig.where("n > 0").groupBy("s1", "s2", "n").agg(first.alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    classes, _ = global_rank(classes.select("s1", "s2", "n", F.col("rep.doc_id").alias("id"), F.col("rep.t1").alias("t1"), F.col("rep.t2").alias("t2"), "bands", "sketch"), [F.col("s1"), F.col("s2"), F.col("n")], "node")
+    classes = sig.where("n > 0").groupBy("s1", "s2", "n").agg(first.alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "n", "copies", F.col("rep.doc_id").alias("id"), "rep.t1", "rep.t2", "bands", "sketch"))
 
     clusters = components(candidates(classes, percent)).withColumnRenamed("root", "cluster")
-    placed, _ = global_rank(clusters, [F.col("cluster"), F.col("node")])
-    starts = placed.groupBy("cluster").agg(F.min("rank").alias("start"), F.count("*").alias("size"))
-    placed = placed.join(starts, "cluster").withColumn("block", F.expr(f"(rank - start) div {BLOCK}")).withColumn("blocks", F.expr(f"(size + {BLOCK - 1}) div {BLOCK}"))
-    rows = docs.select(docs[key].alias("id"), *text_key(docs[text]), docs[text].alias("text"))
-    members = placed.select("node", "cluster", "block", "blocks").join(classes.select("node", "id", "t1", "t2", "sketch"), "node")
-    on = [members.t1 == rows.t1, members.t2 == rows.t2, members.id.eqNullSafe(rows.id)]
-    members = members.join(rows, on).select("node", "cluster", "block", "blocks", "sketch", rows.text)
-    members = cut(members)  # the texts that have possible partners
-    tasks = members.withColumn("task2", F.explode(F.when(F.col("node") == F.col("cluster"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))))
-    links = cut(compared(tasks.select("*", F.col("cluster").alias("task1"), F.col("node").alias("root"), F.lit(True).alias("pivot")), k, fold, percent))
+    placed = cut(clusters.join(classes.select("node", "n", "id", "t1", "t2", "sketch"), "node"))
+    blocks = F.greatest(F.expr(f"(count(*) + {BLOCK - 1}) div {BLOCK}"), F.expr(f"(sum(n) + {BLOCK_SHINGLES - 1}) div {BLOCK_SHINGLES}"))
+    sizes = cut(placed.groupBy("cluster").agg(F.count("*").alias("size"), blocks.alias("blocks")))
+    placed = heavy_join(placed, sizes, ["cluster"], "size").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    texts = rows.withColumnsRenamed({"t1": "k1", "t2": "k2"})
+    members = placed.join(texts, (placed.t1 == texts.k1) & (placed.t2 == texts.k2) & placed.id.eqNullSafe(texts.doc_id))
+    members = with_sets(members.select("node", "cluster", "block", "blocks", "n", "sketch", "text"), k, fold)
+    members = cut(members.dropDuplicates(["node"]))  # the sets of texts that have possible partners; equal rows gave one each
+    dealt = F.when(F.col("node") == F.col("cluster"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
+    tasks = members.withColumn("task2", F.explode(dealt)).select("*", F.col("cluster").alias("task1"), F.col("node").alias("root"), F.lit(True).alias("pivot"), (F.col("blocks") == 1).alias("whole"))
+    links = cut(compared(tasks, percent))
+    roots = links.where("done").select(F.col("b").alias("node"), F.col("a").alias("root"))
     large = members.where("blocks > 1")
     if large.limit(1).count():
-        links = cut(links.union(rest_links(large, links, k, fold, percent)))
+        roots = roots.union(components(large_links(large, links.where("not done").select("a", "b"), percent)))
 
-    roots = components(links)
-    ids = classes.join(roots, "node", "left").select("s1", "s2", "n", "id", F.coalesce("root", "node").alias("root"))
-    least = ids.groupBy("root").agg(F.min("id").alias("component_id"))
-    ids = ids.join(least, "root").select(F.col("s1").alias("__s1"), F.col("s2").alias("__s2"), F.col("n").alias("__n"), "root", "component_id")
-    per_row = sig.select("doc_id", "t1", "t2", "n", "s1", "s2").join(ids, [F.col("s1") == F.col("__s1"), F.col("s2") == F.col("__s2"), F.col("n") == F.col("__n")], "left")
-    return per_row.select("doc_id", "t1", "t2", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root")
+    ids = cut(classes.join(roots, "node", "left").select("s1", "s2", "n", "copies", "id", F.coalesce("root", "node").alias("root")))
+    least = cut(ids.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("size")))
+    ids = cut(heavy_join(ids.drop("id"), least, ["root"], "size"))
+    some = heavy_join(sig.where("n > 0").select("doc_id", "t1", "t2", "n", "s1", "s2"), ids, ["s1", "s2", "n"], "copies")
+    none = sig.where("n = 0").select("doc_id", "t1", "t2", "n", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
+    every = some.select("doc_id", "t1", "t2", "n", "root", "component_id").union(none)
+    return every.select("doc_id", "t1", "t2", F.col("n").alias("n_shingles"), "component_id", "root")
 
 
-def rest_links(large: DataFrame, links: DataFrame, k: int, fold: bool, percent: int) -> DataFrame:
-    """Links of clusters of several blocks, between what isn't connected to the cluster's first text and any block."""
-    roots = components(links)
-    now = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def large_links(large: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """links, and those of clusters of several blocks between what isn't connected to the cluster's first text and any block. A task has
+    one group of loose texts as pivots and one block of the cluster."""
+    now = cut(large.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")))
     main = now.where("node = cluster").select("cluster", F.col("root").alias("main"))
-    now = cut(now.join(main, "cluster"))
-    loose, total = global_rank(now.where("root <> main").select("cluster", "node"), [F.col("cluster"), F.col("node")])
-    if not total:
-        return links.limit(0)
-    start = loose.groupBy("cluster").agg(F.min("rank").alias("start"), F.expr(f"(count(*) + {BLOCK - 1}) div {BLOCK}").alias("groups"))
-    loose = loose.join(start, "cluster").select("node", F.expr(f"(rank - start) div {BLOCK}").alias("group"))
-    # A task has one group of loose texts as pivots and one block of the cluster.
-    every = now.join(start.select("cluster", "groups"), "cluster").withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
-    every = every.select("node", "cluster", "root", "sketch", "text", "group", "block", F.lit(False).alias("pivot"))
-    pivots = now.join(loose, "node").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pivots = pivots.select("node", "cluster", "root", "sketch", "text", "group", "block", F.lit(True).alias("pivot"))
-    tasks = pivots.union(every).withColumn("task1", F.col("cluster")).withColumn("task2", F.col("group") * (1 << 31) + F.col("block"))
-    return compared(tasks, k, fold, percent)
+    sizes = now.groupBy("cluster").agg(F.count("*").alias("size"))
+    now = cut(heavy_join(now, main.join(sizes, "cluster"), ["cluster"], "size"))
+    loose = now.where("root <> main")
+    if not loose.limit(1).count():
+        return links
+    groups = F.greatest(F.expr(f"(count(*) + {BLOCK - 1}) div {BLOCK}"), F.expr(f"(sum(n) + {BLOCK_SHINGLES - 1}) div {BLOCK_SHINGLES}"))
+    groups = loose.groupBy("cluster").agg(groups.alias("groups")).join(sizes, "cluster")
+    now = heavy_join(now, cut(groups), ["cluster"], "size")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    every = now.withColumn("group", upto("groups")).withColumn("pivot", F.lit(False))
+    each = now.where("root <> main").withColumn("block", upto("blocks")).withColumn("group", F.pmod(F.xxhash64("node", F.lit(1)), F.col("groups"))).withColumn("pivot", F.lit(True))
+    tasks = every.unionByName(each).select("*", F.col("cluster").alias("task1"), (F.col("group") * (1 << 31) + F.col("block")).alias("task2"), F.lit(False).alias("whole"))
+    return links.union(cut(compared(tasks, percent)).select("a", "b"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of each component of near_duplicates(): the least key's, a null key greatest, then by text key; of rows equal in both,
-    the one whose other columns as JSON have the least hash. Rows without shingles are linked with nothing, so they all stay."""
+    the one whose other columns as JSON have the least hash. Rows without shingles are linked with nothing, so they all stay. All
+    columns of docs stay, whatever their names."""
     each = grouped(docs, k, percent, True, text, key).groupBy("root", "doc_id", "t1", "t2").agg(F.count("*").alias("same"))
+    each = cut(each)
     least = each.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "t1", "t2", "same")).alias("row"))
     found = least.select("row.doc_id", "row.t1", "row.t2", "row.same").union(each.where("root is null").select("doc_id", "t1", "t2", F.lit(0).cast("long")))
-    found = cut(found.toDF("__id", "__t1", "__t2", "__same"))
-    one, two = text_key(docs[text])
-    rows = docs.select(*docs.columns, one.alias("__k1"), two.alias("__k2"))
-    kept = rows.join(found, [rows["__k1"] == found["__t1"], rows["__k2"] == found["__t2"], rows[key].eqNullSafe(found["__id"])])
-    if found.where("__same > 1").limit(1).count():
-        row = F.xxhash64(F.to_json(F.struct(*docs.columns)))
-        nth = F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy(row))
-        kept = kept.withColumn("__nth", F.when(F.col("__same") > 0, nth).otherwise(1)).where("__nth = 1")
-    return kept.select(*docs.columns)
+    found = cut(found.toDF("id", "t1", "t2", "same"))
+    given = Rows(docs)
+    one, two = text_key(F.col(given.column(text)))
+    rows = given.df.select(*given.plain, one.alias("k1"), two.alias("k2"))
+    kept = rows.join(found, [rows["k1"] == found["t1"], rows["k2"] == found["t2"], rows[given.column(key)].eqNullSafe(found["id"])])
+    if found.where("same > 1").limit(1).count():
+        one = kept.where("same > 1").groupBy("k1", "k2", "id").agg(F.min_by(F.struct(*given.plain), F.xxhash64(F.to_json(F.struct(*given.plain)))).alias("row"))
+        kept = kept.where("same < 2").select(*given.plain).unionByName(one.select("row.*"))
+    return given.back(kept, {})

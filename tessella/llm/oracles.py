@@ -61,18 +61,22 @@ FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 _system = ", ".join(map(quoted, SYSTEM_ROLES))
 _before, _after = OTHER.split("{}")
 nl = lambda text: "'" + text.replace("\n", "' || chr(10) || '") + "'"
+_plain = lambda text: rf"regexp_replace({text}, '<(\\*)\|', '<\\\1|', 'g')"
+_name = lambda text: rf"regexp_replace({_plain(text)}, '\|(\\*)>', '|\\\1>', 'g')"
 OP8 = f"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
-p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM t),
-s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role NOT IN ({_system})),
-v AS (SELECT p.*, (pos // {SEGMENT}) AS segment, speaker, text || {nl(END)} AS body,
-  CASE WHEN role = speaker THEN {nl(OWN)} WHEN role IN ({_system}) THEN {nl(SYSTEM)} ELSE {nl(_before)} || role || {nl(_after)} END AS head
-  FROM p JOIN s ON p.conv_id IS NOT DISTINCT FROM s.conv_id),
-o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, segment, speaker ORDER BY pos) AS stop FROM v)
-SELECT conv_id, segment::BIGINT AS segment, speaker, count(*)::BIGINT AS n_turns, string_agg(head || body, '' ORDER BY pos) AS rendered,
+WITH t AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () ELSE -1 END AS alone, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text) - 1 AS pos, count(*) OVER (PARTITION BY conv_id, alone) AS n FROM t),
+s AS (SELECT DISTINCT conv_id, alone, role AS speaker FROM t WHERE role NOT IN ({_system})),
+q AS (SELECT conv_id, alone, (pos // {SEGMENT}) AS segment, pos, role, text FROM p UNION ALL
+  SELECT conv_id, alone, later, -1, role, text FROM p, unnest(range(1, (n - 1) // {SEGMENT} + 1)) AS r(later) WHERE pos = 0 AND role IN ({_system})),
+v AS (SELECT q.*, speaker, {_plain("text")} || {nl(END)} AS body,
+  CASE WHEN role = speaker THEN {nl(OWN)} WHEN role IN ({_system}) THEN {nl(SYSTEM)} ELSE {nl(_before)} || {_name("role")} || {nl(_after)} END AS head
+  FROM q JOIN s ON q.conv_id IS NOT DISTINCT FROM s.conv_id AND q.alone = s.alone),
+o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, alone, segment, speaker ORDER BY pos) AS stop FROM v)
+SELECT conv_id, segment::BIGINT AS segment, speaker, (count(*) FILTER (WHERE pos >= 0))::BIGINT AS n_turns, string_agg(head || body, '' ORDER BY pos) AS rendered,
   coalesce(string_agg((stop - length(body))::BIGINT || '-' || stop::BIGINT, ',' ORDER BY pos) FILTER (WHERE role = speaker), '') AS mask,
   coalesce(sum(length(body)) FILTER (WHERE role = speaker), 0)::BIGINT AS n_learnt
-FROM o GROUP BY conv_id, segment, speaker
+FROM o GROUP BY conv_id, alone, segment, speaker
 """
 
 
@@ -103,7 +107,12 @@ place AS (SELECT doc_id, label, diagonal AS start FROM v WHERE phrase GROUP BY d
 lines AS (SELECT DISTINCT doc_id, template, diagonal FROM v WHERE NOT phrase),
 marked AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {GAP} THEN 1 ELSE 0 END AS fresh FROM lines),
 grouped AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS g FROM marked),
-span AS (SELECT doc_id, label, count(DISTINCT a)::DOUBLE / runs AS coverage FROM v JOIN grouped USING (doc_id, template, diagonal) GROUP BY doc_id, template, label, runs, g HAVING count(DISTINCT a)::DOUBLE / runs >= {COVERAGE}),
+votes AS (SELECT v.*, g FROM v JOIN grouped USING (doc_id, template, diagonal) WHERE NOT phrase),
+stepped AS (SELECT *, CASE WHEN abs(diagonal - lag(diagonal) OVER near) > {GAP} OR pos - lag(pos) OVER near > {K + GAP} THEN 1 ELSE 0 END AS breaks FROM votes WINDOW near AS (PARTITION BY doc_id, template, g ORDER BY pos, a)),
+parted AS (SELECT *, sum(breaks) OVER (PARTITION BY doc_id, template, g ORDER BY pos, a ROWS UNBOUNDED PRECEDING) AS part FROM stepped),
+onward AS (SELECT *, a > coalesce(max(a) OVER (PARTITION BY doc_id, template, g, part ORDER BY pos, a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS forth FROM parted),
+measured AS (SELECT doc_id, label, (count(*) FILTER (WHERE forth))::DOUBLE / greatest(runs, max(pos) - min(pos) + 1) AS coverage FROM onward GROUP BY doc_id, template, label, runs, g, part),
+span AS (SELECT * FROM measured WHERE coverage >= {COVERAGE}),
 base AS (SELECT doc_id, count(*) AS n, min(start) AS f, max(start) AS l, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM place GROUP BY doc_id),
 every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score FROM (SELECT doc_id, label, coverage FROM span UNION ALL SELECT doc_id, label, 1.0 FROM place) GROUP BY doc_id)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, f::BIGINT AS first_word, l::BIGINT AS last_word, coalesce(base.labels, '') AS base_labels, coalesce(every.labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_table, chunks, grams, mix, small_batches, text_bytes, words_of
+from .common import Rows, byte_table, chunks, grams, mix, text_bytes, with_fields, words_of
 
 STATISTICS = ["log_bytes", "log_words", "word_bytes", "upper", "digits", "marks", "bangs", "bars", "stops", "lines", "high", "distinct_words", "distinct_triples", "top_word"]
 #: Byte classes, counted a byte of text (upper: a letter).
@@ -58,21 +58,17 @@ def statistics(column: pa.Array) -> np.ndarray:
     return np.stack([out[s] for s in STATISTICS], axis=1)
 
 
-def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a column stat_<name> for each of STATISTICS; one pass over the texts, no shuffle."""
-    small_batches(docs.sparkSession)
+def add_statistics(df: DataFrame, text: str) -> DataFrame:
+    """df (of plain column names) with a column stat_<name> for each of STATISTICS; one pass over the texts, no shuffle."""
     added = [f"stat_{s}" for s in STATISTICS]
-    stay = [f for f in docs.schema.fields if f.name not in added]
-    names = [f.name for f in stay]
-    at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch.append_column("__whole", batch.column(at)), "__whole"):
-                got = statistics(part.column("__whole"))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *(pa.array(got[:, i]) for i in range(len(added)))], names=[*names, *added])
+            for part, texts in chunks(batch, text):
+                got = statistics(texts)
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(got[:, i]) for i in range(len(added)))], names=[*part.schema.names, *added])
 
-    return docs.select(*names).mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in stay), *(f"{a} double" for a in added)]))
+    return df.mapInArrow(run, with_fields(df, ", ".join(f"{a} double" for a in added)))
 
 
 @dataclass(frozen=True)
@@ -170,23 +166,32 @@ class RuleEnsemble:
 
 
 def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalties: tuple[float, ...] = (0.01, 0.004, 0.0015, 0.0006)) -> RuleEnsemble:
-    """The penalty is the one with the least loss on every fifth row; all rows are then fitted with it. Without examples every score
-    is 1, so that nothing is rejected for want of labels; with one class only, scores are that class's smoothed share."""
+    """The penalty is the one with the least loss on every fifth row, of which neither the rules nor the weights tried have seen any;
+    rules and weights are then learnt from all rows. Without examples every score is 1, so that nothing is rejected for want of
+    labels; with one class only, scores are that class's smoothed share."""
     if not len(y):
         return RuleEnsemble(40.0, [])
     if y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
         return RuleEnsemble(float(np.log(share / (1 - share))), [])
-    rules = tree_rules(x, y, trees, depth, 32, 0.2, max(3, len(y) // 500))
-    z = np.stack([r.holds(x) for r in rules], axis=1) if rules else np.zeros((len(y), 0))
+
+    def grown(rows: np.ndarray) -> tuple[list[Rule], np.ndarray]:
+        rules = tree_rules(x[rows], y[rows], trees, depth, 32, 0.2, max(3, len(rows) // 500))
+        return rules, np.stack([r.holds(x) for r in rules], axis=1) if rules else np.zeros((len(y), 0))
+
+    penalty = penalties[0]
     test = np.arange(len(y)) % 5 == 4
+    if len(y) > 50 and 0 < y[~test].mean() < 1:
+        _, z = grown(np.flatnonzero(~test))
 
-    def loss(penalty: float) -> float:
-        b, w = lasso(z[~test], y[~test], penalty)
-        raw = b + z[test] @ w
-        return float(np.logaddexp(0, np.where(y[test] > 0, -raw, raw)).mean())
+        def loss(penalty: float) -> float:
+            b, w = lasso(z[~test], y[~test], penalty)
+            raw = b + z[test] @ w
+            return float(np.logaddexp(0, np.where(y[test] > 0, -raw, raw)).mean())
 
-    b, w = lasso(z, y, min(penalties, key=loss) if test.any() and len(y) > 50 else penalties[0])
+        penalty = min(penalties, key=loss)
+    rules, z = grown(np.arange(len(y)))
+    b, w = lasso(z, y, penalty)
     return RuleEnsemble(b, [(r, float(v)) for r, v in zip(rules, w, strict=True) if abs(v) > 1e-4])
 
 
@@ -196,20 +201,24 @@ def held_out(key: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, text: str = "text", key: str = "doc_id", label: str = "quality") -> RuleEnsemble:
-    """Fits on at most `max_labelled` labelled rows that aren't held out, those with the least hash of the key; that bound is what the
-    driver gets. Rows without key or label, and labels without a document, don't count."""
-    known = labels.select(labels[key].alias("__key"), labels[label].cast("int").alias("__y")).where(F.col("__key").isNotNull() & F.col("__y").isin(0, 1) & ~held_out(F.col("__key")))
-    known = known.orderBy(F.xxhash64("__key"), "__key", "__y").limit(max_labelled)
-    mine = docs.select(docs[key].alias("__key"), F.coalesce(docs[text], F.lit("")).alias("__text")).join(F.broadcast(known), "__key")
-    rows = with_statistics(mine, "__text").drop("__text").orderBy(F.xxhash64("__key"), "__key", "__y", "stat_log_bytes").limit(max_labelled).toPandas()
-    return fit_rules(rows[[f"stat_{s}" for s in STATISTICS]].to_numpy(), rows["__y"].to_numpy(float))
+    """Fits on at most `max_labelled` labelled rows that aren't held out, those with the least hash of the key (ties by key and label);
+    that bound is what the driver gets. Rows without key or label, and labels without a document, don't count; other columns of
+    either table are ignored. Repeated rows count as often as they stand."""
+    given, rows = Rows(labels), Rows(docs)
+    known = given.df.select(F.col(given.column(key)).alias("key"), F.col(given.column(label)).cast("int").alias("y")).where(F.col("key").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("key")))
+    known = known.orderBy(F.xxhash64("key"), "key", "y").limit(max_labelled)
+    mine = rows.df.select(F.col(rows.column(key)).alias("key"), F.coalesce(rows.column(text), F.lit("")).alias("text")).join(F.broadcast(known), "key")
+    found = add_statistics(mine, "text").drop("text").orderBy(F.xxhash64("key"), "key", "y", "stat_log_bytes").limit(max_labelled).toPandas()
+    return fit_rules(found[[f"stat_{s}" for s in STATISTICS]].to_numpy(), found["y"].to_numpy(float))
 
 
 def quality_scores(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.7, text: str = "text") -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if score is at least threshold).
 
-    Only the whole text counts; a null or empty one has statistics of 0 and gets the score of those. Repeated rows are repeated, an
-    empty table gives no rows. All columns of docs stay, but for those with a clashing name, which the result's replace.
+    Only the whole text counts, however long; a null or empty one has statistics of 0 and gets the score of those. Equal texts have
+    equal scores. Repeated rows are repeated, an empty table gives no rows. All columns of docs stay, whatever their names, but for
+    those named like an added one (in any case), which the result's replace.
     """
-    out = with_statistics(docs.drop("score", "predicted"), text).withColumn("score", model.column())
-    return out.drop(*[f"stat_{s}" for s in STATISTICS]).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rows = Rows(docs)
+    out = add_statistics(rows.df, rows.column(text)).withColumn("score", model.column())
+    return rows.back(out, {"score": "score", "predicted": (F.col("score") >= threshold).cast("int")})

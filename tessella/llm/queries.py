@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import byte_bpe, read_ranks
 from .chats import rotate
+from .common import small_batches
 from .contamination import contamination
 from .fingerprints import fingerprints
 from .licenses import scan_licenses
@@ -23,6 +24,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import global_rank
+from .common import Rows, global_rank
 
 SIZE_OVERHEAD = 16
 
@@ -42,12 +43,24 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def ordinal(column: Column, kind: str) -> Column:
-    """A long that orders as the column does: numbers themselves, of strings the first seven bytes; null lowest."""
-    if kind == "string":
-        raw = F.rpad(F.hex(F.encode(F.substring(column, 1, 7), "UTF-8")), 14, "0")
-        return F.coalesce(F.conv(F.substring(raw, 1, 14), 16, 10).cast("long"), F.lit(-1))
-    return F.coalesce(column.cast("long"), F.lit(-(1 << 62)))
+def ordinals(rows: DataFrame, dims: list[str]) -> DataFrame:
+    """rows with the columns `dims` replaced by longs that order as they do: of whole numbers, dates and times the value, of floating ones
+    and strings the place among the distinct values, so that the whole value counts; null lowest. Distinct values are ranked by range
+    partitions and joined back, so their number may be any."""
+    kinds = {d: rows.schema[d].dataType for d in dims}
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType, T.TimestampType)
+    for d in dims:
+        if isinstance(kinds[d], (*whole, T.DateType)):
+            value = F.unix_date(d) if isinstance(kinds[d], T.DateType) else F.col(d)
+            rows = rows.withColumn(d, F.coalesce(value.cast("long"), F.lit(-(1 << 62))))
+    for kind in {repr(k): k for d, k in kinds.items() if not isinstance(k, (*whole, T.DateType))}.values():
+        mine = [d for d in dims if kinds[d] == kind]
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(d).alias("value")) for i, d in enumerate(mine)]))
+        values, _ = global_rank(rows.select(each.alias("v")).select("v.*").where("value is not null").distinct(), [F.col("dim"), F.col("value")], "place")
+        for i, d in enumerate(mine):
+            at = values.where(F.col("dim") == i).select(F.col("value").alias("__value"), F.col("place").alias("__place"))
+            rows = rows.join(at, F.col(d) == F.col("__value"), "left").withColumn(d, F.coalesce("__place", F.lit(-1).cast("long"))).drop("__value", "__place")
+    return rows
 
 
 def curve_shards(docs: DataFrame, dims: list[str], shards: int = 40, law: str = "rows", bits: int = 6, text: str = "text", key: str = "doc_id", carry: bool = False) -> DataFrame:
@@ -55,19 +68,20 @@ def curve_shards(docs: DataFrame, dims: list[str], shards: int = 40, law: str =
     of metadata and readers can skip shards by the extrema of any dimension.
 
     Each dimension is cut into 2**bits cells at its quantiles (of which the driver gets 2**bits - 1 a dimension), so that the cells
-    hold alike many rows whatever the distribution. law: "rows" (counts of shards at most one apart) or "bytes" (runs cut where the
-    running size passes multiples of total / shards; a shard's size differs from it by a row's at most). Within a cell, rows lie in
-    the order of text checksum and key, so equal texts of like metadata stay together until a cut.
-    Nulls: a null text has no bytes, a null dimension counts as lowest, null keys come first. Equal rows get slots of their own.
-    An empty table gives no rows. Returns doc_id, size, text_crc32, curve, shard, slot (from 0, gapless) and, with carry, a struct
-    `row` of all columns of docs; else other columns are ignored.
+    hold alike many rows whatever the distribution; strings are ordered whole. law: "rows" (counts of shards at most one apart) or
+    "bytes" (runs cut where the running size passes multiples of total / shards; a shard's size differs from it by a row's at most).
+    Within a cell, rows lie in the order of text checksum, key and size, so equal texts of like metadata stay together until a cut.
+    Nulls: a null text has no bytes, a null dimension counts as lowest, null keys come first. A text's length doesn't matter. Equal rows
+    get slots of their own. An empty table gives no rows. Returns doc_id, size, text_crc32, curve, shard, slot (from 0, gapless) and,
+    with carry, a struct `row` of all columns of docs under plain names (Rows); else other columns are ignored, whatever their names.
     """
     if law not in ("rows", "bytes"):
         raise ValueError(f"law {law!r}")
-    kinds = dict(docs.dtypes)
+    given = Rows(docs)
     names = [f"__d{i}" for i in range(len(dims))]
-    body = F.coalesce(docs[text], F.lit(""))
-    slim = docs.select(docs[key].alias("doc_id"), (F.octet_length(body) + SIZE_OVERHEAD).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), *[ordinal(docs[c], kinds[c]).alias(n) for c, n in zip(dims, names, strict=True)], *([F.struct(*docs.columns).alias("row")] if carry else []))
+    body = F.coalesce(given.column(text), F.lit(""))
+    slim = given.df.select(F.col(given.column(key)).alias("doc_id"), (F.octet_length(body) + SIZE_OVERHEAD).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), *[F.col(given.column(c)).alias(n) for c, n in zip(dims, names, strict=True)], *([F.struct(*given.plain).alias("row")] if carry else []))
+    slim = ordinals(slim, names)
     cells = 1 << bits
     steps = [i / cells for i in range(1, cells)]
     cuts = slim.agg(*[F.percentile_approx(n, steps, 10_000).alias(n) for n in names]).first()
@@ -87,20 +101,21 @@ def curve_shards(docs: DataFrame, dims: list[str], shards: int = 40, law: str =
     return by_bytes(ranked, shards)
 
 
-def write_shards(docs: DataFrame, dims: list[str], path: str, shards: int = 40, law: str = "bytes", **options) -> DataFrame:
-    """Writes the rows as Parquet, a folder `_shard=n` a shard in the order of its slots, and returns the manifest: shard, rows, bytes
-    and the extrema of each dimension (lo_, hi_), by which a reader tells the shards it can skip. A task writes one shard."""
+def write_shards(docs: DataFrame, dims: list[str], path: str, shards: int = 40, law: str = "bytes", file_bytes: int = 256 << 20, **options) -> DataFrame:
+    """Writes the rows as Parquet, a folder `_shard=n` a shard, and returns the manifest: shard, rows, bytes and the extrema of each
+    dimension (lo_, hi_), by which a reader tells the shards it can skip. Shards are written in runs of slots of about `file_bytes` of
+    text, a task and a file each, in order, so a shard may have any size."""
     out = curve_shards(docs, dims, shards, law, carry=True, **options)
-    rows = out.repartition("shard").sortWithinPartitions("shard", "slot")
-    rows.select(F.col("shard").alias("_shard"), "row.*").write.mode("overwrite").partitionBy("_shard").parquet(path)
-    extrema = [f(F.col(f"row.{d}")).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]
+    given = Rows(docs)
+    size = out.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    rows = out.repartitionByRange(max(shards, -(-size // file_bytes)), "shard", "slot").sortWithinPartitions("shard", "slot")
+    rows.select(F.col("shard").alias("_shard"), *[F.col("row")[c].alias(n) for c, n in zip(given.plain, given.names, strict=True)]).write.mode("overwrite").partitionBy("_shard").parquet(path)
+    extrema = [f(F.col("row")[given.column(d)]).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]
     return out.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), *extrema)
 
 
 def by_bytes(ranked: DataFrame, shards: int) -> DataFrame:
     """Runs of near equal size. The running size is that of all earlier blocks of ranks plus that within the block."""
-    from pyspark.sql import Window
-
     block = 4096
     blocks = ranked.groupBy(F.expr(f"rank div {block}").alias("b")).agg(F.sum("size").alias("bytes"))
     outer, _ = global_rank(blocks, [F.col("b")], "nth")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, text_bytes
+from .common import Rows, chunks, text_bytes, with_fields
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,15 @@ def host_rule(host: str, path: str, verdict: str) -> UrlRule:
 
 #: The rules of the query contract, and globs for hosts that only exist to be linked to.
 BASE_RULES = [host_rule("com", "/en/", "block"), host_rule("example.com", "/en/7", "allow"), host_rule("net", "/de/", "allow"), host_rule("example.net", "/de/8", "block"), host_rule("org", "/es/", "block")]
-SPAM_GLOBS = [UrlRule(g, "block") for g in ("*.spam-*/**", "*.spam-*", "*-farm.*", "*-farm.*/**", "*cheap-*", "*cheap-*/**", "*-pills.*", "*-pills.*/**", "*casino*", "*casino*/**")]
+
+#: Words that mark such hosts where they stand between dots or hyphens: betting, adult content, advertising and tracking, quack
+#: remedies, loans, link and download farms.
+SPAM_WORDS = (
+    "casino casinos poker slots bets betting jackpot lottery roulette bingo gambling adult porn xxx sex nude escort escorts webcams "
+    "ad ads adserver adservice banners popups popunder tracker trackers tracking pixel clicks affiliate affiliates "
+    "pills viagra cialis steroids replica payday loans bitcoin-doubler get-rich spam spam-farm link-farm linkfarm warez keygen clickbait free-gifts free-money"
+).split()
+SPAM_GLOBS = [UrlRule(f"*{before}{w}{after}**", "block") for w in SPAM_WORDS for before in ".-" for after in ".-"]
 
 
 class Automaton:
@@ -126,25 +134,25 @@ def path_of(url: Column) -> Column:
 def filter_urls(pages: DataFrame, rules: list[UrlRule] | None = None, default: str = "allow", url: str = "url") -> DataFrame:
     """pages with host, path, rule (the deciding rule's name or null), verdict.
 
-    Each row by itself, whatever the URL's length; no shuffle. A null URL, or one without ://, has empty host and path; it gets the
-    verdict of what matches the canonical form `.`, so mostly the default. Repeated rows are repeated, an empty table gives no rows.
-    All columns of pages stay, but for those with a clashing name, which the result's replace.
+    Each row by itself, whatever the URL's length; no shuffle. Of rules of one rank the first decides. A null or empty URL, or one
+    without ://, has empty host and path; it gets the verdict of what matches the canonical form `.`, so mostly the default. Repeated
+    rows are repeated, an empty table gives no rows. All columns of pages stay, whatever their names, but for those named like an
+    added one (in any case), which the result's replace.
     """
     rules = [*BASE_RULES, *SPAM_GLOBS] if rules is None else rules
-    added = ["host", "path", "rule", "verdict"]
-    names = [c for c in pages.columns if c not in added]
-    read = pages.select(*names, host_of(pages[url]).alias("__host"), path_of(pages[url]).alias("__path"))
-    rows = read.select(F.struct(*names).alias("row"), F.col("__host").alias("host"), F.col("__path").alias("path")).withColumn("canonical", F.concat(F.lit("."), "host", "path"))
-    kind = rows.schema["row"].dataType.simpleString()
+    plain = Rows(pages)
+    at = F.col(plain.column(url))
+    rows = plain.df.withColumns({"host": host_of(at), "path": path_of(at)}).withColumn("canonical", F.concat(F.lit("."), "host", "path"))
     order = sorted(range(len(rules)), key=lambda i: (-rules[i].rank, i))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Automaton(rules)
         for batch in batches:
-            for part in chunks(batch, "canonical", 1 << 18):
-                hit = machine.matches(part.column("canonical"))[:, order]
+            for part, texts in chunks(batch, "canonical", 1 << 18):
+                hit = machine.matches(texts)[:, order]
                 best = np.where(hit.any(axis=1), hit.argmax(axis=1), -1) if len(rules) else np.full(len(part), -1)
                 chosen = [rules[order[b]] if b >= 0 else None for b in best.tolist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([r and r.name for r in chosen], pa.string()), pa.array([r.verdict if r else default for r in chosen], pa.string())], names=["row", *added])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([r and r.name for r in chosen], pa.string()), pa.array([r.verdict if r else default for r in chosen], pa.string())], names=[*part.schema.names, "rule", "verdict"])
 
-    return rows.mapInArrow(run, f"row {kind}, host string, path string, rule string, verdict string").select("row.*", *added)
+    out = rows.mapInArrow(run, with_fields(rows, "rule string, verdict string"))
+    return plain.back(out, {c: c for c in ("host", "path", "rule", "verdict")})

@@ -56,9 +56,10 @@ def family(n, seed):
     return out
 
 
-def test_clusters_of_several_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("limit", [("BLOCK", 8), ("BLOCK_SHINGLES", 700)])
+def test_clusters_of_several_blocks(spark, monkeypatch, limit):
     """A cluster larger than a block gives the same components as one compared in one piece."""
-    monkeypatch.setattr(neardups, "BLOCK", 8)
+    monkeypatch.setattr(neardups, *limit)
     texts = family(60, 1) + family(40, 2)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in near_duplicates(docs, 2).collect()}
@@ -82,7 +83,9 @@ def test_buckets_with_unlike_ends(spark, monkeypatch, bucket):
     assert got[3] == got[5] and {got[i] for i in (0, 2, 6, 9)} == {0} and 7 not in got and 4 not in got
 
 
-def test_few_frequent_lines(spark):
+@pytest.mark.parametrize("bucket", [2048, 20])
+def test_few_frequent_lines(spark, monkeypatch, bucket):
+    monkeypatch.setattr(neardups, "BUCKET", bucket)
     rng = random.Random(7)
     lines = [" ".join(f"l{i}w{j}" for j in range(8)) for i in range(30)]
     texts = []

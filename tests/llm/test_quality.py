@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import numpy as np
@@ -46,6 +48,31 @@ def test_statistics_by_hand():
     assert (statistics(pa.array([""]))[0] == 0).all()
 
 
+def slow_statistics(text):
+    """The statistics by their names, in plain Python."""
+    data, w = text.encode(), re.findall(rb"[^\x20\x09-\x0D]+", text.encode())
+    size, n = max(len(data), 1), max(len(w), 1)
+    count = lambda b: sum(data.count(bytes([c])) for c in b)
+    upper, lower = count(range(65, 91)), count(range(97, 123))
+    triples = list(zip(w, w[1:], w[2:]))
+    out = {"log_bytes": math.log1p(len(data)), "log_words": math.log1p(len(w)), "word_bytes": sum(map(len, w)) / n, "upper": upper / max(upper + lower, 1)}
+    out |= {"digits": count(b"0123456789") / size, "marks": count(b"#$%&*@^~<>{}[]\\=+_") / size, "bangs": count(b"!?") / size, "bars": count(b"|") / size, "stops": count(b".,;:") / size, "lines": count(b"\n") / size}
+    out |= {"high": sum(c > 127 for c in data) / size, "distinct_words": len(set(w)) / n, "distinct_triples": len(set(triples)) / max(len(triples), 1)}
+    return out | {"top_word": max(map(w.count, set(w)), default=0) / n}
+
+
+def test_scores_by_plain_python(spark, docs, corpus):
+    """Every score is that of the learnt rules over statistics that are computed independently."""
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = train(table, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert model.rules
+    for rows in (quality_scores(table, model).collect(), quality_scores(docs, model).collect()):
+        for r in rows:
+            s = slow_statistics(r.text or "")
+            raw = model.intercept + sum(w for rule, w in model.rules if all((s[STATISTICS[i]] > t) == above for i, above, t in rule.terms))
+            assert r.score == pytest.approx(1 / (1 + math.exp(-raw)), abs=1e-9) and r.predicted == int(r.score >= 0.7)
+
+
 def test_defined_results(spark, docs, corpus, empty):
     labels = spark.createDataFrame([(i, j % 2, 0) for j, (i, _, _) in enumerate(corpus)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     model = train(docs, labels)
