@@ -25,20 +25,39 @@ def pair_sums(values: DataFrame, unit: str, value: str, genes: list[str] | None
     return met.groupBy("gene1", "gene2").agg(F.sum(F.col("u") * F.col("v")).alias("s"))
 
 
+#: Genes of a block of the dense products: a task holds the square of it, 128 MB.
+GENES = 4096
+
+
 def pair_sums_dense(values: DataFrame, unit: str, value: str, block: int = 512) -> DataFrame:
     """pair_sums() for many genes: the units of a partition become matrices whose products are summed there, so that each partition
-    sends one row a pair. Genes are numbered by the driver; their number is that of the panel, not of the data."""
+    sends one row a pair. Genes are numbered by the driver, as a panel's are few; every two blocks of GENES genes take a pass of their
+    own, so a task never holds more than a square of that size."""
     names = sorted(r.gene for r in values.select("gene").distinct().collect())
+    parts = [names[lo : lo + GENES] for lo in range(0, len(names), GENES)] or [[]]
+    out = None
+    for a in range(len(parts)):
+        for b in range(a, len(parts)):
+            mine = values if len(parts) == 1 else values.where(F.col("gene").between(parts[a][0], parts[a][-1]) | F.col("gene").between(parts[b][0], parts[b][-1]))
+            one = block_products(mine, unit, value, parts[a], parts[b], block)
+            out = one if out is None else out.unionByName(one)
+    return out.groupBy("gene1", "gene2").agg(F.sum("s").alias("s"))
+
+
+def block_products(values: DataFrame, unit: str, value: str, left: list[str], right: list[str], block: int) -> DataFrame:
+    """Of each partition, the sums of products of the genes of two blocks, gene1 <= gene2."""
+    names = left if left is right else left + right
     at = {g: i for i, g in enumerate(names)}
+    n, m = len(left), len(right)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), len(names)))
+        total = np.zeros((n, m))
         held: list[np.ndarray] = []
 
         def add() -> None:
             if held:
-                m = np.stack(held)
-                total[...] += m.T @ m
+                rows = np.stack(held)
+                total[...] += rows[:, :n].T @ rows[:, len(names) - m :]
                 held.clear()
 
         for batch in batches:
@@ -49,13 +68,19 @@ def pair_sums_dense(values: DataFrame, unit: str, value: str, block: int = 512)
                 if len(held) == block:
                     add()
         add()
-        i, j = np.triu_indices(len(names))
-        keep = total[i, j] != 0
-        i, j = i[keep], j[keep]
-        yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in i], pa.string()), pa.array([names[x] for x in j], pa.string()), pa.array(total[i, j])], names=["gene1", "gene2", "s"])
+        i, j = np.nonzero(np.triu(total) if left is right else total)
+        yield pa.RecordBatch.from_arrays([pa.array([left[x] for x in i], pa.string()), pa.array([right[x] for x in j], pa.string()), pa.array(total[i, j])], names=["gene1", "gene2", "s"])
 
     rows = values.groupBy(unit).agg(F.collect_list("gene").alias("genes"), F.collect_list(value).alias("numbers")).select("genes", "numbers")
-    return rows.mapInArrow(run, "gene1 string, gene2 string, s double").groupBy("gene1", "gene2").agg(F.sum("s").alias("s"))
+    return rows.mapInArrow(run, "gene1 string, gene2 string, s double")
+
+
+def require_size(genes: DataFrame, limit_gb: float | None) -> None:
+    """An error if the full matrix of gene pairs, as doubles, is larger than the limit; None is no limit. For callers that mean to collect
+    it: pair tables themselves stay distributed."""
+    n = genes.count() if limit_gb is not None else 0
+    if limit_gb is not None and 8 * n * n > limit_gb * 2**30:
+        raise MemoryError(f"the matrix of {n} genes takes {8 * n * n / 2**30:.1f} GB, more than {limit_gb}")
 
 
 def lees_l(values: DataFrame, edges: DataFrame, info: DataFrame, value: str = "z", diagonal: bool = False, dense: bool = False, genes: list[str] | None = None) -> DataFrame:
@@ -123,10 +148,27 @@ def spearman(values: DataFrame, unit: str, value: str = "value", n: DataFrame |
     return pearson(zero_ranks(values, n, value), unit, value, n)
 
 
+def kendall(values: DataFrame, unit: str, value: str = "value") -> DataFrame:
+    """(gene1, gene2, r): Kendall's tau-b over all units, absent values as zeros. For every gene the signs of the differences of every
+    two units are taken, in blocks of units, so work is quadratic in units: for tables of a few thousand."""
+    units = values.select(unit).distinct()
+    every = units.crossJoin(F.broadcast(values.select("gene").distinct())).join(values.select(unit, "gene", F.col(value).alias("v")), [unit, "gene"], "left").na.fill(0.0, ["v"])
+    a = every.select(F.col(unit).alias("u1"), "gene", F.col("v").alias("v1"))
+    b = every.select(F.col(unit).alias("u2"), "gene", F.col("v").alias("v2"))
+    signs = a.join(b, "gene").where("u1 < u2").select(F.struct("u1", "u2").alias("two"), "gene", F.signum(F.col("v1") - F.col("v2")).alias("s")).where("s <> 0")
+    norm = signs.groupBy("gene").agg(F.count("*").cast("double").alias("q"))
+    sums = pair_sums(signs, "two", "s").where("gene1 < gene2")
+    genes = values.select("gene").distinct()
+    pairs = genes.select(F.col("gene").alias("gene1")).join(genes.select(F.col("gene").alias("gene2")), F.col("gene1") < F.col("gene2"))
+    side = lambda k: F.broadcast(norm.select(F.col("gene").alias(f"gene{k}"), F.col("q").alias(f"q{k}")))
+    met = pairs.join(sums, ["gene1", "gene2"], "left").join(side(1), "gene1", "left").join(side(2), "gene2", "left")
+    return met.select("gene1", "gene2", F.coalesce(F.col("s") / F.sqrt(F.col("q1") * F.col("q2")), F.lit(0.0)).alias("r"))
+
+
 def t_statistics(pairs: DataFrame, n: int) -> DataFrame:
-    """pairs with t of the correlation, |r| kept below 1."""
+    """pairs with t of a correlation over n units, |r| kept below 1, and its degrees of freedom df."""
     r = F.greatest(F.lit(-0.9999), F.least(F.lit(0.9999), F.col("r")))
-    return pairs.withColumn("t", r * F.sqrt(F.lit(float(n - 2)) / (1.0 - r * r)))
+    return pairs.withColumn("t", r * F.sqrt(F.lit(float(n - 2)) / (1.0 - r * r))).withColumn("df", F.lit(n - 2))
 
 
 def shared(values: DataFrame, unit: str = "grid_id") -> DataFrame:
@@ -179,11 +221,13 @@ def fold_pairs(totals: DataFrame) -> DataFrame:
 
 
 def module_similarity(density: DataFrame, method: str = "pearson") -> DataFrame:
-    """(gene1, gene2, similarity) of modules by their densities (grid_id, gene, value): jaccard of presence, pearson, spearman, cosine."""
+    """(gene1, gene2, similarity) of modules by their densities (grid_id, gene, value): jaccard of presence, pearson, spearman, kendall, cosine."""
     if method == "pearson":
         return pearson(density, "grid_id").withColumnRenamed("r", "similarity")
     if method == "spearman":
         return spearman(density, "grid_id").withColumnRenamed("r", "similarity")
+    if method == "kendall":
+        return kendall(density, "grid_id").withColumnRenamed("r", "similarity")
     if method == "jaccard":
         return jaccard(density.withColumnRenamed("value", "count"), 1, 1 << 30).withColumnRenamed("jaccard", "similarity")
     q = density.groupBy("gene").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("q"))

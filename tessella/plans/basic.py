@@ -169,7 +169,10 @@ def modules(spark: S, sf: str) -> DataFrame:
 
 
 def lee(spark: S, sf: str) -> DataFrame:
-    info, z = xz(spark, sf)
+    return lee_of(*xz(spark, sf))
+
+
+def lee_of(info: DataFrame, z: DataFrame) -> DataFrame:
     return stored(pairs.lees_l(z, stored(weights.weights(info)), info))
 
 
@@ -177,6 +180,12 @@ def pear(spark: S, sf: str) -> DataFrame:
     return pairs.pearson(xz(spark, sf)[1], "grid_id", "z")
 
 
+def delta(spark: S, sf: str, clamp: str = "none") -> DataFrame:
+    """Pairs with L, r and Delta, from one layer."""
+    info, z = xz(spark, sf)
+    return ranking.deltas(lee_of(info, z), pairs.pearson(z, "grid_id", "z"), clamp)
+
+
 @query("FLT11_signed_quantiles", with_("lee", f"SELECT gene1, gene2, {r('L')} FROM lee, (SELECT quantile_cont(v, 0.1) AS a, quantile_cont(v, 0.95) AS b FROM ent WHERE v >= 0), (SELECT quantile_cont(-v, 0.1) AS c, quantile_cont(-v, 0.95) AS d FROM ent WHERE v < 0) WHERE CASE WHEN L >= 0 THEN L BETWEEN a AND b ELSE -L BETWEEN c AND d END", "ent AS (SELECT L AS v FROM lee UNION ALL SELECT L FROM lee UNION ALL SELECT 0.0 FROM range((SELECT count(DISTINCT gene) FROM xz)))"))
 def signed_quantiles(spark: S, sf: str) -> DataFrame:
     return rounded(ranking.quantile_filter(lee(spark, sf), xz(spark, sf)[1].select("gene").distinct(), 0.1, 0.95).select("gene1", "gene2", "L"))
@@ -199,7 +208,7 @@ def mask(spark: S, sf: str) -> DataFrame:
 
 @query("FLT13_pair_ranges", with_("delta", f"SELECT gene1, gene2, {r('L')}, {r('r')} FROM delta WHERE r BETWEEN -0.5 AND 0.2 AND L BETWEEN -0.1 AND 0.1"))
 def ranges(spark: S, sf: str) -> DataFrame:
-    return rounded(ranking.in_ranges(ranking.deltas(lee(spark, sf), pear(spark, sf)), (-0.5, 0.2), (-0.1, 0.1)).select("gene1", "gene2", "L", "r"))
+    return rounded(ranking.in_ranges(delta(spark, sf), (-0.5, 0.2), (-0.1, 0.1)).select("gene1", "gene2", "L", "r"))
 
 
 CURVE_SQL = "curve AS (SELECT i, -1.0::DOUBLE + i * 0.1::DOUBLE AS x, (-1.0::DOUBLE + i * 0.1::DOUBLE) * 0.5::DOUBLE - 0.05::DOUBLE AS lo, (-1.0::DOUBLE + i * 0.1::DOUBLE) * 0.5::DOUBLE + 0.05::DOUBLE AS hi FROM range(0, 21) AS t(i))"
@@ -213,17 +222,17 @@ def band(spark: S) -> DataFrame:
 
 @query("FLT14_ci_rule", with_("delta", f"SELECT gene1, gene2, {r('L')}, {r('r')}, {r('lo')}, {r('hi')} FROM band WHERE L < lo OR L > hi", CURVE_SQL, BAND_SQL))
 def ci(spark: S, sf: str) -> DataFrame:
-    return rounded(curve.ci_rule(ranking.deltas(lee(spark, sf), pear(spark, sf)), band(spark), "remove_within").select("gene1", "gene2", "L", "r", "lo", "hi"))
+    return rounded(curve.ci_rule(delta(spark, sf), band(spark), "remove_within").select("gene1", "gene2", "L", "r", "lo", "hi"))
 
 
 @query("INT01_interpolation", with_("delta", f"SELECT gene1, gene2, {r('lo')}, {r('hi')} FROM band", CURVE_SQL, BAND_SQL))
 def interpolation(spark: S, sf: str) -> DataFrame:
-    return rounded(curve.interpolate(ranking.deltas(lee(spark, sf), pear(spark, sf)), band(spark), "r", ["lo", "hi"]).select("gene1", "gene2", "lo", "hi"))
+    return rounded(curve.interpolate(delta(spark, sf), band(spark), "r", ["lo", "hi"]).select("gene1", "gene2", "lo", "hi"))
 
 
 @query("FLT15_finite_pairs", with_("delta", f"SELECT gene1, gene2, {r('L')}, {r('r')} FROM delta WHERE isfinite(L) AND isfinite(r)"))
 def finite(spark: S, sf: str) -> DataFrame:
-    return rounded(ranking.finite_pairs(ranking.deltas(lee(spark, sf), pear(spark, sf))).select("gene1", "gene2", "L", "r"))
+    return rounded(ranking.finite_pairs(delta(spark, sf)).select("gene1", "gene2", "L", "r"))
 
 
 @query("FLT17_matrix_predicate", with_("lee", f"SELECT gene1, gene2, {r('L')} FROM lee WHERE L > 0.01"))

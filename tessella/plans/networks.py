@@ -9,7 +9,7 @@ from ..operators import curve, graphs, grids, metadata, pairs, ranking, views, w
 from ..sources import tables as T
 from ..storage import stored
 from ..streaming import binning
-from .basic import BAND_SQL, BH_SQL, CURVE_SQL, P_SQL, band, idelta, lee, modules, pear, with_p
+from .basic import BAND_SQL, BH_SQL, CURVE_SQL, P_SQL, band, delta, idelta, lee, modules, with_p
 from .registry import good, layer, md5_int, md5_sql, query, r, rounded, with_, xz
 
 S = SparkSession
@@ -308,7 +308,7 @@ def scatter(spark: S, sf: str) -> DataFrame:
 
 @query("PLT12_l_vs_r", with_("delta", f"SELECT gene1, gene2, {r('L')}, {r('r')}, {r('Delta')}, L < lo OR L > hi AS outside FROM band", CURVE_SQL, BAND_SQL))
 def l_vs_r(spark: S, sf: str) -> DataFrame:
-    met = curve.interpolate(ranking.deltas(lee(spark, sf), pear(spark, sf)), band(spark), "r", ["lo", "hi"])
+    met = curve.interpolate(delta(spark, sf), band(spark), "r", ["lo", "hi"])
     return rounded(met.select("gene1", "gene2", "L", "r", "Delta", ((F.col("L") < F.col("lo")) | (F.col("L") > F.col("hi"))).alias("outside")))
 
 

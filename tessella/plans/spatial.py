@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.distributions import beta_interval, signed_z, t_p_value
 from ..operators import curve, grids, inference, pairs, ranking, weights
 from ..sources import tables as T
-from .basic import BH_SQL, P_SQL, idelta, lee, modules, pear, with_p
+from ..storage import stored
+from .basic import BH_SQL, P_SQL, delta, idelta, lee, lee_of, modules, pear, with_p
 from .registry import layer, md5_int, md5_sql, query, r, rounded, with_, xz
 
 S = SparkSession
@@ -83,11 +84,11 @@ def lattice(spark: S, sf: str) -> DataFrame:
     return weights.check_lattice(layer(spark, sf)[0])
 
 
-PRESENT = "v AS (SELECT grid_id AS i, gene, least(1.0, c / 20.0) AS value FROM counts WHERE gene < 'Brand#23')"
+PRESENT = "v AS (SELECT grid_id AS i, gene, least(1.0, c / 20.0) AS value FROM counts)"
 
 
 def presence(spark: S, sf: str) -> DataFrame:
-    return layer(spark, sf)[1].where("gene < 'Brand#23'").select(F.col("grid_id").alias("i"), "gene", F.least(F.lit(1.0), F.col("count") / 20.0).alias("value"))
+    return layer(spark, sf)[1].select(F.col("grid_id").alias("i"), "gene", F.least(F.lit(1.0), F.col("count") / 20.0).alias("value"))
 
 
 @query("WGT11_fuzzy_diffusion", with_("counts w", f"SELECT i, gene, {r('greatest(0.0, least(1.0, sum(value)))', 'value')} FROM (SELECT * FROM v UNION ALL SELECT w.i, gene, 0.5 * w.w * value FROM wn w JOIN v ON v.i = w.j) GROUP BY i, gene", WN, PRESENT))
@@ -170,16 +171,38 @@ def pearson_dense(spark: S, sf: str) -> DataFrame:
     return rounded(pairs.pearson(T.expression(spark, sf), "sample", dense=True))
 
 
-@query("COR02_t_statistics", with_("ex", f"SELECT gene1, gene2, {r('greatest(-0.9999, least(0.9999, r)) * sqrt(18 / (1 - greatest(-0.9999, least(0.9999, r)) ** 2))', 't')} FROM ({EX_R.format('ex')})"))
+#: t of a correlation over all n units; its two-sided p from the closed forms that whole degrees of freedom have, by Abramowitz and
+#: Stegun 26.7.3 (odd) and 26.7.4 (even): sums of products of (2i - 1) / 2i or 2i / (2i + 1).
+def t_sql(source: str, n: str) -> tuple[str, ...]:
+    clipped = "greatest(-0.9999, least(0.9999, r))"
+    return (
+        f"nn AS ({n})", f"tt AS (SELECT gene1, gene2, r, nu, {clipped} * sqrt(nu / (1 - {clipped} ** 2)) AS t FROM {source}, (SELECT n - 2 AS nu FROM nn))",
+        "co AS (SELECT 0 AS j, 1.0::DOUBLE AS even, 1.0::DOUBLE AS odd UNION ALL SELECT i, exp(sum(ln((2 * i - 1) / (2.0 * i))) OVER (ORDER BY i)), exp(sum(ln((2.0 * i) / (2 * i + 1))) OVER (ORDER BY i)) FROM nn, range(1, (n // 2)::BIGINT) AS t(i))",
+        "an AS (SELECT gene1, gene2, nu, atan(abs(t) / sqrt(nu)) AS th FROM tt)",
+        "pt AS (SELECT gene1, gene2, CASE WHEN nu % 2 = 0 THEN 1 - sin(th) * sum(CASE WHEN j <= (nu - 2) / 2 THEN even * cos(th) ** (2 * j) ELSE 0 END) WHEN nu = 1 THEN 1 - 2 * th / pi() ELSE 1 - 2 / pi() * (th + sin(th) * sum(CASE WHEN j <= (nu - 3) / 2 THEN odd * cos(th) ** (2 * j + 1) ELSE 0 END)) END AS p FROM an, co GROUP BY gene1, gene2, nu, th)",
+    )
+
+
+EX_N = "SELECT count(DISTINCT sample) AS n FROM ex"
+
+
+def correlation_t(spark: S, sf: str) -> DataFrame:
+    x = T.expression(spark, sf)
+    return pairs.t_statistics(pairs.pearson(x, "sample", dense=True), x.select("sample").distinct().count())
+
+
+@query("COR02_t_statistics", with_("ex", f"SELECT gene1, gene2, {r('t')}, nu::INT AS df FROM tt", f"rr AS ({EX_R.format('ex')})", *t_sql("rr", EX_N)[:2]))
 def t_values(spark: S, sf: str) -> DataFrame:
-    return rounded(pairs.t_statistics(pairs.pearson(T.expression(spark, sf), "sample", dense=True), 20).select("gene1", "gene2", "t"))
+    return rounded(correlation_t(spark, sf).select("gene1", "gene2", "t", "df"))
 
 
-@query("COR02_correlation_fdr")
+@query("COR02_correlation_fdr", with_("ex", f"SELECT gene1, gene2, {r('p')}, {r('least(1.0, min(p * m / k) OVER (ORDER BY p DESC))', 'fdr')} FROM (SELECT *, count(*) OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM pt)", f"rr AS ({EX_R.format('ex')})", *t_sql("rr", EX_N)))
 def correlation_fdr(spark: S, sf: str) -> DataFrame:
-    x = T.expression(spark, sf)
-    t = pairs.t_statistics(pairs.pearson(x, "sample", dense=True), 500).withColumn("p", t_p_value(F.col("t"), F.lit(498)))
-    return rounded(inference.adjusted(t))
+    t = correlation_t(spark, sf)
+    return rounded(inference.adjusted(t.withColumn("p", t_p_value(F.col("t"), F.col("df")))).select("gene1", "gene2", "p", "fdr"))
+
+
+KENDALL = "SELECT gene1, gene2, round(tau, 6) + 0.0 AS r FROM (SELECT a.gene AS gene1, b.gene AS gene2, sum(sign(a.v - c.v) * sign(b.v - d.v)) / sqrt(sum(abs(sign(a.v - c.v))) * sum(abs(sign(b.v - d.v)))) AS tau FROM full_ a JOIN full_ b ON a.sample = b.sample AND a.gene < b.gene JOIN full_ c ON c.gene = a.gene AND c.sample > a.sample JOIN full_ d ON d.gene = b.gene AND d.sample = c.sample GROUP BY a.gene, b.gene)"
 
 
 @query("COR03_spearman", with_("ex", f"SELECT gene1, gene2, {r('r')} FROM ({EX_R.format('rk')})", "rk AS (SELECT sample, gene, rank() OVER (PARTITION BY gene ORDER BY v) + (count(*) OVER (PARTITION BY gene, v) - 1) / 2.0 AS v FROM ex)"))
@@ -212,10 +235,11 @@ def signed(spark: S, sf: str) -> DataFrame:
     return rounded(p.select("gene1", "gene2", "L", "p", signed_z(F.col("L"), F.col("p")).alias("z")))
 
 
-@query("SCL03_t_p_values")
+@query("SCL03_t_p_values", with_("pear info", f"SELECT gene1, gene2, {r('p')} FROM pt", *t_sql("pear", "SELECT count(*) AS n FROM info")))
 def t_p(spark: S, sf: str) -> DataFrame:
-    t = pairs.t_statistics(pear(spark, sf), 100)
-    return rounded(t.withColumn("p", t_p_value(F.col("t"), F.lit(98))))
+    info, z = xz(spark, sf)
+    t = pairs.t_statistics(pairs.pearson(z, "grid_id", "z"), info.count())
+    return rounded(t.select("gene1", "gene2", t_p_value(F.col("t"), F.col("df")).alias("p")))
 
 
 @query("SCL04_p_modes", with_("lee", f"SELECT gene1, gene2, {r('(k + 1) / 100.0', 'exact')}, {r('(k + 1) / 101.0', 'beta')}, {r('(k + 0.5) / 100.0', 'mid')}, {r('(k + u) / 100.0', 'uniform')} FROM kv", K_SQL))
@@ -296,6 +320,7 @@ _module_sql = {
     "spearman": with_("counts mods", f"SELECT gene1, gene2, {r('r', 'similarity')} FROM ({EX_R.format('rk')})", MODD, FULL, RANKED),
     "jaccard": with_("counts mods", f"SELECT a.gene AS gene1, b.gene AS gene2, {r('sum(CASE WHEN a.v > 0 AND b.v > 0 THEN 1 ELSE 0 END) / sum(CASE WHEN a.v > 0 OR b.v > 0 THEN 1 ELSE 0 END)', 'similarity')} FROM full_ a JOIN full_ b ON a.sample = b.sample AND a.gene < b.gene GROUP BY a.gene, b.gene", MODD, FULL),
 }
+_module_sql["kendall"] = with_("counts mods", KENDALL.replace("AS r FROM", "AS similarity FROM"), MODD, FULL)
 for _m, _sql in _module_sql.items():
     query(f"SIM03_module_{_m}", _sql)(lambda spark, sf, m=_m: rounded(pairs.module_similarity(module_density(spark, sf), m)))
 
@@ -314,7 +339,7 @@ def within_between_query(spark: S, sf: str) -> DataFrame:
 
 @query("TST01_signed_rank", with_("counts mods", f"SELECT n::BIGINT AS n, v, {r('(v - n * (n + 1) / 4 - 0.5) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)', 'z')} FROM (SELECT count(*)::DOUBLE AS n, sum(CASE WHEN d > 0 THEN k ELSE 0 END)::DOUBLE AS v, (SELECT sum(c * c * c - c)::DOUBLE FROM (SELECT a, count(*) AS c FROM dd GROUP BY a)) AS ties FROM (SELECT d, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS k FROM dd))", *JACS, AGG13, "dd AS (SELECT within - between_ AS d, round(abs(within - between_), 12) AS a FROM wb WHERE within <> between_)"))
 def signed_rank(spark: S, sf: str) -> DataFrame:
-    return rounded(inference.signed_rank(within_between(spark, sf)))
+    return rounded(inference.signed_rank(within_between(spark, sf)).select("n", "v", "z"))
 
 
 @query("TST01_sign_flips", with_("counts mods", f"SELECT {r('o', 'observed')}, sum(CASE WHEN m >= o - 1e-12 THEN 1 ELSE 0 END)::BIGINT AS k, {r('(sum(CASE WHEN m >= o - 1e-12 THEN 1 ELSE 0 END) + 1) / 201.0', 'p')} FROM (SELECT b, avg(CASE WHEN {md5_sql('b', 'gene')} / 4294967296.0 < 0.5 THEN d ELSE -d END) AS m FROM dd, range(1, 201) AS t(b) GROUP BY b), (SELECT avg(d) AS o FROM dd) GROUP BY o", *JACS, AGG13, "dd AS (SELECT gene, within - between_ AS d FROM wb)"))
@@ -322,58 +347,61 @@ def sign_flips(spark: S, sf: str) -> DataFrame:
     return rounded(inference.sign_flips(within_between(spark, sf), 200))
 
 
-def _perm_sql(n: int, block: bool) -> str:
+@query("TST01_sign_flips_two_sided", with_("counts mods", f"SELECT {r('o', 'observed')}, sum(CASE WHEN abs(m) >= abs(o) - 1e-12 THEN 1 ELSE 0 END)::BIGINT AS k FROM (SELECT b, avg(CASE WHEN {md5_sql('b', 'gene')} / 4294967296.0 < 0.5 THEN d ELSE -d END) AS m FROM dd, range(1, 501) AS t(b) GROUP BY b), (SELECT avg(d) AS o FROM dd) GROUP BY o", *JACS, AGG13, "dd AS (SELECT gene, within - between_ AS d FROM wb)"))
+def sign_flips_two_sided(spark: S, sf: str) -> DataFrame:
+    return rounded(inference.sign_flips(within_between(spark, sf), 500, "two.sided").select("observed", "k"))
+
+
+def _perm_sql(n: int, block: bool, selected: str) -> list[str]:
     blocks = "bi AS (SELECT grid_id, " + ("floor((gx - 1) / 4) * 1000 + floor((gy - 1) / 4)" if block else "0") + " AS block FROM info)"
     perm = f"perm AS (SELECT a.b, a.grid_id, s.grid_id AS src FROM (SELECT b, block, grid_id, row_number() OVER (PARTITION BY b, block ORDER BY grid_id) AS k FROM bi, range(1, {n + 1}) AS t(b)) a JOIN (SELECT b, block, grid_id, row_number() OVER (PARTITION BY b, block ORDER BY md5(b || '_' || grid_id), grid_id) AS k FROM bi, range(1, {n + 1}) AS t(b)) s USING (b, block, k))"
-    sel = "sel AS (SELECT gene1, gene2, L, r FROM delta WHERE gene1 IN ('Brand#11', 'Brand#12') ORDER BY gene1, gene2)"
     plag = "plag AS (SELECT b, w.i, gene, sum(w.w * z) AS lag FROM perm JOIN xz ON xz.grid_id = perm.src JOIN w ON w.j = perm.grid_id GROUP BY b, w.i, gene)"
-    lb = "lb AS (SELECT b, sel.gene1, sel.gene2, L, r, (SELECT count(*) FROM info) / s2 * sum(a.lag * c.lag) / sqrt(p.q * q.q) AS lb FROM sel JOIN plag a ON a.gene = gene1 JOIN plag c ON c.gene = gene2 AND c.b = a.b AND c.i = a.i JOIN norm p ON p.gene = gene1 JOIN norm q ON q.gene = gene2, s2 GROUP BY a.b, sel.gene1, sel.gene2, L, r, s2, p.q, q.q)".replace("SELECT b, sel", "SELECT a.b, sel")
-    return ",\x00".join((blocks, perm, sel, plag, lb))
+    lb = "lb AS (SELECT a.b, sel.gene1, sel.gene2, L, r, (SELECT count(*) FROM info) / s2 * sum(a.lag * c.lag) / sqrt(p.q * q.q) AS lb FROM sel JOIN plag a ON a.gene = gene1 JOIN plag c ON c.gene = gene2 AND c.b = a.b AND c.i = a.i JOIN norm p ON p.gene = gene1 JOIN norm q ON q.gene = gene2, s2 GROUP BY a.b, sel.gene1, sel.gene2, L, r, s2, p.q, q.q)"
+    return [blocks, perm, f"sel AS ({selected})", plag, lb]
 
 
-def perm_query(name: str, n: int, block: bool, delta: bool) -> None:
-    hit = "abs(lb - r) >= abs(L - r) - 1e-12" if delta else "abs(lb) >= abs(L) - 1e-12"
+def perm_query(name: str, n: int, block: bool, delta_: bool, recompute: bool = False) -> None:
+    """All pairs of the panel, by blocks of genes; the SQL draws the same permutations."""
+    hit = "abs(lb - r) >= abs(L - r) - 1e-12" if delta_ else "abs(lb) >= abs(L) - 1e-12"
     count = f"sum(CASE WHEN {hit} THEN 1 ELSE 0 END)"
-    sql = with_("delta info", f"SELECT gene1, gene2, {count}::BIGINT AS k, {r(f'({count} + 1) / {n + 1}.0', 'p')} FROM lb GROUP BY gene1, gene2", *_perm_sql(n, block).split(",\x00"))
+    sql = with_("delta info", f"SELECT gene1, gene2, {count}::BIGINT AS k, {r(f'({count} + 1) / {n + 1}.0', 'p')} FROM lb GROUP BY gene1, gene2", *_perm_sql(n, block, "SELECT gene1, gene2, L, r FROM delta"))
 
     @query(name, sql)
     def run(spark: S, sf: str) -> DataFrame:
         info, z = xz(spark, sf)
-        some = F.col("gene1").isin("Brand#11", "Brand#12")
-        seen = lee(spark, sf).where(some)
-        seen = seen.join(pear(spark, sf), ["gene1", "gene2"]) if delta else seen
-        perms = inference.permutations(grids.block_ids(info, 4), n, "block") if block else inference.permutations(info.select("grid_id"), n)
-        out = inference.permutation_test(z, weights.weights(info), info, seen, perms, n, "r" if delta else None)
+        edges = stored(weights.weights(info))
+        seen = stored(pairs.lees_l(z, edges, info))
+        if delta_:
+            seen = seen.join(pairs.pearson(z, "grid_id", "z"), ["gene1", "gene2"])
+        tiles = grids.block_ids(info, 4) if block else info
+        out = inference.permutation_test_dense(z, edges, tiles, seen, n, "block" if block else None, "r" if delta_ else None, recompute)
         return rounded(out.select("gene1", "gene2", "k", "p"))
 
 
-perm_query("PRM01_global_permutations", 49, False, False)
-perm_query("PRM02_block_permutations", 49, True, False)
-perm_query("PRM03_delta_permutations", 49, False, True)
+perm_query("PRM01_global_permutations", 99, False, False)
+perm_query("PRM02_block_permutations", 99, True, False)
+perm_query("PRM03_delta_permutations", 99, False, True)
+perm_query("PRM04_delta_recomputed", 49, True, True, True)
 
 
-def all_pairs_query(name: str, n: int, block: bool) -> None:
-    @query(name)
-    def run(spark: S, sf: str) -> DataFrame:
-        info, z = xz(spark, sf)
-        perms = inference.permutations(grids.block_ids(info, 4), n, "block") if block else inference.permutations(info.select("grid_id"), n)
-        return rounded(inference.permutation_test(z, weights.weights(info), info, lee(spark, sf), perms, n).select("gene1", "gene2", "k", "p"))
-
+@query("PRM01_permutations_by_joins", with_("delta info", f"SELECT gene1, gene2, sum(CASE WHEN abs(lb) >= abs(L) - 1e-12 THEN 1 ELSE 0 END)::BIGINT AS k FROM lb GROUP BY gene1, gene2", *_perm_sql(19, False, "SELECT gene1, gene2, L, r FROM delta")))
+def permutations_by_joins(spark: S, sf: str) -> DataFrame:
+    info, z = xz(spark, sf)
+    perms = stored(inference.permutations(info.select("grid_id"), 19))
+    return inference.permutation_test(z, stored(weights.weights(info)), info, lee_of(info, z), perms, 19).select("gene1", "gene2", "k")
 
-all_pairs_query("PRM01_global_permutations_all_pairs", 49, False)
-all_pairs_query("PRM02_block_permutations_all_pairs", 49, True)
 
+FAULTY = "bp AS (SELECT b, grid_id, CASE WHEN b = 3 AND grid_id = (SELECT max(grid_id) FROM perm) THEN (SELECT min(grid_id) FROM perm) ELSE src END AS src FROM perm WHERE b <> 5 OR grid_id <> (SELECT min(grid_id) FROM perm)), bb AS (SELECT p.b, count(DISTINCT src) AS s, count(DISTINCT p.grid_id) AS t, sum(CASE WHEN x.block <> y.block THEN 1 ELSE 0 END) AS across_ FROM bp p JOIN bi x ON x.grid_id = p.grid_id JOIN bi y ON y.grid_id = src GROUP BY p.b)"
 
-@query("PRM01_dense_permutations")
-def dense_permutations(spark: S, sf: str) -> DataFrame:
-    info, z = xz(spark, sf)
-    return rounded(inference.permutation_test_dense(z, weights.weights(info), lee(spark, sf), 99))
 
-
-@query("PRM05_permutation_guards", "SELECT 9::BIGINT AS permutations, 0::BIGINT AS not_bijective, 0::BIGINT AS across_blocks")
+@query("PRM05_permutation_guards", with_("delta info", "SELECT count(*) AS permutations, sum(CASE WHEN s <> n OR t <> n THEN 1 ELSE 0 END)::BIGINT AS not_bijective, sum(across_)::BIGINT AS across_blocks FROM bb, (SELECT count(*) AS n FROM info)", *_perm_sql(9, True, "SELECT gene1, gene2, L, r FROM delta")[:2], FAULTY))
 def guards(spark: S, sf: str) -> DataFrame:
-    blocks = grids.block_ids(layer(spark, sf)[0], 4)
-    return inference.check_permutations(inference.permutations(blocks, 9, "block"), blocks, "block")
+    """Of nine permutations one has a source twice, across blocks, and one lacks a tile."""
+    blocks = stored(grids.block_ids(layer(spark, sf)[0], 4))
+    perms = inference.permutations(blocks, 9, "block")
+    ends = blocks.agg(F.min("grid_id").alias("lo"), F.max("grid_id").alias("hi"))
+    bad = perms.crossJoin(F.broadcast(ends)).where("b <> 5 or grid_id <> lo").select("b", "grid_id", F.when((F.col("b") == 3) & (F.col("grid_id") == F.col("hi")), F.col("lo")).otherwise(F.col("src")).alias("src"))
+    return inference.check_permutations(stored(bad), blocks, "block")
 
 
 TOP = "SELECT gene1, gene2, " + ", ".join(r(c) for c in ("L", "r", "Delta"))
@@ -381,37 +409,56 @@ TOP = "SELECT gene1, gene2, " + ", ".join(r(c) for c in ("L", "r", "Delta"))
 
 @query("TOP01_top_pairs", with_("delta", f"{TOP} FROM (SELECT *, rank() OVER (ORDER BY Delta DESC) AS a, rank() OVER (ORDER BY Delta) AS b FROM delta) WHERE a <= 10 OR b <= 10"))
 def top_pairs(spark: S, sf: str) -> DataFrame:
-    return rounded(ranking.top_pairs(ranking.deltas(lee(spark, sf), pear(spark, sf)), 10, "both").select("gene1", "gene2", "L", "r", "Delta"))
+    return rounded(ranking.top_pairs(delta(spark, sf), 10, "both").select("gene1", "gene2", "L", "r", "Delta"))
 
 
 @query("TOP02_labelled_extremes", with_("delta", f"SELECT gene1, gene2, {r('Delta')}, 'top' AS \"end\" FROM (SELECT * FROM delta ORDER BY Delta DESC, gene1, gene2 LIMIT 5) UNION ALL SELECT gene1, gene2, {r('Delta')}, 'bottom' FROM (SELECT * FROM delta ORDER BY Delta, gene1, gene2 LIMIT 5)"))
 def extremes(spark: S, sf: str) -> DataFrame:
-    return rounded(ranking.labelled_extremes(ranking.deltas(lee(spark, sf), pear(spark, sf)), 5))
+    return rounded(ranking.labelled_extremes(delta(spark, sf), 5))
 
 
 @query("RNK01_ranked_pairs", with_("delta", f"{TOP} FROM (SELECT *, rank() OVER (ORDER BY Delta DESC) AS a FROM (SELECT gene1, gene2, L, greatest(r, 0) AS r, L - greatest(r, 0) AS Delta FROM delta) WHERE r BETWEEN -1 AND 1 AND L BETWEEN -1 AND 1) WHERE a <= 10"))
 def ranked(spark: S, sf: str) -> DataFrame:
-    met = ranking.in_ranges(ranking.finite_pairs(ranking.deltas(lee(spark, sf), pear(spark, sf), "ref_only")))
+    met = ranking.in_ranges(ranking.finite_pairs(delta(spark, sf, "ref_only")))
     return rounded(ranking.top_pairs(met, 10).select("gene1", "gene2", "L", "r", "Delta"))
 
 
-@query("RNK01_ranked_with_fdr")
+@query("RNK01_ranked_with_fdr", with_("delta info", f"{TOP}, k, {r('p')}, {r('least(1.0, min(p * m / c) OVER (ORDER BY p DESC))', 'delta_fdr')} FROM (SELECT *, count(*) OVER (ORDER BY p) AS c, (SELECT count(*) FROM delta) AS m FROM (SELECT gene1, gene2, L, r, L - r AS Delta, sum(CASE WHEN abs(lb - r) >= abs(L - r) - 1e-12 THEN 1 ELSE 0 END)::BIGINT AS k, (sum(CASE WHEN abs(lb - r) >= abs(L - r) - 1e-12 THEN 1 ELSE 0 END) + 1) / 50.0 AS p FROM lb GROUP BY gene1, gene2, L, r))", *_perm_sql(49, False, "SELECT gene1, gene2, L, r FROM (SELECT *, rank() OVER (ORDER BY Delta DESC) AS a FROM delta) WHERE a <= 20")))
 def ranked_fdr(spark: S, sf: str) -> DataFrame:
     info, z = xz(spark, sf)
-    met = ranking.deltas(lee(spark, sf), pear(spark, sf))
-    top = ranking.top_pairs(met, 5)
-    perms = inference.permutations(info.select("grid_id"), 19)
-    return rounded(ranking.ranked(met, inference.permutation_test(z, weights.weights(info), info, top, perms, 19, "r"), "BH_universe"))
+    edges = stored(weights.weights(info))
+    met = stored(ranking.deltas(pairs.lees_l(z, edges, info), pairs.pearson(z, "grid_id", "z")))
+    tested = inference.permutation_test_dense(z, edges, info, ranking.top_pairs(met, 20), 49, reference="r")
+    return rounded(ranking.ranked(met, tested, "BH_universe").select("gene1", "gene2", "L", "r", "Delta", "k", "p", "delta_fdr"))
 
 
 def curve_points(spark: S, sf: str) -> DataFrame:
-    met = ranking.deltas(lee(spark, sf), pear(spark, sf)).select(F.col("r").alias("x"), F.col("L").alias("y"))
+    met = delta(spark, sf).select(F.col("r").alias("x"), F.col("L").alias("y"))
     return curve.strata(met, 10, "x")
 
 
-@query("CRV01_local_fit")
+def fit_sql(places: str, out: str, k: str = "greatest(2, ceil(0.45 * (SELECT count(*) FROM pt)))") -> list[str]:
+    """out(x0, s0, mean, fit, w2): local fits of pt(x, y) at places(x0) over the k nearest points."""
+    return [
+        f"{out}_n AS (SELECT x0, x - x0 AS c, y, abs(x - x0) AS d, row_number() OVER (PARTITION BY x0 ORDER BY abs(x - x0)) AS k FROM ({places}), pt)",
+        f"{out}_w AS (SELECT x0, c, y, CASE WHEN h > 0 THEN greatest(1 - (d / h) ** 3, 0) ** 3 ELSE (d = 0)::INT END AS w FROM {out}_n JOIN (SELECT x0, max(d) AS h FROM {out}_n WHERE k <= {k} GROUP BY x0) USING (x0))",
+        f"{out}_s AS (SELECT x0, sum(w) AS s0, sum(w * c) AS s1, sum(w * c * c) AS s2, sum(w * y) AS t0, sum(w * c * y) AS t1, sum(w * w) AS q FROM {out}_w GROUP BY x0)",
+        f"{out} AS (SELECT x0, s0, t0 / s0 AS mean, CASE WHEN abs(s0 * s2 - s1 * s1) >= 1e-14 THEN (t0 - (s0 * t1 - s1 * t0) / (s0 * s2 - s1 * s1) * s1) / s0 ELSE t0 / s0 END AS fit, q / (s0 * s0) AS w2 FROM {out}_s)",
+    ]
+
+
+PT = "pt AS (SELECT r AS x, L AS y FROM delta)"
+GRID31 = "SELECT -0.3::DOUBLE + i * 0.02::DOUBLE AS x0 FROM range(0, 31) AS t(i)"
+
+
+@query("CRV01_local_fit", with_("delta", f"SELECT {r('x0', 'x')}, {r('fit')}, {r('w2')} FROM lf", PT, *fit_sql(GRID31, "lf")))
 def local_fit(spark: S, sf: str) -> DataFrame:
-    return rounded(curve.bootstrap_curve(curve_points(spark, sf), np.linspace(-0.3, 0.3, 31), b=2).select("x", "fit", "edf", "sigma2"))
+    return rounded(curve.local_fit(curve_points(spark, sf), np.linspace(-0.3, 0.3, 31)))
+
+
+@query("CRV01_local_means", with_("delta", f"SELECT {r('x0', 'x')}, {r('mean', 'fit')} FROM lf", PT, *fit_sql(GRID31, "lf", "least(40, ceil(0.3 * (SELECT count(*) FROM pt)))")))
+def local_means(spark: S, sf: str) -> DataFrame:
+    return rounded(curve.local_fit(curve_points(spark, sf), np.linspace(-0.3, 0.3, 31), 0.0, 0, 40).select("x", "fit"))
 
 
 @query("CRV02_bootstrap_bands")
@@ -425,13 +472,18 @@ def floor(spark: S, sf: str) -> DataFrame:
     return rounded(curve.width_floor(c, F.when(F.col("i") % 3 == 0, 0.4).otherwise(0.0)))
 
 
-@query("CRV04_hat_diagonal")
+@query("CRV03_finished_curve")
+def finished(spark: S, sf: str) -> DataFrame:
+    pts = stored(curve_points(spark, sf))
+    return rounded(curve.finished_curve(pts, stored(curve.bootstrap_curve(pts, np.linspace(-0.3, 0.3, 41), b=100)), "bc", 0.05, near=50))
+
+
+@query("CRV04_hat_diagonal", with_("delta", f"SELECT {r('edf')}, {r('ss / greatest(1, n - greatest(1, edf))', 'sigma2')}, {r('ss / greatest(1, n - 1)', 'sigma2_raw')} FROM (SELECT sum(1 / s0) AS edf, sum((y - fit) ** 2) AS ss, count(*) AS n FROM pt JOIN lf ON x0 = x)", PT, *fit_sql("SELECT DISTINCT x AS x0 FROM pt", "lf")))
 def hat(spark: S, sf: str) -> DataFrame:
-    return rounded(curve.bootstrap_curve(curve_points(spark, sf), np.linspace(-0.2, 0.2, 5), b=2, degree=0).select("x", "edf", "sigma2"))
+    return rounded(curve.bootstrap_curve(curve_points(spark, sf), np.linspace(-0.2, 0.2, 5), b=2).select("edf", "sigma2", "sigma2_raw").limit(1))
 
 
-@query("WIN08_local_mad")
+@query("WIN08_local_mad", with_("delta", f"SELECT {r('x0', 'x')}, {r('1.4826 * quantile_cont(abs(e - mid), 0.5)', 'mad')} FROM (SELECT x0, e, quantile_cont(e, 0.5) OVER (PARTITION BY x0) AS mid FROM nr WHERE k <= 50) GROUP BY x0", PT, *fit_sql(GRID31, "lf"), "g AS (SELECT x0, fit, row_number() OVER (ORDER BY x0) - 1 AS i FROM lf), rs AS (SELECT x, y - (a.fit + (t - a.i) * (b.fit - a.fit)) AS e FROM (SELECT *, least(greatest((x + 0.3::DOUBLE) / 0.02::DOUBLE, 0), 30) AS t FROM pt) p JOIN g a ON a.i = least(floor(t), 29) JOIN g b ON b.i = a.i + 1), nr AS (SELECT x0, e, row_number() OVER (PARTITION BY x0 ORDER BY abs(x - x0), x, e) AS k FROM g, rs)"))
 def mad(spark: S, sf: str) -> DataFrame:
-    pts = curve_points(spark, sf)
-    fit = curve.bootstrap_curve(pts, np.linspace(-0.3, 0.3, 31), b=2)
-    return rounded(curve.local_mad(pts, fit, 50))
+    pts = stored(curve_points(spark, sf))
+    return rounded(curve.local_mad(pts, curve.local_fit(pts, np.linspace(-0.3, 0.3, 31)), 50))

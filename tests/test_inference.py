@@ -9,10 +9,10 @@ from tessella.operators import curve, inference, metadata, ranking
 
 
 def test_distributions():
-    assert beta_cdf(2, 3, 0.4) == pytest.approx(0.5248, abs=1e-12)
-    assert beta_cdf(0.5, 0.5, 0.5) == pytest.approx(0.5, abs=1e-12)
-    assert t_two_sided(2.0, 10) == pytest.approx(0.07338803, abs=1e-8)
-    assert beta_cdf(3, 4, beta_quantile(0.3, 3, 4)) == pytest.approx(0.3, abs=1e-12)
+    assert float(beta_cdf(2, 3, 0.4)) == pytest.approx(0.5248, abs=1e-12)
+    assert float(beta_cdf(0.5, 0.5, 0.5)) == pytest.approx(0.5, abs=1e-12)
+    assert float(t_two_sided(np.array([2.0]), np.array([10.0]))[0]) == pytest.approx(0.07338803, abs=1e-8)
+    assert beta_cdf(3, 4, beta_quantile(0.3, np.array([3.0]), np.array([4.0])))[0] == pytest.approx(0.3, abs=1e-12)
 
 
 def ps(spark, values):
@@ -75,9 +75,9 @@ def test_curve_doesn_t_depend_on_tasks(spark):
     grid = np.linspace(-0.9, 0.9, 21)
     a = curve.bootstrap_curve(pts, grid, 41).orderBy("x").toPandas()
     b = curve.bootstrap_curve(pts.repartition(7), grid, 41).repartition(1).orderBy("x").toPandas()
-    assert np.array_equal(a.to_numpy(), b.to_numpy())
+    assert np.allclose(a.to_numpy(), b.to_numpy(), rtol=0, atol=1e-12)
     assert (a["lo"] <= a["hi"]).all() and np.abs(a["fit"] - grid**2).max() < 0.25
-    s = curve.smoother(x, grid, 0.45)
+    s = curve.smoother(x, grid, 33)
     assert np.allclose(s @ (3 * x + 1), 3 * grid + 1)
 
 
