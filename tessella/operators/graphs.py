@@ -73,12 +73,13 @@ def degrees(edges: DataFrame) -> DataFrame:
     return directed(edges.withColumn("__one", F.lit(1.0)), "__one").groupBy(F.col("a").alias("gene")).agg(F.count("*").alias("degree"))
 
 
-def gene_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(gene, component), the least gene that can be reached; each round takes the least of the neighbours, then of their own."""
+def gene_components(edges: DataFrame) -> DataFrame:
+    """(gene, component), the least gene that can be reached; each round takes the least of the neighbours, then of their own, until
+    nothing changes."""
     both = directed(edges.withColumn("__one", F.lit(1)), "__one").select("a", "b").distinct()
     both = stored(both)
     now = both.groupBy(F.col("a").alias("gene")).agg(F.min("b").alias("m")).select("gene", F.least("gene", "m").alias("component"))
-    for _ in range(rounds):
+    while True:
         near = both.join(now.select(F.col("gene").alias("b"), "component"), "b").groupBy(F.col("a").alias("gene")).agg(F.min("component").alias("m"))
         step = now.join(near, "gene").select("gene", F.col("component").alias("was"), F.least("component", "m").alias("c"))
         up = step.select(F.col("gene").alias("c"), F.col("c").alias("cc"))
@@ -87,8 +88,7 @@ def gene_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         done = not step.where("component <> was").limit(1).count()
         now = step.select("gene", "component")
         if done:
-            break
-    return now
+            return now
 
 
 def cluster_metrics(modules: DataFrame, agreement: DataFrame, edges: DataFrame) -> DataFrame:
@@ -180,44 +180,77 @@ def adjacency(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray]:
     return names, w
 
 
-def communities_of(w: np.ndarray, seed: int, resolution: float = 1.0, objective: str = "modularity") -> np.ndarray:
-    """Labels from 1 by local moving and aggregation until nothing gains. Before aggregation, labels are split into their connected
-    parts, so that every community is connected. objective: modularity, or CPM (sizes in the place of degrees)."""
+def moved(a: np.ndarray, mass: np.ndarray, label: np.ndarray, norm: float, resolution: float, rng: np.random.Generator) -> np.ndarray:
+    """Labels after moving single nodes to the label of the greatest gain until no move gains; every move raises the objective, so
+    this ends."""
+    label = label.copy()
+    held = np.bincount(label, mass, len(a))
+    again = True
+    while again:
+        again = False
+        for i in rng.permutation(len(a)):
+            links = np.bincount(label, a[i], len(a))
+            links[label[i]] -= a[i, i]
+            held[label[i]] -= mass[i]
+            gain = links - resolution * mass[i] * held / norm
+            gain[(links <= 0) & (np.arange(len(a)) != label[i])] = -np.inf
+            best = int(gain.argmax())
+            if gain[best] > gain[label[i]] + 1e-12:
+                label[i] = best
+                again = True
+            held[label[i]] += mass[i]
+    return label
+
+
+def refined_parts(a: np.ndarray, mass: np.ndarray, label: np.ndarray, norm: float, resolution: float, rng: np.random.Generator) -> np.ndarray:
+    """Each community's parts: from single nodes on, a node that is alone and well connected to its community joins the well-connected
+    part of it that gains most. So parts are connected, and communities made of them are."""
+    part = np.arange(len(a))
+    size = mass.astype(float).copy()
+    whole = np.bincount(label, mass, len(a))
+    outer = np.array([a[p][label == label[p]].sum() - a[p, p] for p in range(len(a))])  # of each part, its links to the rest of its community
+    for i in rng.permutation(len(a)):
+        c = label[i]
+        if (part == part[i]).sum() > 1 or outer[part[i]] < resolution * mass[i] * (whole[c] - mass[i]) / norm - 1e-12:
+            continue
+        links = np.bincount(part, np.where(label == c, a[i], 0.0), len(a))
+        links[part[i]] = 0
+        well = outer >= resolution * size * (whole[c] - size) / norm - 1e-12
+        gain = np.where((links > 0) & well, links - resolution * mass[i] * size / norm, 0.0)
+        best = int(gain.argmax())
+        if gain[best] > 1e-12:
+            outer[best] += outer[part[i]] - 2 * links[best]
+            size[best] += mass[i]
+            size[part[i]], outer[part[i]] = 0.0, 0.0
+            part[i] = best
+    return part
+
+
+def communities_of(w: np.ndarray, seed: int, resolution: float = 1.0, objective: str = "modularity", algorithm: str = "leiden") -> np.ndarray:
+    """Labels from 1 by moving nodes and aggregation until nothing gains. leiden: what is aggregated are the refined parts of the
+    communities, which may then be moved apart, so communities are connected; louvain: the communities themselves. objective:
+    modularity, or CPM (sizes in the place of degrees)."""
     rng = np.random.default_rng(seed)
-    n = len(w)
-    member = np.arange(n)
-    a, size = w.copy(), np.ones(n)
+    member, a = np.arange(len(w)), w.copy()
+    total = a.sum()
+    mass = a.sum(axis=1) if objective == "modularity" else np.ones(len(w))
+    norm = total if objective == "modularity" and total > 0 else 1.0
+    label = np.arange(len(w))
     while True:
-        total = a.sum()
-        mass = a.sum(axis=1) if objective == "modularity" else size
-        norm = total if objective == "modularity" and total > 0 else 1.0
-        label = np.arange(len(a))
-        held = mass.astype(float).copy()
-        moved = True
-        rounds = 0
-        while moved and rounds < 100:
-            moved, rounds = False, rounds + 1
-            for i in rng.permutation(len(a)):
-                links = np.bincount(label, a[i], len(a))
-                links[label[i]] -= a[i, i]
-                held[label[i]] -= mass[i]
-                gain = links - resolution * mass[i] * held / norm
-                gain[(links <= 0) & (np.arange(len(a)) != label[i])] = -np.inf
-                best = int(gain.argmax())
-                if gain[best] > gain[label[i]] + 1e-12:
-                    label[i] = best
-                    moved = True
-                held[label[i]] += mass[i]
-        label = connected_parts(a, label)
-        _, label = np.unique(label, return_inverse=True)
-        member = label[member]
-        if label.max() + 1 == len(a):
+        _, label = np.unique(moved(a, mass, label, norm, resolution, rng), return_inverse=True)
+        part = refined_parts(a, mass, label, norm, resolution, rng) if algorithm == "leiden" else label
+        _, first, part = np.unique(part, return_index=True, return_inverse=True)
+        if len(first) == len(a):
             break
-        fold = np.zeros((label.max() + 1, len(a)))
-        fold[label, np.arange(len(a))] = 1
-        a, size = fold @ a @ fold.T, fold @ size
-    first = {}
-    return np.array([first.setdefault(m, len(first) + 1) for m in member])
+        member, label = part[member], label[first]
+        fold = np.zeros((len(first), len(a)))
+        fold[part, np.arange(len(a))] = 1
+        a, mass = fold @ a @ fold.T, fold @ mass
+    out = label[member]
+    if algorithm == "leiden":
+        out = connected_parts(w, out)
+    number: dict[int, int] = {}
+    return np.array([number.setdefault(m, len(number) + 1) for m in out.tolist()], int)
 
 
 def connected_parts(a: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -236,25 +269,59 @@ def connected_parts(a: np.ndarray, label: np.ndarray) -> np.ndarray:
     return out
 
 
-def restarts(edges: DataFrame, n: int, resolution: float = 1.0, objective: str = "modularity") -> DataFrame:
+def restarts(edges: DataFrame, n: int, resolution: float = 1.0, objective: str = "modularity", algorithm: str = "leiden") -> DataFrame:
     """(gene, run, label): communities of n seeded restarts, dealt out by run. edges: (gene1, gene2, weight) of one gene graph."""
     each = edges.select("gene1", "gene2", "weight").crossJoin(F.broadcast(edges.sparkSession.range(1, n + 1).select(F.col("id").cast("int").alias("run"))))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         names, w = adjacency(pdf)
         run = int(pdf["run"].iloc[0])
-        return pd.DataFrame({"gene": names, "run": run, "label": communities_of(w, run, resolution, objective)})
+        return pd.DataFrame({"gene": names, "run": run, "label": communities_of(w, run, resolution, objective, algorithm)})
 
     return in_one_task(each, ["run"], one, "gene string, run int, label int")
 
 
-def modules_of(edges: DataFrame, n: int = 20, threshold: float = 0.95, resolution: float = 1.0, objective: str = "modularity") -> DataFrame:
+def modules_of(edges: DataFrame, n: int = 20, threshold: float = 0.95, resolution: float = 1.0, objective: str = "modularity", algorithm: str = "leiden") -> DataFrame:
     """(gene, module): communities of the consensus graph of n restarts; the first restart's if the consensus is empty."""
-    runs = stored(restarts(edges, n, resolution, objective))
+    runs = stored(restarts(edges, n, resolution, objective, algorithm))
     agreed = consensus(runs, threshold).select("gene1", "gene2", "weight")
     if not agreed.limit(1).count():
         return runs.where("run = 1").select("gene", F.col("label").alias("module"))
-    return restarts(agreed, 1, resolution, objective).select("gene", F.col("label").alias("module"))
+    return restarts(agreed, 1, resolution, objective, algorithm).select("gene", F.col("label").alias("module"))
+
+
+def agreed_labels(w: np.ndarray, n: int, threshold: float, resolution: float, objective: str, algorithm: str) -> tuple[np.ndarray, np.ndarray]:
+    """Labels from 1 of the consensus of n restarts on one small graph, and the agreement matrix above the threshold."""
+    runs = np.stack([communities_of(w, seed, resolution, objective, algorithm) for seed in range(1, n + 1)])
+    agree = (runs[:, :, None] == runs[:, None, :]).mean(axis=0)
+    np.fill_diagonal(agree, 0)
+    agree[agree < threshold - 1e-12] = 0
+    return (communities_of(agree, 1, resolution, objective, algorithm) if agree.any() else runs[0]), agree
+
+
+def within(edges: DataFrame, modules: DataFrame) -> DataFrame:
+    """edges of genes of one module, with it."""
+    tag = lambda k: F.broadcast(modules.select(F.col("gene").alias(f"gene{k}"), F.col("module").alias(f"m{k}")))
+    return edges.join(tag(1), "gene1").join(tag(2), "gene2").where("m1 = m2").select("gene1", "gene2", "weight", F.col("m1").alias("module"))
+
+
+def reclustered(edges: DataFrame, modules: DataFrame, n: int = 20, threshold: float = 0.95, resolution: float = 1.0, objective: str = "modularity", algorithm: str = "leiden") -> DataFrame:
+    """(gene, module): every module clustered again on its own edges by the consensus of n restarts, a task a module; modules are numbered
+    from 1 over all. Genes without an edge inside go."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, w = adjacency(pdf)
+        label, _ = agreed_labels(w, n, threshold, resolution, objective, algorithm)
+        return pd.DataFrame({"gene": names, "old": int(pdf["module"].iloc[0]), "label": label})
+
+    found = within(edges, modules).withColumn("module", F.col("module").cast("int")).groupBy("module").applyInPandas(one, "gene string, old int, label int")
+    return numbered(stored(found), "old", "label")
+
+
+def numbered(rows: DataFrame, *by: str) -> DataFrame:
+    """(gene, module): a number from 1 for each combination of columns, in their order. As many combinations as modules."""
+    kinds = rows.select(*by).distinct().withColumn("__number", F.dense_rank().over(Window.orderBy(*by)))
+    return rows.join(F.broadcast(kinds), list(by)).select("gene", F.col("__number").alias("module"))
 
 
 def merge_tree(d: np.ndarray, method: str) -> list[tuple[int, int, float]]:
@@ -355,25 +422,59 @@ def restored_backbone(raw: DataFrame, filtered: DataFrame, modules: DataFrame, f
     return filtered.select("gene1", "gene2", "weight", F.lit(False).alias("restored")).union(added)
 
 
-def sub_modules(edges: DataFrame, modules: DataFrame, metrics: DataFrame, n: int = 10, size: int = 10, within: float = 0.5, conductance: float = 0.6, factor: float = 1.3, child: int = 5, groups: int = 3) -> DataFrame:
-    """(gene, module, part): loose modules (large, little agreement, much cut) clustered again at a higher resolution, where that gives
-    two to `groups` parts of `child` genes or more; part is 1 elsewhere."""
-    loose = metrics.where((F.col("size") >= size) & (F.col("within_cons") < within) & (F.col("conductance") > conductance)).select("module")
-    tag = lambda k: F.broadcast(modules.select(F.col("gene").alias(f"gene{k}"), F.col("module").alias(f"m{k}")))
-    own = edges.join(tag(1), "gene1").join(tag(2), "gene2").where("m1 = m2").join(F.broadcast(loose.withColumnRenamed("module", "m1")), "m1", "left_semi")
+def loose_modules(metrics: DataFrame, size: int = 10, within_cons: float = 0.5, conductance: float = 0.6) -> DataFrame:
+    """(module, within_cons) of the modules that are large, agree little and are cut much."""
+    return metrics.where((F.col("size") >= size) & (F.col("within_cons") < within_cons) & (F.col("conductance") > conductance)).select("module", "within_cons")
+
+
+def accepted(size: np.ndarray, agreement: np.ndarray, before: float, child: int = 5, groups: int = 3, gain: float = 0.07) -> bool:
+    """Whether parts take the place of their module: two to `groups` of them, each of `child` genes or more, whose mean agreement, by
+    size, is greater than the module's by `gain`."""
+    return bool(2 <= len(size) <= groups and size.min() >= child and (size * agreement).sum() / size.sum() >= before + gain)
+
+
+def sub_modules(edges: DataFrame, modules: DataFrame, metrics: DataFrame, n: int = 10, size: int = 10, within_cons: float = 0.5, conductance: float = 0.6, factor: float = 1.3, child: int = 5, groups: int = 3, gain: float = 0.07, threshold: float = 0.95, resolution: float = 1.0, objective: str = "modularity", algorithm: str = "leiden") -> DataFrame:
+    """(gene, module, part): loose_modules() clustered again at a higher resolution, by the consensus of n restarts, where the parts are
+    accepted(); part is 1 elsewhere."""
+    loose = loose_modules(metrics, size, within_cons, conductance)
+    own = within(edges, modules).join(F.broadcast(loose), "module")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         names, w = adjacency(pdf)
-        label = communities_of(w, 1, factor)
+        label, agree = agreed_labels(w, n, threshold, resolution * factor, objective, algorithm)
         counts = np.bincount(label)[1:]
-        if not 2 <= len(counts) <= groups or counts.min() < child:
+        means = np.array([agree[np.ix_(label == c + 1, label == c + 1)].sum() / (k * (k - 1)) if k > 1 else 0.0 for c, k in enumerate(counts.tolist())])
+        if not agree.any() or not accepted(counts, means, float(pdf["within_cons"].iloc[0]), child, groups, gain):
             label = np.ones(len(names), int)
         return pd.DataFrame({"gene": names, "part": label})
 
-    parts = own.select("m1", "gene1", "gene2", "weight").groupBy("m1").applyInPandas(one, "gene string, part int")
+    parts = own.groupBy("module").applyInPandas(one, "gene string, part int")
     return modules.join(parts, "gene", "left").select("gene", "module", F.coalesce("part", F.lit(1)).alias("part"))
 
 
+def second_stage(edges: DataFrame, raw: DataFrame, modules: DataFrame, similarity: DataFrame | None = None, kept_pairs: DataFrame | None = None, n: int = 20, threshold: float = 0.95, resolution: float = 1.0, objective: str = "modularity", algorithm: str = "leiden", drop_unstable: bool = True, subclusters: bool = True, least: int = 2, sub: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """((gene, module), edges): the first stage's modules corrected. edges and raw: (gene1, gene2, L) after and before the filters.
+
+    Pairs outside of kept_pairs (those the reference curve's band leaves) go; L is multiplied by a similarity mh; the log weights' graph
+    gets back what each module's spanning tree needs; modules are clustered again on it, unstable genes go, loose modules are parted,
+    and what has no edge inside, or too few genes, is pruned."""
+    now = edges.select("gene1", "gene2", "L")
+    if kept_pairs is not None:
+        now = now.join(kept_pairs.select("gene1", "gene2"), ["gene1", "gene2"], "left_semi")
+    if similarity is not None:
+        now = weighted_by_similarity(now, similarity)
+    base = log_weights(raw.where("L > 0").select("gene1", "gene2", "L"))
+    graph = stored(restored_backbone(base, log_weights(now.where("L > 0")), modules).select("gene1", "gene2", "weight"))
+    fine = stored(reclustered(graph, modules, n, threshold, resolution, objective, algorithm))
+    agreement = stored(consensus(restarts(graph, n, resolution, objective, algorithm), threshold).select("gene1", "gene2", "weight"))
+    if drop_unstable:
+        fine = stored(fine.join(unstable_genes(gene_metrics(fine, agreement, graph)), "gene", "left_anti"))
+    if subclusters:
+        parts = sub_modules(graph, fine, cluster_metrics(fine, agreement, graph), n, threshold=threshold, resolution=resolution, objective=objective, algorithm=algorithm, **(sub or {}))
+        fine = numbered(stored(parts), "module", "part")
+    return pruned(stored(fine), graph, least), graph
+
+
 def page_ranks(edges: DataFrame, start: DataFrame, damping: float = 0.85, steps: int = 20) -> DataFrame:
     """(gene, rank) of personalised PageRank with softmax start weights (gene, score), scores clipped to their 10th to 90th percentile;
     a fixed number of joins."""
@@ -413,19 +514,45 @@ def stochastic_trees(edges: DataFrame, n: int, sd: float = 0.2) -> DataFrame:
     return each.groupBy("run").applyInPandas(one, "run int, gene1 string, gene2 string, weight double")
 
 
+def cut_nodes(w: np.ndarray) -> dict[int, int]:
+    """Nodes whose removal parts their component, and into how many parts more: by the least entry number that subtrees of a depth-first
+    search reach (Tarjan), one pass over the edges."""
+    n = len(w)
+    entry, low, parts = np.full(n, -1), np.zeros(n, int), dict.fromkeys(range(n), 0)
+    near = [np.flatnonzero(row > 0) for row in w]
+    time = 0
+    for root in range(n):
+        if entry[root] >= 0:
+            continue
+        entry[root] = low[root] = time
+        time += 1
+        stack = [(root, -1, iter(near[root]))]
+        while stack:
+            v, parent, rest = stack[-1]
+            for u in rest:
+                if entry[u] < 0:
+                    entry[u] = low[u] = time
+                    time += 1
+                    stack.append((u, v, iter(near[u])))
+                    break
+                if u != parent:
+                    low[v] = min(low[v], entry[u])
+            else:
+                stack.pop()
+                if parent >= 0:
+                    low[parent] = min(low[parent], low[v])
+                    if low[v] >= entry[parent]:
+                        parts[parent] += 1
+        parts[root] -= 1
+    return {v: k for v, k in parts.items() if k > 0}
+
+
 def articulation(edges: DataFrame) -> DataFrame:
     """(gene, parts): genes whose removal splits their component, and into how many parts more."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         names, w = adjacency(pdf)
-        whole = connected_parts(w, np.zeros(len(names))).max() + 1
-        rows = []
-        for i, g in enumerate(names):
-            keep = np.arange(len(names)) != i
-            more = connected_parts(w[np.ix_(keep, keep)], np.zeros(keep.sum())).max(initial=-1) + 1 - whole
-            if more > 0:
-                rows.append((g, int(more)))
-        return pd.DataFrame(rows, columns=["gene", "parts"])
+        return pd.DataFrame([(names[v], k) for v, k in cut_nodes(w).items()], columns=["gene", "parts"])
 
     return in_one_task(edges.select("gene1", "gene2", "weight"), [], one, "gene string, parts int")
 
@@ -437,12 +564,11 @@ def branches(edges: DataFrame, least: int = 3) -> DataFrame:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         names, w = adjacency(pdf)
         n = len(names)
-        base = connected_parts(w, np.zeros(n)).max() + 1
         found = []
-        for i in range(n):
+        for i in cut_nodes(w):
             keep = np.flatnonzero(np.arange(n) != i)
             part = connected_parts(w[np.ix_(keep, keep)], np.zeros(len(keep)))
-            if len(keep) and part.max() + 1 > base:
+            if len(keep):
                 for p in range(part.max() + 1):
                     rows = keep[part == p]
                     if least <= len(rows) < n - 1 and ((w[rows] > 0).sum(axis=1) >= 2).any():
@@ -461,21 +587,44 @@ def branches(edges: DataFrame, least: int = 3) -> DataFrame:
 
 
 def tree_distances(tree: DataFrame) -> DataFrame:
-    """(gene1, gene2, distance): lengths of paths in a forest whose edges are 1 / (weight + 1e-9) long; unconnected pairs are left out."""
+    """(gene1, gene2, distance): lengths of paths in a forest whose edges are 1 / (weight + 1e-9) long; unconnected pairs are left out.
+    Nodes are taken in the order of a traversal: a new one is as far from all before it as its parent, and the edge."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         names, w = adjacency(pdf)
-        d = np.where(w > 0, 1 / (w + 1e-9), np.inf)
-        np.fill_diagonal(d, 0)
-        for k in range(len(names)):
-            d = np.minimum(d, d[:, [k]] + d[[k], :])
-        i, j = np.triu_indices(len(names), 1)
+        n = len(names)
+        d = np.full((n, n), np.inf)
+        seen = np.zeros(n, bool)
+        for root in range(n):
+            if seen[root]:
+                continue
+            seen[root] = True
+            d[root, root] = 0
+            order, at = [root], 0
+            while at < len(order):
+                v = order[at]
+                at += 1
+                for u in np.flatnonzero((w[v] > 0) & ~seen):
+                    seen[u] = True
+                    d[u, order] = d[order, u] = d[v, order] + 1 / (w[v, u] + 1e-9)
+                    d[u, u] = 0
+                    order.append(u)
+        i, j = np.triu_indices(n, 1)
         keep = np.isfinite(d[i, j])
         return pd.DataFrame({"gene1": [names[x] for x in i[keep]], "gene2": [names[x] for x in j[keep]], "distance": d[i, j][keep]})
 
     return in_one_task(tree.select("gene1", "gene2", "weight"), [], one, "gene1 string, gene2 string, distance double")
 
 
+def together(distances: DataFrame, modules: DataFrame) -> DataFrame:
+    """distances by their 95th percentile, 1 at most, with 1 added between modules, so that a module's leaves stay together."""
+    top = distances.agg(F.percentile("distance", F.lit(0.95)).alias("top"))
+    tag = lambda k: F.broadcast(modules.select(F.col("gene").alias(f"gene{k}"), F.col("module").alias(f"m{k}")))
+    met = distances.crossJoin(F.broadcast(top)).join(tag(1), "gene1", "left").join(tag(2), "gene2", "left")
+    near = F.least(F.lit(1.0), F.coalesce(F.try_divide("distance", "top"), F.lit(0.0)))
+    return met.select("gene1", "gene2", (near + F.when(F.col("m1").eqNullSafe(F.col("m2")), 0.0).otherwise(1.0)).alias("distance"))
+
+
 def leaf_order(distances: DataFrame) -> DataFrame:
     """(gene, position): leaves of an average-linkage tree over the distances, each merge turned so that its near ends meet."""
 
@@ -505,6 +654,20 @@ def extra_edges(edges: DataFrame, tree: DataFrame, k: int, least: float = 0.0) -
     return off.where(F.col("weight") >= least).orderBy(F.desc("weight"), "gene1", "gene2").limit(k)
 
 
+def dendrogram_network(edges: DataFrame, modules: DataFrame, start: DataFrame | None = None, extra: int = 5, least: float = 0.0) -> DataFrame:
+    """(gene1, gene2, weight, kind): the spanning tree of each module (within), the edges that join modules' trees, heaviest first
+    (between), and the heaviest others (extra); weights are those of PageRank from start scores (gene, score), if any."""
+    graph = stored(reweighted(edges, page_ranks(edges, start)) if start is not None else edges.select("gene1", "gene2", "weight"))
+    own = stored(spanning_forest(graph, modules))
+    tag = lambda k: F.broadcast(modules.select(F.col("gene").alias(f"gene{k}"), F.col("module").cast("string").alias(f"x{k}")))
+    across = graph.join(tag(1), "gene1").join(tag(2), "gene2").where("x1 <> x2").withColumns({"m1": F.least("x1", "x2"), "m2": F.greatest("x1", "x2")})
+    best = across.withColumn("n", F.row_number().over(Window.partitionBy("m1", "m2").orderBy(F.desc("weight"), "gene1", "gene2"))).where("n = 1")
+    joins = spanning_forest(best.select(F.col("m1").alias("gene1"), F.col("m2").alias("gene2"), "weight")).select(F.col("gene1").alias("m1"), F.col("gene2").alias("m2"))
+    between = stored(best.join(joins, ["m1", "m2"], "left_semi").select("gene1", "gene2", "weight"))
+    tree = own.union(between)
+    return own.withColumn("kind", F.lit("within")).union(between.withColumn("kind", F.lit("between"))).union(extra_edges(graph, tree, extra, least).withColumn("kind", F.lit("extra")))
+
+
 def modularity(edges: DataFrame, modules: DataFrame) -> DataFrame:
     """One row: the modularity of modules in a weighted graph."""
     tag = F.broadcast(modules.select(F.col("gene").alias("a"), F.col("module").alias("m")))

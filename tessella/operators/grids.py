@@ -70,7 +70,8 @@ def segmented_tiles(counts: DataFrame, tagged: DataFrame, least: int) -> DataFra
 def layer(points: DataFrame, length: float, min_genes: int = 1, flipped: bool = False) -> tuple[DataFrame, DataFrame]:
     """(tile table, counts) of one length: quality first, then counts and tiles that both have. Both are stored, as every verb reads
     them several times and they are much smaller than the points."""
-    box = stored(bounds(points))
+    row = bounds(points).first()  # four numbers
+    box = points.sparkSession.createDataFrame([tuple(row)], "xmin double, xmax double, ymin double, ymax double")
     counts = stored(rich_tiles(bin_points(points, [length], flipped, box=box), min_genes))
     info = tiles(box, length, flipped).join(counts.select("grid_id").distinct(), "grid_id", "left_semi")
     info = stored(info)

@@ -103,7 +103,7 @@ def centring(values: DataFrame, value: str = "z", limit: float = 1e-7) -> DataFr
     """(gene, finite, centred): whether each column of a layer is fit for L: finite, and its mean small against its RMS."""
     finite = F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
     rms = F.sqrt(F.avg(F.col(value) * F.col(value)))
-    return values.groupBy("gene").agg(F.min(finite.cast("int")).alias("f"), F.abs(F.avg(value)).alias("m"), rms.alias("r")).select("gene", (F.col("f") == 1).alias("finite"), ((F.col("r") == 0) | (F.col("m") <= limit * F.col("r"))).alias("centred"))
+    return values.groupBy("gene").agg(F.min(finite.cast("int")).alias("f"), F.abs(F.avg(value)).alias("m"), rms.alias("r")).select("gene", (F.col("f") == 1).alias("finite"), ((F.col("f") == 1) & ((F.col("r") == 0) | (F.col("m") <= limit * F.col("r")))).alias("centred"))
 
 
 def plane_slopes(values: DataFrame, info: DataFrame, value: str = "z") -> DataFrame:

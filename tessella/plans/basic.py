@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import curve, grids, inference, pairs, points, ranking, weights
+from ..operators import curve, grids, inference, pairs, points, ranking, tables, weights
 from ..sources import readers
 from ..sources import tables as T
-from ..storage import stored
+from ..storage import shared_folder, stored
 from .registry import LENGTH, good, layer, md5_int, md5_sql, query, r, rounded, with_, xz
 
 S = SparkSession
@@ -16,7 +18,10 @@ S = SparkSession
 
 @query("SRC02_molecule_scan", with_("mol", f"SELECT gene AS feature_name, {r('x', 'x_location')}, {r('y', 'y_location')}, qv, nd AS nucleus_distance FROM mol"))
 def molecule_scan(spark: S, sf: str) -> DataFrame:
-    return rounded(T.molecules(spark, sf).select("feature_name", "x_location", "y_location", "qv", "nucleus_distance"))
+    """The platform's file as the reader finds it, written out of the stand-in table."""
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    T.molecules(spark, sf).select("x_location", "y_location", "qv", "nucleus_distance", "feature_name", "cell").write.parquet(path)
+    return rounded(readers.read_molecules(spark, path).select("feature_name", "x_location", "y_location", "qv", "nucleus_distance"))
 
 
 @query("SRC03_centroids", with_("ring", f"SELECT cell_id || '_' || (cell_id % 4) AS cell, {r('x')}, {r('y')} FROM ring"))
@@ -24,16 +29,17 @@ def centroid_scan(spark: S, sf: str) -> DataFrame:
     return rounded(readers.centroids(T.cells(spark, sf)))
 
 
-@query("SRC04_boundaries", with_("ring", f"SELECT 'c' || cell_id AS label_id, cell_id AS cell, 5::BIGINT AS n, {r('x - 4', 'first_x')}, {r('y - 4', 'last_y')} FROM ring WHERE cell_id % 2 = 0"))
+@query("SRC04_boundaries", with_("ring", f"SELECT 'c' || cell_id AS label_id, cell_id AS cell, 5::BIGINT AS n, {r('x - 4', 'first_x')}, {r('y - 4', 'last_y')} FROM ring"))
 def boundary_scan(spark: S, sf: str) -> DataFrame:
-    out = readers.boundaries(T.vertices(spark, sf), T.cells(spark, sf).where("cell_id % 2 = 0"))
+    out = readers.boundaries(T.vertices(spark, sf), T.cells(spark, sf))
     return rounded(out.select("label_id", "cell", F.size("ring").cast("long").alias("n"), F.col("ring")[0]["x"].alias("first_x"), F.element_at("ring", -1)["y"].alias("last_y")))
 
 
-@query("SRC04_all_boundaries", with_("ring", f"SELECT 'c' || cell_id AS label_id, cell_id AS cell, 5::BIGINT AS n, {r('x - 4', 'first_x')}, {r('y - 4', 'last_y')} FROM ring"))
-def all_boundaries(spark: S, sf: str) -> DataFrame:
-    out = readers.boundaries(T.vertices(spark, sf), T.cells(spark, sf))
-    return rounded(out.select("label_id", "cell", F.size("ring").cast("long").alias("n"), F.col("ring")[0]["x"].alias("first_x"), F.element_at("ring", -1)["y"].alias("last_y")))
+@query("SRC04_boundaries_of_kept_cells", with_("ring good", f"SELECT 'c' || cell_id AS label_id, cell_id AS cell, {r('x - 4', 'first_x')} FROM ring SEMI JOIN (SELECT cell AS cell_id FROM good) USING (cell_id)"))
+def kept_boundaries(spark: S, sf: str) -> DataFrame:
+    """Of cells that have molecules after the default filters."""
+    kept = tables.members(T.cells(spark, sf), good(spark, sf).select(F.col("cell").alias("cell_id")), "cell_id")
+    return rounded(readers.boundaries(T.vertices(spark, sf), kept).select("label_id", "cell", F.col("ring")[0]["x"].alias("first_x")))
 
 
 @query("SRC05_cosmx_molecules", with_("mol", f"SELECT {r('x * 0.120280945::DOUBLE', 'x_location')}, {r('y * 0.120280945::DOUBLE', 'y_location')}, qv, 0.0::DOUBLE AS nucleus_distance, gene AS feature_name FROM mol"))
@@ -79,14 +85,8 @@ def spot_positions(spark: S, sf: str) -> DataFrame:
     return readers.positions(raw)
 
 
-@query("SRC11_scalefactors", "SELECT round(55.0 / (p_size + 10), 6) + 0.0 AS microns_per_pixel, 55.0::DOUBLE AS spot_um FROM part WHERE p_partkey <= 50")
+@query("SRC11_scalefactors", "SELECT round(55.0 / (p_size + 10), 6) + 0.0 AS microns_per_pixel, 55.0::DOUBLE AS spot_um FROM part")
 def factors(spark: S, sf: str) -> DataFrame:
-    p = T.table(spark, sf, "part").where("p_partkey <= 50").select((F.col("p_size") + 10.0).alias("spot_diameter_fullres"))
-    return rounded(readers.scalefactors(p))
-
-
-@query("SRC11_all_scalefactors", "SELECT round(55.0 / (p_size + 10), 6) + 0.0 AS microns_per_pixel, 55.0::DOUBLE AS spot_um FROM part")
-def all_factors(spark: S, sf: str) -> DataFrame:
     return rounded(readers.scalefactors(T.table(spark, sf, "part").select((F.col("p_size") + 10.0).alias("spot_diameter_fullres"))))
 
 
@@ -101,10 +101,10 @@ def ring(spark: S, sf: str) -> DataFrame:
     return rounded(readers.bounding_ring(good(spark, sf), "x_location", "y_location"))
 
 
-@query("SRC15_feature_metadata", with_("counts", "SELECT gene, sum(c)::BIGINT AS total, n_parts FROM counts LEFT JOIN (SELECT p_brand AS gene, count(*) AS n_parts FROM part WHERE p_size < 10 GROUP BY 1) USING (gene) GROUP BY gene, n_parts"))
+@query("SRC15_feature_metadata", with_("counts", "SELECT gene, sum(c)::BIGINT AS total, n_parts, size FROM counts LEFT JOIN (SELECT p_brand AS gene, count(*) AS n_parts, max(p_size)::INT AS size FROM part WHERE p_size < 10 GROUP BY 1) USING (gene) GROUP BY gene, n_parts, size"))
 def feature_metadata(spark: S, sf: str) -> DataFrame:
-    meta = T.table(spark, sf, "part").where("p_size < 10").groupBy(F.col("p_brand").alias("gene")).agg(F.count("*").alias("n_parts"))
-    return layer(spark, sf)[1].groupBy("gene").agg(F.sum("count").alias("total")).join(meta, "gene", "left")
+    meta = T.table(spark, sf, "part").where("p_size < 10").groupBy(F.col("p_brand").alias("gene")).agg(F.count("*").alias("n_parts"), F.max("p_size").cast("int").alias("size"))
+    return tables.with_metadata(layer(spark, sf)[1].groupBy("gene").agg(F.sum("count").alias("total")), meta)
 
 
 MOLS = f"gene AS feature_name, {r('x', 'x_location')}, {r('y', 'y_location')}, qv, nd AS nucleus_distance"
@@ -264,14 +264,13 @@ def totals(spark: S, sf: str) -> DataFrame:
 
 @query("JN02_grid_left_join", with_("info counts", "SELECT grid_id, coalesce(c, 0)::BIGINT AS count FROM info LEFT JOIN (SELECT * FROM counts WHERE gene = 'Brand#11') USING (grid_id)"))
 def grid_left(spark: S, sf: str) -> DataFrame:
-    info, c = layer(spark, sf)
-    return info.select("grid_id").join(c.where("gene = 'Brand#11'"), "grid_id", "left").select("grid_id", F.coalesce("count", F.lit(0)).alias("count"))
+    return tables.over_tiles(*layer(spark, sf), F.col("gene") == "Brand#11")
 
 
 @query("JN03_membership", with_("cell", "SELECT cell, gene, c AS count FROM cell SEMI JOIN (SELECT o_orderkey AS cell FROM orders WHERE o_orderstatus = 'O') USING (cell)"))
 def membership(spark: S, sf: str) -> DataFrame:
     keep = T.table(spark, sf, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("cell"))
-    return T.cell_counts(spark, sf).join(keep, "cell", "left_semi")
+    return tables.members(T.cell_counts(spark, sf), keep, "cell")
 
 
 ROI = [(100.0, 100.0), (900.0, 200.0), (700.0, 900.0), (400.0, 500.0), (200.0, 800.0)]
@@ -327,34 +326,27 @@ def products(spark: S, sf: str) -> DataFrame:
     return pairs.shared(layer(spark, sf)[1].select("grid_id", "gene", F.col("count").cast("double").alias("value")))
 
 
-@query("JN11_key_alignment", with_("info counts w", "SELECT (SELECT count(*) FROM info)::BIGINT AS tiles, 0::BIGINT AS unmatched"))
+@query("JN11_key_alignment", with_("counts", "SELECT count(*) FILTER (WHERE a AND b) AS \"both\", count(*) FILTER (WHERE a AND NOT b) AS left_only, count(*) FILTER (WHERE b AND NOT a) AS right_only FROM (SELECT grid_id, bool_or(gene = 'Brand#11' AND c > 8) AS a, bool_or(gene = 'Brand#12' AND c > 8) AS b FROM counts GROUP BY grid_id)"))
 def alignment(spark: S, sf: str) -> DataFrame:
-    info, c = layer(spark, sf)
-    a = info.select("grid_id", F.lit(1).alias("a"))
-    b = c.select("grid_id").distinct().withColumn("b", F.lit(1))
-    return a.join(b, "grid_id", "full").agg(F.sum("a").alias("tiles"), F.sum((F.col("a").isNull() | F.col("b").isNull()).cast("long")).alias("unmatched"))
+    """Tiles of two genes' frequent counts, which differ."""
+    c = layer(spark, sf)[1].where("count > 8")
+    return tables.alignment(c.where("gene = 'Brand#11'"), c.where("gene = 'Brand#12'"), "grid_id")
 
 
-@query("JN12_common_pairs", with_("delta", f"SELECT gene1, gene2, {r('L')}, {r('r')} FROM delta WHERE gene1 IN {BRANDS} AND gene2 < 'Brand#44'"))
+@query("JN12_common_pairs", with_("delta", f"SELECT gene1, gene2, {r('L')}, {r('r')} FROM delta"))
 def common(spark: S, sf: str) -> DataFrame:
-    return rounded(lee(spark, sf).where(F.col("gene1").isin(*BRANDS)).join(pear(spark, sf).where("gene2 < 'Brand#44'"), ["gene1", "gene2"]))
-
-
-@query("JN12_all_common_pairs", with_("delta", f"SELECT gene1, gene2, {r('L')}, {r('r')} FROM delta"))
-def all_common(spark: S, sf: str) -> DataFrame:
-    return rounded(lee(spark, sf).join(pear(spark, sf), ["gene1", "gene2"]).select("gene1", "gene2", "L", "r"))
+    """The second table names its genes the other way round."""
+    info, z = xz(spark, sf)
+    turned = pairs.pearson(z, "grid_id", "z").select(F.col("gene2").alias("gene1"), F.col("gene1").alias("gene2"), "r")
+    return rounded(tables.common_pairs(lee_of(info, z), turned).select("gene1", "gene2", "L", "r"))
 
 
-@query("JN13_barcode_alignment", with_("counts info", "SELECT grid_id, gene, c AS count, center_x FROM counts JOIN (SELECT grid_id, center_x FROM info WHERE gx % 2 = 0) USING (grid_id)"))
+@query("JN13_barcode_alignment", with_("counts info", "SELECT grid_id, gene, c AS count, center_x FROM counts JOIN (SELECT grid_id, center_x FROM info SEMI JOIN (SELECT grid_id FROM counts GROUP BY grid_id HAVING count(DISTINCT gene) >= 20) USING (grid_id)) USING (grid_id)"))
 def barcodes(spark: S, sf: str) -> DataFrame:
+    """In-tissue tiles are those of twenty genes or more."""
     info, c = layer(spark, sf)
-    return c.join(info.where("gx % 2 = 0").select("grid_id", "center_x"), "grid_id").select("grid_id", "gene", "count", "center_x")
-
-
-@query("JN13_all_barcodes", with_("counts info", "SELECT grid_id, gene, c AS count, center_x FROM counts JOIN (SELECT grid_id, center_x FROM info) USING (grid_id)"))
-def all_barcodes(spark: S, sf: str) -> DataFrame:
-    info, c = layer(spark, sf)
-    return c.join(info.select("grid_id", "center_x"), "grid_id").select("grid_id", "gene", "count", "center_x")
+    tissue = tables.members(info, grids.rich_tiles(c, 20), "grid_id")
+    return tables.positioned(c, tissue, columns=("center_x",)).select("grid_id", "gene", "count", "center_x")
 
 
 def _multi_sql() -> str:
@@ -384,7 +376,7 @@ def tile_table(spark: S, sf: str) -> DataFrame:
 
 @query("AGG05_genes_per_tile", with_("counts", "SELECT grid_id, count(DISTINCT gene) AS n_genes FROM counts GROUP BY grid_id"))
 def genes_per_tile(spark: S, sf: str) -> DataFrame:
-    return layer(spark, sf)[1].groupBy("grid_id").agg(F.count_distinct("gene").alias("n_genes"))
+    return tables.genes_a_tile(layer(spark, sf)[1])
 
 
 @query("AGG06_library_size", with_("lib", "SELECT grid_id, lib FROM lib"))
@@ -424,8 +416,7 @@ def gene_totals(spark: S, sf: str) -> DataFrame:
 
 @query("AGG17_module_presence", with_("counts mods", "SELECT module, count(DISTINCT grid_id) AS tiles, sum(c)::BIGINT AS total FROM counts JOIN mods USING (gene) GROUP BY module ORDER BY total DESC, module LIMIT 3"))
 def presence(spark: S, sf: str) -> DataFrame:
-    met = layer(spark, sf)[1].join(F.broadcast(modules(spark, sf)), "gene")
-    return met.groupBy("module").agg(F.count_distinct("grid_id").alias("tiles"), F.sum("count").alias("total")).orderBy(F.desc("total"), "module").limit(3)
+    return tables.module_presence(layer(spark, sf)[1], modules(spark, sf), 3)
 
 
 @query("WIN04_column_steps", with_("info", f"SELECT gx, {r('quantile_cont(d, 0.5)', 'step')} FROM (SELECT gx, center_y - lag(center_y) OVER (PARTITION BY gx ORDER BY center_y) AS d FROM info) WHERE d IS NOT NULL GROUP BY gx"))
@@ -454,10 +445,9 @@ def quantile_strata(spark: S, sf: str) -> DataFrame:
     return curve.strata(pear(spark, sf), 10).select("gene1", "gene2", "stratum")
 
 
-@query("WIN09_first_occurrence", "SELECT l_partkey, min(l_orderkey * 8 + l_linenumber) AS mol_id FROM lineitem GROUP BY l_partkey")
+@query("WIN09_first_occurrence", "SELECT l_partkey, min(l_orderkey * 8 + l_linenumber) AS mol_id, arg_min(l_suppkey, l_orderkey * 8 + l_linenumber) AS l_suppkey FROM lineitem GROUP BY l_partkey")
 def first_occurrence(spark: S, sf: str) -> DataFrame:
-    rows = T.table(spark, sf, "lineitem").select("l_partkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("mol_id"))
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("l_partkey").orderBy("mol_id"))).where("n = 1").drop("n")
+    return tables.first_of(T.table(spark, sf, "lineitem").select("l_partkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("mol_id"), "l_suppkey"), "l_partkey", "mol_id")
 
 
 @query("TOP03_variable_genes", with_("xz share", "SELECT gene, round(var_samp(coalesce(s, 0)) * 1000, 6) + 0.0 AS variance FROM (SELECT DISTINCT grid_id, gene FROM xz) LEFT JOIN share USING (grid_id, gene) GROUP BY gene ORDER BY var_samp(coalesce(s, 0)) DESC, gene LIMIT 10"))
@@ -476,13 +466,13 @@ def by_bins(spark: S, sf: str) -> DataFrame:
 def union_fill(spark: S, sf: str) -> DataFrame:
     a = T.table(spark, sf, "customer").select(F.lit("cell").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("int").alias("nation"))
     b = T.table(spark, sf, "part").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"))
-    return a.unionByName(b, allowMissingColumns=True)
+    return tables.stacked([a, b])
 
 
 _sizes = lambda spark, sf, cond: T.table(spark, sf, "part").where(cond).select(F.col("p_brand").alias("gene"))
-query("SET02_common_genes", "SELECT p_brand AS gene FROM part WHERE p_size < 5 INTERSECT SELECT p_brand FROM part WHERE p_size > 48")(lambda spark, sf: _sizes(spark, sf, "p_size < 5").intersect(_sizes(spark, sf, "p_size > 48")))
-query("SET03_missing_genes", "SELECT DISTINCT p_brand AS gene FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 50)")(lambda spark, sf: _sizes(spark, sf, "true").distinct().join(_sizes(spark, sf, "p_size = 50"), "gene", "left_anti"))
-query("SET04_union_distinct", "SELECT p_brand AS gene FROM part WHERE p_size < 5 UNION SELECT p_brand FROM part WHERE p_size > 48")(lambda spark, sf: _sizes(spark, sf, "p_size < 5").union(_sizes(spark, sf, "p_size > 48")).distinct())
+query("SET02_common_genes", "SELECT p_brand AS gene FROM part WHERE p_size < 5 INTERSECT SELECT p_brand FROM part WHERE p_size > 48")(lambda spark, sf: tables.common([_sizes(spark, sf, "p_size < 5"), _sizes(spark, sf, "p_size > 48")]))
+query("SET03_missing_genes", "SELECT DISTINCT p_brand AS gene FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 50)")(lambda spark, sf: tables.missing(_sizes(spark, sf, "true"), _sizes(spark, sf, "p_size = 50")))
+query("SET04_union_distinct", "SELECT p_brand AS gene FROM part WHERE p_size < 5 UNION SELECT p_brand FROM part WHERE p_size > 48")(lambda spark, sf: tables.either([_sizes(spark, sf, "p_size < 5"), _sizes(spark, sf, "p_size > 48")]))
 
 
 @query("SCL01_log_cpm", with_("cell", f"SELECT cell, gene, {r('ln(1 + c / sum(c) OVER (PARTITION BY cell) * 1e4)', 'value')} FROM cell"))

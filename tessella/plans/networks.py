@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import curve, graphs, grids, metadata, pairs, ranking, views, weights
+from ..operators import curve, graphs, grids, metadata, pairs, points, ranking, views, weights
 from ..sources import tables as T
 from ..storage import stored
 from ..streaming import binning
-from .basic import BAND_SQL, BH_SQL, CURVE_SQL, P_SQL, band, delta, idelta, lee, modules, with_p
+from .basic import BAND_SQL, BH_SQL, CURVE_SQL, P_SQL, band, delta, idelta, lee, lee_of, modules, with_p
 from .registry import good, layer, md5_int, md5_sql, query, r, rounded, with_, xz
 
 S = SparkSession
@@ -40,11 +40,16 @@ def communities(spark: S, sf: str) -> DataFrame:
     return graphs.restarts(graph(spark, sf), 4)
 
 
-@query("GRF04_communities_cpm")
+@query("GRF03_communities_cpm")
 def communities_cpm(spark: S, sf: str) -> DataFrame:
     return graphs.restarts(graph(spark, sf), 4, 0.005, "CPM")
 
 
+@query("GRF04_louvain")
+def louvain(spark: S, sf: str) -> DataFrame:
+    return graphs.restarts(graph(spark, sf), 4, algorithm="louvain")
+
+
 @query("GRF05_consensus", with_("cons", f"SELECT gene1, gene2, n AS count, {r('n / 8.0', 'weight')} FROM cons WHERE n >= 4"))
 def consensus(spark: S, sf: str) -> DataFrame:
     return rounded(graphs.consensus(runs(spark, sf), 0.5))
@@ -76,16 +81,32 @@ def lookup(spark: S, sf: str) -> DataFrame:
     return rounded(graphs.weighted_by_similarity(g.select("gene1", "gene2", "L"), sims))
 
 
-@query("GRF09_restored_backbone")
+def forest_sql(source: str, name: str) -> list[str]:
+    """name(gene1, gene2, weight): the maximum spanning forest of a source. An edge stands in it unless heavier ones (ties by name) lead
+    from one of its ends to the other."""
+    return [
+        f"{name}_o AS (SELECT gene1, gene2, weight, row_number() OVER (ORDER BY weight DESC, gene1, gene2) AS k FROM ({source}))",
+        f"{name}_d AS (SELECT gene1 AS a, gene2 AS b, k FROM {name}_o UNION ALL SELECT gene2, gene1, k FROM {name}_o)",
+        f"{name}_r AS (SELECT k AS e, gene1 AS n FROM {name}_o UNION SELECT e, b FROM {name}_r JOIN {name}_d ON a = n AND k < e)",
+        f"{name} AS (SELECT gene1, gene2, weight FROM {name}_o WHERE NOT EXISTS (SELECT 1 FROM {name}_r WHERE e = k AND n = gene2))",
+    ]
+
+
+@query("GRF09_restored_backbone", with_("graph mods", f"SELECT gene1, gene2, {r('weight')}, false AS restored FROM graph WHERE weight > 0.01 UNION ALL SELECT gene1, gene2, {r('least(weight, (SELECT quantile_cont(weight, 0.02) FROM graph WHERE weight > 0.01))', 'weight')}, true FROM tr WHERE weight <= 0.01", "e AS (SELECT g.*, a.module AS m1, b.module AS m2 FROM graph g JOIN mods a ON a.gene = gene1 JOIN mods b ON b.gene = gene2)", *forest_sql("SELECT gene1, gene2, weight FROM e WHERE m1 = m2", "tr")))
 def restored(spark: S, sf: str) -> DataFrame:
     g = graph(spark, sf)
     return rounded(graphs.restored_backbone(g, g.where("weight > 0.01"), modules(spark, sf)))
 
 
-@query("GRF10_sub_modules")
+@query("GRF10_reclustered")
+def reclustered(spark: S, sf: str) -> DataFrame:
+    return graphs.reclustered(graph(spark, sf), modules(spark, sf), 8, 0.5)
+
+
+@query("GRF12_sub_modules")
 def sub_modules(spark: S, sf: str) -> DataFrame:
-    g = graph(spark, sf)
-    return graphs.sub_modules(g, modules(spark, sf), metrics(spark, sf), size=3, within=1.0, conductance=0.0, child=2)
+    """With thresholds at which some of the modules are loose."""
+    return graphs.sub_modules(graph(spark, sf), modules(spark, sf), metrics(spark, sf), size=6, within_cons=0.8, conductance=0.7, child=2, gain=0.0, threshold=0.5)
 
 
 def agreement(spark: S, sf: str) -> DataFrame:
@@ -122,9 +143,15 @@ def unstable(spark: S, sf: str) -> DataFrame:
     return graphs.unstable_genes(gene_table(spark, sf), 0.95, 0.01, 0.5)
 
 
-@query("GRF12_loose_modules", with_("graph cons mods", "SELECT module FROM (SELECT module, count(*) AS size FROM mods GROUP BY module) WHERE size >= 3"))
+CLUSTER_METRICS = "cm AS (SELECT module, size, CASE WHEN size > 1 THEN coalesce(s, 0) / (size * (size - 1) / 2) ELSE 0 END AS within_cons, cut / (cut + win + 1e-12) AS conductance FROM (SELECT module, count(*) AS size FROM mods GROUP BY module) LEFT JOIN ins USING (module) LEFT JOIN (SELECT module, sum(CASE WHEN m1 = m2 THEN weight ELSE 0 END) AS win, sum(CASE WHEN m1 <> m2 THEN weight ELSE 0 END) AS cut FROM mods JOIN e ON module = m1 OR module = m2 GROUP BY module) USING (module))"
+
+
+@query("GRF12_loose_modules", with_("graph cons mods", f"SELECT module, {r('within_cons')} FROM cm, (SELECT quantile_cont(size, 0.25)::INT AS a, quantile_cont(within_cons, 0.75) AS b, quantile_cont(conductance, 0.25) AS c FROM cm) WHERE size >= a AND within_cons < b AND conductance > c", TAGGED, INSIDE, CLUSTER_METRICS))
 def loose(spark: S, sf: str) -> DataFrame:
-    return metrics(spark, sf).where("size >= 3").select("module")
+    """At the quartiles of the modules' own metrics, so that each of the three conditions turns some away."""
+    m = stored(metrics(spark, sf))
+    q = m.agg(F.percentile("size", F.lit(0.25)).alias("a"), F.percentile("within_cons", F.lit(0.75)).alias("b"), F.percentile("conductance", F.lit(0.25)).alias("c")).first()
+    return rounded(graphs.loose_modules(m, round(q.a), q.b, q.c))
 
 
 @query("GRF13_pruned", with_("graph mods", "SELECT gene, dense_rank() OVER (ORDER BY module)::INT AS module FROM (SELECT *, count(*) OVER (PARTITION BY module) AS n FROM mods SEMI JOIN (SELECT gene1 AS gene FROM e WHERE m1 = m2 UNION SELECT gene2 FROM e WHERE m1 = m2) USING (gene)) WHERE n >= 2", TAGGED))
@@ -150,12 +177,25 @@ def paper(spark: S, sf: str) -> DataFrame:
     return rounded(graphs.graph_views(graph(spark, sf), runs(spark, sf), 0.5).where("is_consensus_edge").select("gene1", "gene2", "weight"))
 
 
-@query("GRF15_clustered_genes")
-def clustered(spark: S, sf: str) -> DataFrame:
+@query("GRF15_first_stage")
+def first_stage(spark: S, sf: str) -> DataFrame:
     g = graph(spark, sf)
     return graphs.pruned(graphs.modules_of(g, 8, 0.5), g)
 
 
+@query("GRF15_clustered_genes")
+def clustered(spark: S, sf: str) -> DataFrame:
+    """Both stages: pairs inside the curve's band go, the others are weighted by Morisita-Horn similarity."""
+    info, c = layer(spark, sf)
+    z = stored(grids.normalise(c, info))
+    met = stored(ranking.deltas(lee_of(info, z), pairs.pearson(z, "grid_id", "z")))
+    raw = stored(graphs.threshold_graph(met.select("gene1", "gene2", "L")))
+    value = c.join(info, "grid_id").select("grid_id", "gene", (F.col("count") / (F.col("width") * F.col("height"))).alias("value"))
+    first = stored(graphs.modules_of(graphs.log_weights(raw), 8, 0.5))
+    outside = curve.ci_rule(met, band(spark), "remove_within")
+    return graphs.second_stage(raw, raw, first, pairs.morisita_horn(value, raw), outside, 8, 0.5)[0]
+
+
 BOTH = "both_ AS (SELECT gene1 AS a, gene2 AS b FROM graph WHERE weight > 0.01 UNION SELECT gene2, gene1 FROM graph WHERE weight > 0.01)"
 
 
@@ -174,14 +214,30 @@ def degree(spark: S, sf: str) -> DataFrame:
     return graphs.degrees(graph(spark, sf))
 
 
-@query("GRF17_page_rank")
+def page_rank_sql(steps: int = 20) -> list[str]:
+    """rg(gene1, gene2, weight): the graph reweighted by PageRank from the genes' idelta; a table a step."""
+    out = [
+        "st AS (SELECT gene, (SELECT count(*) FROM info) * sum(c * (c - 1))::DOUBLE / (sum(c) * (sum(c) - 1)) AS score FROM counts GROUP BY gene HAVING sum(c) >= 2)",
+        "ef AS (SELECT gene, exp(least(greatest(score, lo), hi)) AS e FROM st, (SELECT quantile_cont(score, 0.1) AS lo, quantile_cont(score, 0.9) AS hi FROM st))",
+        "gd AS (SELECT gene1 AS a, gene2 AS b, weight AS w FROM graph UNION ALL SELECT gene2, gene1, weight FROM graph)",
+        "pn AS (SELECT gene, e / sum(e) OVER () AS p FROM (SELECT DISTINCT a AS gene FROM gd) JOIN ef USING (gene))",
+        "fl AS (SELECT a, b, w / sum(w) OVER (PARTITION BY a) AS w FROM gd)", "k0 AS (SELECT gene, p AS rank FROM pn)",
+    ]
+    out += [f"k{i + 1} AS (SELECT pn.gene, any_value(p) * 0.15::DOUBLE + 0.85::DOUBLE * coalesce(sum(w * rank), 0) AS rank FROM pn LEFT JOIN fl ON b = pn.gene LEFT JOIN k{i} ON k{i}.gene = a GROUP BY pn.gene)" for i in range(steps)]
+    return [*out, f"rg AS (SELECT gene1, gene2, weight * (x.rank + y.rank) / 2 AS weight FROM graph JOIN k{steps} x ON x.gene = gene1 JOIN k{steps} y ON y.gene = gene2)"]
+
+
+def start_scores(spark: S, sf: str) -> DataFrame:
+    return idelta(spark, sf).where("idelta is not null").select("gene", F.col("idelta").alias("score"))
+
+
+@query("GRF17_page_rank", with_("graph counts info", f"SELECT gene1, gene2, {r('weight * 1000', 'weight')} FROM rg", *page_rank_sql()))
 def page_rank(spark: S, sf: str) -> DataFrame:
-    start = idelta(spark, sf).where("idelta is not null").select("gene", F.col("idelta").alias("score"))
     g = graph(spark, sf)
-    return rounded(graphs.reweighted(g, graphs.page_ranks(g, start)))
+    return rounded(graphs.reweighted(g, graphs.page_ranks(g, start_scores(spark, sf))).withColumn("weight", F.col("weight") * 1000))
 
 
-@query("GRF18_spanning_trees")
+@query("GRF18_spanning_trees", with_("graph mods", f"SELECT gene1, gene2, {r('weight')}, 'within' AS kind FROM tr UNION ALL SELECT gene1, gene2, {r('weight')}, 'between' FROM bt", TAGGED, *forest_sql("SELECT gene1, gene2, weight FROM e WHERE m1 = m2", "tr"), *forest_sql("SELECT least(m1, m2)::VARCHAR AS gene1, greatest(m1, m2)::VARCHAR AS gene2, max(weight) AS weight FROM e WHERE m1 <> m2 GROUP BY ALL", "bt")))
 def trees(spark: S, sf: str) -> DataFrame:
     g = graph(spark, sf)
     own = graphs.spanning_forest(g, modules(spark, sf)).withColumn("kind", F.lit("within"))
@@ -199,14 +255,20 @@ def branches(spark: S, sf: str) -> DataFrame:
     return graphs.branches(graphs.spanning_forest(graph(spark, sf)))
 
 
-@query("GRF20_articulation")
+@query("GRF20_articulation", with_("graph", "SELECT gene, (count(*) - 1)::INT AS parts FROM (SELECT gene1 AS gene FROM tr UNION ALL SELECT gene2 FROM tr) GROUP BY gene HAVING count(*) > 1", *forest_sql("SELECT gene1, gene2, weight FROM graph", "tr")))
 def articulation(spark: S, sf: str) -> DataFrame:
     return graphs.articulation(graphs.spanning_forest(graph(spark, sf)))
 
 
+@query("GRF21_tree_distances", with_("graph", f"SELECT least(s, n) AS gene1, greatest(s, n) AS gene2, {r('any_value(d)', 'distance')} FROM wk WHERE s < n GROUP BY s, n", *forest_sql("SELECT gene1, gene2, weight FROM graph", "tr"), "td AS (SELECT gene1 AS a, gene2 AS b, 1 / (weight + 1e-9) AS w FROM tr UNION ALL SELECT gene2, gene1, 1 / (weight + 1e-9) FROM tr)", "wk AS (SELECT a AS s, b AS n, a AS f, w AS d FROM td UNION ALL SELECT s, b, n, d + w FROM wk JOIN td ON a = n AND b <> f)"))
+def distances(spark: S, sf: str) -> DataFrame:
+    return rounded(graphs.tree_distances(graphs.spanning_forest(graph(spark, sf))))
+
+
 @query("GRF21_leaf_order")
 def leaves(spark: S, sf: str) -> DataFrame:
-    return graphs.leaf_order(graphs.tree_distances(graphs.spanning_forest(graph(spark, sf))))
+    far = stored(graphs.tree_distances(graphs.spanning_forest(graph(spark, sf))))
+    return graphs.leaf_order(graphs.together(far, modules(spark, sf)))
 
 
 @query("AGG11_between_modules", with_("graph mods", f"SELECT least(m1, m2) AS m1, greatest(m1, m2) AS m2, {r('max(weight)', 'weight')} FROM e WHERE m1 <> m2 GROUP BY ALL", TAGGED))
@@ -318,11 +380,19 @@ def dendrogram(spark: S, sf: str) -> DataFrame:
     return rounded(tree.join(graphs.leaf_order(graphs.tree_distances(tree)).withColumnRenamed("gene", "gene1"), "gene1"))
 
 
-@query("PLT03_dendrogram_network")
+NETWORK = [
+    *page_rank_sql(), *forest_sql("SELECT gene1, gene2, weight FROM rg JOIN mods a ON a.gene = gene1 JOIN mods b ON b.gene = gene2 WHERE a.module = b.module", "tr"),
+    "ac AS (SELECT gene1, gene2, weight, least(a.module, b.module)::VARCHAR AS x1, greatest(a.module, b.module)::VARCHAR AS x2 FROM rg JOIN mods a ON a.gene = gene1 JOIN mods b ON b.gene = gene2 WHERE a.module <> b.module)",
+    "bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY x1, x2 ORDER BY weight DESC, gene1, gene2) AS n FROM ac) WHERE n = 1)",
+    *forest_sql("SELECT x1 AS gene1, x2 AS gene2, weight FROM bs", "bt"),
+    "nt AS (SELECT gene1, gene2, weight, 'within' AS kind FROM tr UNION ALL SELECT bs.gene1, bs.gene2, bs.weight, 'between' FROM bs JOIN bt ON bt.gene1 = x1 AND bt.gene2 = x2)",
+]
+
+
+@query("PLT03_dendrogram_network", with_("graph counts info mods", f"SELECT gene1, gene2, {r('weight * 1000', 'weight')}, kind FROM nt UNION ALL (SELECT gene1, gene2, {r('weight * 1000', 'weight')}, 'extra' FROM rg ANTI JOIN nt USING (gene1, gene2) ORDER BY rg.weight DESC, gene1, gene2 LIMIT 5)", *NETWORK))
 def dendrogram_network(spark: S, sf: str) -> DataFrame:
-    g = graph(spark, sf)
-    tree = stored(graphs.spanning_forest(g))
-    return rounded(tree.withColumn("kind", F.lit("tree")).union(graphs.extra_edges(g, tree, 5).withColumn("kind", F.lit("extra"))))
+    out = graphs.dendrogram_network(graph(spark, sf), modules(spark, sf), start_scores(spark, sf), 5)
+    return rounded(out.withColumn("weight", F.col("weight") * 1000))
 
 
 @query("PLT04_dendrogram_multi")
@@ -357,4 +427,7 @@ def fingerprint(spark: S, sf: str) -> DataFrame:
 
 @query("STR01_streaming_counts", with_("good", "SELECT floor(x / 100 + 1)::INT AS gx, floor(y / 100 + 1)::INT AS gy, gene, count(*) AS count FROM good GROUP BY ALL"))
 def streaming(spark: S, sf: str) -> DataFrame:
-    return binning.tile_counts(good(spark, sf), 100.0, 0.0, 0.0)
+    """A stream over the line items' files, joined with the table of parts, that runs until all there is has been read."""
+    lines = spark.readStream.schema(T.table(spark, sf, "lineitem").schema).parquet(f"{sf}/lineitem.parquet*")
+    found = points.good_quality(points.near_nucleus(T.molecules_of(lines, T.table(spark, sf, "part"))))
+    return binning.counted(found, 100.0, 0.0, 0.0)

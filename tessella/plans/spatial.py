@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.distributions import beta_interval, signed_z, t_p_value
-from ..operators import curve, grids, inference, pairs, ranking, weights
+from ..operators import curve, grids, inference, pairs, ranking, tables, weights
 from ..sources import tables as T
 from ..storage import stored
 from .basic import BH_SQL, P_SQL, delta, idelta, lee, lee_of, modules, pear, with_p
@@ -64,7 +64,10 @@ def second_order(spark: S, sf: str) -> DataFrame:
     return edges_of(spark, sf, order=2).select("i", "j")
 
 
-@query("WGT07_expanded")
+_steps = [f"o{n} AS (SELECT DISTINCT i, j FROM (SELECT i, j FROM o{n - 1} UNION ALL SELECT a.i, b.j FROM o{n - 1} a JOIN o1 b ON a.j = b.i WHERE a.i <> b.j))" for n in (2, 3, 4)]
+
+
+@query("WGT07_expanded", with_("info", "SELECT i, j FROM oo, (SELECT coalesce(min(k) FILTER (WHERE m >= 6.0 * (SELECT count(*) FROM info)), 4) AS least FROM (SELECT k, count(*) AS m FROM oo GROUP BY k)) WHERE k = least", "o1 AS (SELECT a.grid_id AS i, b.grid_id AS j FROM info a JOIN info b ON abs(a.gx - b.gx) + abs(a.gy - b.gy) = 1)", *_steps, "oo AS (SELECT 1 AS k, * FROM o1 UNION ALL SELECT 2, * FROM o2 UNION ALL SELECT 3, * FROM o3 UNION ALL SELECT 4, * FROM o4)"))
 def expanded(spark: S, sf: str) -> DataFrame:
     return weights.expanded(layer(spark, sf)[0], "rook", 6.0)[0]
 
@@ -74,14 +77,26 @@ def evidence(spark: S, sf: str) -> DataFrame:
     return rounded(weights.hex_evidence(layer(spark, sf)[0]))
 
 
-@query("WGT09_verification", with_("w", "SELECT count(*) AS edges, true AS finite, false AS binary, true AS rows_sum_to_one FROM wn", WN))
+CHECKED = "ck AS (SELECT 'binary' AS kind, i, w FROM w UNION ALL SELECT 'rows', i, w FROM wn UNION ALL SELECT 'faulty', i, CASE WHEN i = j_ THEN 'NaN'::DOUBLE ELSE 2 * w END FROM wn, (SELECT min(i) AS j_ FROM w))"
+
+
+@query("WGT09_verification", with_("w", "SELECT kind, sum(n)::BIGINT AS edges, bool_and(f) AS finite, bool_and(z) AS \"binary\", bool_and(abs(s - 1) <= 1e-9 OR abs(s) <= 1e-9) AS rows_sum_to_one FROM (SELECT kind, i, sum(w) AS s, count(*) AS n, bool_and(isfinite(w)) AS f, bool_and(w IN (0.0, 1.0)) AS z FROM ck GROUP BY kind, i) GROUP BY kind", WN, CHECKED))
 def verification(spark: S, sf: str) -> DataFrame:
-    return weights.check_weights(edges_of(spark, sf, style="W"), 1e-9)
+    """Of binary weights, row-normalised ones, and such with weights that aren't numbers and sums that aren't 1."""
+    edges = stored(edges_of(spark, sf, style="W"))
+    least = edges.agg(F.min("i").alias("least"))
+    faulty = edges.crossJoin(F.broadcast(least)).select("i", "j", F.when(F.col("i") == F.col("least"), F.lit(float("nan"))).otherwise(2 * F.col("w")).alias("w"))
+    every = {"binary": edges_of(spark, sf), "rows": edges, "faulty": faulty}
+    return tables.stacked([weights.check_weights(e, 1e-9).withColumn("kind", F.lit(k)) for k, e in every.items()])
 
 
-@query("WGT10_lattice_check", with_("info", "SELECT count(*) AS tiles, 0::BIGINT AS repeated_places, 0::BIGINT AS bad_names, 0::BIGINT AS out_of_range FROM info"))
+@query("WGT10_lattice_check", with_("info", "SELECT count(*) AS tiles, sum((p > 1)::INT)::BIGINT AS repeated_places, sum((n > 1 OR grid_id IS NULL OR grid_id = '')::INT)::BIGINT AS bad_names, sum((gx < 1 OR gy < 1)::INT)::BIGINT AS out_of_range FROM (SELECT *, count(*) OVER (PARTITION BY gx, gy) AS p, count(*) OVER (PARTITION BY grid_id) AS n FROM fl)", "fl AS (SELECT gx, gy, grid_id FROM info UNION ALL SELECT gx, gy, grid_id || 'b' FROM info WHERE gx = 1 UNION ALL SELECT gx - 3, gy + 1000, CASE WHEN gy % 2 = 0 THEN NULL ELSE grid_id END FROM info WHERE gx <= 3)"))
 def lattice(spark: S, sf: str) -> DataFrame:
-    return weights.check_lattice(layer(spark, sf)[0])
+    """With tiles that share a place, that lack or share a name, and that lie off the lattice."""
+    info = layer(spark, sf)[0].select("gx", "gy", "grid_id")
+    twice = info.where("gx = 1").select("gx", "gy", F.concat("grid_id", F.lit("b")).alias("grid_id"))
+    off = info.where("gx <= 3").select((F.col("gx") - 3).alias("gx"), (F.col("gy") + 1000).alias("gy"), F.when(F.col("gy") % 2 == 0, F.lit(None)).otherwise(F.col("grid_id")).alias("grid_id"))
+    return weights.check_lattice(tables.stacked([info, twice, off]))
 
 
 PRESENT = "v AS (SELECT grid_id AS i, gene, least(1.0, c / 20.0) AS value FROM counts)"
@@ -126,15 +141,28 @@ def lees_dense(spark: S, sf: str) -> DataFrame:
     return rounded(pairs.lees_l(z, weights.weights(info), info, dense=True))
 
 
+def wide_panel(sql: str) -> str:
+    """The same of the larger panel, whose genes are brands by type."""
+    return sql.replace("p_brand AS gene", "p_brand || '/' || p_type AS gene")
+
+
+@query("LEE01_lees_l_150_genes", wide_panel(LEE))
+def lees_150(spark: S, sf: str) -> DataFrame:
+    info, z = xz(spark, sf, "type")
+    return rounded(pairs.lees_l(z, stored(weights.weights(info)), info, dense=True))
+
+
 @query("LEE02_selected_columns", with_("lee", f"SELECT gene1, gene2, {r('L')} FROM lee WHERE gene1 IN ('Brand#11', 'Brand#35') OR gene2 IN ('Brand#11', 'Brand#35')"))
 def lees_columns(spark: S, sf: str) -> DataFrame:
     info, z = xz(spark, sf)
     return rounded(pairs.lees_l(z, weights.weights(info), info, genes=["Brand#11", "Brand#35"]))
 
 
-@query("LEE03_layer_validation", with_("xz", "SELECT DISTINCT gene, true AS finite, true AS centred FROM xz"))
+@query("LEE03_layer_validation", with_("xz", "SELECT gene, bool_and(isfinite(z)) AS finite, bool_and(isfinite(z)) AND (sqrt(avg(z * z)) = 0 OR abs(avg(z)) <= 1e-7 * sqrt(avg(z * z))) AS centred FROM (SELECT gene, CASE WHEN gene = 'Brand#12' AND grid_id = 'g1_1' THEN 'NaN'::DOUBLE WHEN gene LIKE 'Brand#2%' THEN z + 0.001::DOUBLE ELSE z END AS z FROM xz) GROUP BY gene"))
 def centred(spark: S, sf: str) -> DataFrame:
-    return pairs.centring(xz(spark, sf)[1])
+    """A layer with a value that isn't a number, and columns that are off their mean."""
+    z = F.when((F.col("gene") == "Brand#12") & (F.col("grid_id") == "g1_1"), F.lit(float("nan"))).when(F.col("gene").startswith("Brand#2"), F.col("z") + 0.001).otherwise(F.col("z"))
+    return pairs.centring(xz(spark, sf)[1].withColumn("z", z))
 
 
 @query("LEE04_projection_candidates")
@@ -267,24 +295,26 @@ def idelta_query(spark: S, sf: str) -> DataFrame:
     return rounded(idelta(spark, sf))
 
 
-MH = "a AS (SELECT gene, sum(x) AS n, sum(x * x) AS q, 0.0 AS f2 FROM v GROUP BY gene), mh AS (SELECT gene1, gene2, CASE WHEN den > 0 THEN 2 * coalesce(dot, 0) / den ELSE 0 END AS m FROM (SELECT g.gene1, g.gene2, dot, (CASE WHEN la = 0 AND lb = 0 THEN a.q / (a.n * a.n) + b.q / (b.n * b.n) ELSE la + lb END) * a.n * b.n AS den FROM graph g JOIN {l} a ON a.gene = g.gene1 JOIN {m} b ON b.gene = g.gene2 LEFT JOIN (SELECT x.gene AS g1, y.gene AS g2, sum(x.x * y.x) AS dot FROM v x JOIN v y ON x.grid_id = y.grid_id AND x.gene < y.gene GROUP BY ALL) ON g1 = g.gene1 AND g2 = g.gene2))"
+MH = "a AS (SELECT gene, sum(x) AS n, sum(x * x) AS q, sum((x = 2)::INT) AS f2 FROM v GROUP BY gene), mh AS (SELECT gene1, gene2, CASE WHEN den > 0 THEN 2 * coalesce(dot, 0) / den ELSE 0 END AS m FROM (SELECT g.gene1, g.gene2, dot, (CASE WHEN la = 0 AND lb = 0 THEN a.q / (a.n * a.n) + b.q / (b.n * b.n) ELSE la + lb END) * a.n * b.n AS den FROM graph g JOIN {l} a ON a.gene = g.gene1 JOIN {m} b ON b.gene = g.gene2 LEFT JOIN (SELECT x.gene AS g1, y.gene AS g2, sum(x.x * y.x) AS dot FROM v x JOIN v y ON x.grid_id = y.grid_id AND x.gene < y.gene GROUP BY ALL) ON g1 = g.gene1 AND g2 = g.gene2))"
 
 
-def _mh_sql(chao: bool) -> str:
-    raw = "(q - n * (n - 1)) / (n * n)" if chao else "q / (n * n)"
+def _mh_sql(chao: bool, counts: bool = False) -> str:
+    raw = "(q - n * (n - 1) * (1 - CASE WHEN n > 1 THEN 2.0 * f2 / (n * (n - 1)) ELSE 0 END)) / (n * n)" if chao else "q / (n * n)"
     lam = f"(SELECT *, greatest({raw}, 0) AS {{0}} FROM a)"
     scale = "CASE WHEN t < 0.001 THEN 1000 WHEN t < 0.01 THEN 100 WHEN t < 0.1 THEN 10 ELSE 1 END"
-    return with_("graph counts info", f"SELECT gene1, gene2, {r(f'm * {scale}', 'mh')} FROM mh, (SELECT max(m) AS t FROM mh)", "v AS (SELECT grid_id, gene, c / (width * height) AS x FROM counts JOIN info USING (grid_id))", MH.format(l=lam.format("la"), m=lam.format("lb")))
+    return with_("graph counts info", f"SELECT gene1, gene2, {r(f'm * {scale}', 'mh')} FROM mh, (SELECT max(m) AS t FROM mh)", f"v AS (SELECT grid_id, gene, {'c::DOUBLE' if counts else 'c / (width * height)'} AS x FROM counts JOIN info USING (grid_id))", MH.format(l=lam.format("la"), m=lam.format("lb")))
 
 
-def mh(spark: S, sf: str, chao: bool) -> DataFrame:
+def mh(spark: S, sf: str, chao: bool, counts: bool = False) -> DataFrame:
     info, c = layer(spark, sf)
-    value = c.join(info, "grid_id").select("grid_id", "gene", (F.col("count") / (F.col("width") * F.col("height"))).alias("value"))
-    return pairs.morisita_horn(value, lee(spark, sf).where("L > 0"), chao)
+    value = c.join(info, "grid_id").select("grid_id", "gene", (F.col("count").cast("double") if counts else F.col("count") / (F.col("width") * F.col("height"))).alias("value"))
+    z = stored(grids.normalise(c, info))
+    return pairs.morisita_horn(value, lee_of(info, z).where("L > 0"), chao)
 
 
 query("SIM01_morisita_horn", _mh_sql(False))(lambda spark, sf: rounded(mh(spark, sf, False)))
 query("SIM01_morisita_horn_chao", _mh_sql(True))(lambda spark, sf: rounded(mh(spark, sf, True)))
+query("SIM01_morisita_horn_chao_counts", _mh_sql(True, True))(lambda spark, sf: rounded(mh(spark, sf, True, True)))
 
 
 JAC = "j AS (SELECT a.gene AS gene1, b.gene AS gene2, coalesce(k, 0) / (a.n + b.n - coalesce(k, 0)) AS jaccard FROM n a JOIN n b ON a.gene < b.gene LEFT JOIN (SELECT x.gene AS g1, y.gene AS g2, count(*) AS k FROM t x JOIN t y ON x.grid_id = y.grid_id AND x.gene < y.gene GROUP BY ALL) ON g1 = a.gene AND g2 = b.gene)"

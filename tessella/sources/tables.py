@@ -12,10 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def molecules(spark: SparkSession, sf_dir: str, panel: str = "brand") -> DataFrame:
     """(mol_id, cell, feature_name, x_location, y_location, qv, nucleus_distance). panel "brand" has 25 genes, "type" 150."""
+    return molecules_of(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part"), panel)
+
+
+def molecules_of(lines: DataFrame, parts: DataFrame, panel: str = "brand") -> DataFrame:
+    """molecules() of a table or stream of line items."""
     gene = F.col("p_brand") if panel == "brand" else F.concat_ws("/", "p_brand", "p_type")
-    part = table(spark, sf_dir, "part").select("p_partkey", gene.alias("feature_name"))
+    part = parts.select("p_partkey", gene.alias("feature_name"))
     cents = lambda c: F.round(F.col(c) * 100).cast("int")
-    return table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+    return lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("mol_id"), F.col("l_orderkey").alias("cell"), "feature_name",
         (F.col("l_extendedprice") / 100.0).alias("x_location"), (F.col("l_quantity") * 20.0).alias("y_location"),
         (40.0 - 2.5 * cents("l_discount")).alias("qv"), (4.0 * cents("l_tax")).alias("nucleus_distance"),

@@ -23,9 +23,9 @@ def test_stream_equals_table(spark, tmp_path):
     m = molecules(spark, SF).select("feature_name", "x_location", "y_location")
     m.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(m.schema).parquet(str(tmp_path / "in"))
-    q = binning.start(stream, 100.0, 0.0, 0.0, "tile_counts", str(tmp_path / "c"))
+    q = binning.start(stream, 100.0, 0.0, 0.0, str(tmp_path / "o"), str(tmp_path / "c"))
     q.awaitTermination(120)
     want = sorted(map(tuple, binning.tile_counts(m, 100.0, 0.0, 0.0).collect()))
-    assert sorted(map(tuple, spark.table("tile_counts").collect())) == want
+    assert sorted(map(tuple, binning.latest(spark, str(tmp_path / "o")).collect())) == want
     late = binning.tile_counts(m.withColumn("ts", F.lit("2024-01-01 00:30:00").cast("timestamp")), 100.0, 0.0, 0.0, "1 hour")
     assert late.agg(F.sum("count")).first()[0] == m.count()
