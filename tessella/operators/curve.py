@@ -57,9 +57,10 @@ def strata(points: DataFrame, n: int, x: str = "r") -> DataFrame:
 
 
 def order_statistics(rows: DataFrame, rank: Column, total: int | Column, most: int) -> DataFrame:
-    """Of ranked rows (from 0) those at evenly spaced ranks, `most` at most; all if they are no more."""
-    step = F.lit(total) if isinstance(total, int) else total
-    return rows.where((step <= most) | (F.floor((rank + 1) * F.lit(float(most)) / step) > F.floor(rank * F.lit(float(most)) / step)))
+    """Of ranked rows (from 0) those in the middle of `most` equal runs of ranks; all if they are no more."""
+    n = F.lit(total) if isinstance(total, int) else total
+    share = F.lit(float(most)) / n
+    return rows.where((n <= most) | (F.floor((rank + 0.5) * share + 0.5) > F.floor((rank - 0.5) * share + 0.5)))
 
 
 @dataclass(frozen=True)

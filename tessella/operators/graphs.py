@@ -228,27 +228,33 @@ def refined_parts(a: np.ndarray, mass: np.ndarray, label: np.ndarray, norm: floa
 
 def communities_of(w: np.ndarray, seed: int, resolution: float = 1.0, objective: str = "modularity", algorithm: str = "leiden") -> np.ndarray:
     """Labels from 1 by moving nodes and aggregation until nothing gains. leiden: what is aggregated are the refined parts of the
-    communities, which may then be moved apart, so communities are connected; louvain: the communities themselves. objective:
-    modularity, or CPM (sizes in the place of degrees)."""
+    communities, which may then be moved apart, and all is repeated from its result until no single node gains by a move, so communities
+    are connected; louvain: the communities themselves are aggregated, once. objective: modularity, or CPM (sizes in the place of
+    degrees)."""
     rng = np.random.default_rng(seed)
-    member, a = np.arange(len(w)), w.copy()
-    total = a.sum()
-    mass = a.sum(axis=1) if objective == "modularity" else np.ones(len(w))
+    total = w.sum()
+    weight = w.sum(axis=1) if objective == "modularity" else np.ones(len(w))
     norm = total if objective == "modularity" and total > 0 else 1.0
-    label = np.arange(len(w))
-    while True:
-        _, label = np.unique(moved(a, mass, label, norm, resolution, rng), return_inverse=True)
-        part = refined_parts(a, mass, label, norm, resolution, rng) if algorithm == "leiden" else label
-        _, first, part = np.unique(part, return_index=True, return_inverse=True)
-        if len(first) == len(a):
-            break
-        member, label = part[member], label[first]
-        fold = np.zeros((len(first), len(a)))
-        fold[part, np.arange(len(a))] = 1
-        a, mass = fold @ a @ fold.T, fold @ mass
-    out = label[member]
-    if algorithm == "leiden":
+
+    def once(label: np.ndarray) -> np.ndarray:
+        member, a, mass = np.arange(len(w)), w.copy(), weight
+        while True:
+            _, label = np.unique(moved(a, mass, label, norm, resolution, rng), return_inverse=True)
+            part = refined_parts(a, mass, label, norm, resolution, rng) if algorithm == "leiden" else label
+            _, first, part = np.unique(part, return_index=True, return_inverse=True)
+            if len(first) == len(a):
+                return label[member]
+            member, label = part[member], label[first]
+            fold = np.zeros((len(first), len(a)))
+            fold[part, np.arange(len(a))] = 1
+            a, mass = fold @ a @ fold.T, fold @ mass
+
+    out = once(np.arange(len(w)))
+    while algorithm == "leiden":
         out = connected_parts(w, out)
+        if (moved(w, weight, out, norm, resolution, rng) == out).all():
+            break
+        out = once(out)
     number: dict[int, int] = {}
     return np.array([number.setdefault(m, len(number) + 1) for m in out.tolist()], int)
 

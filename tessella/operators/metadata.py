@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,23 @@ def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(h), F.lit(0)).alias("hash"))
 
 
+FORMULA = "n / S2 * sum(lag lag) / sqrt(sum x^2 sum x^2)"
+
+
+def source_of(values: DataFrame, edges: DataFrame, layer: str, style: str) -> dict:
+    """What a result of a layer and weights is made from: the formula, the layer's name, order-insensitive hashes of both tables, the weight
+    style and S2. Permutations aren't part of it: see settings_of()."""
+    data, weight = fingerprint(values).first(), fingerprint(edges).first()
+    s2 = edges.groupBy("i").agg(F.sum("w").alias("r")).agg(F.sum(F.col("r") * F.col("r"))).first()[0]
+    return {"formula": FORMULA, "layer": layer, "data_hash": (data.rows, data["hash"]), "weight_hash": (weight.rows, weight["hash"]), "style": style, "s2": float(s2 or 0.0)}
+
+
+def settings_of(**values) -> dict:
+    """Settings of a run (permutations, blocks, bootstrap samples, span, seed), and a hash of them."""
+    text = ",".join(f"{k}={values[k]!r}" for k in sorted(values))
+    return values | {"settings_sha256": hashlib.sha256(text.encode()).hexdigest()}
+
+
 def require_fresh(stored: dict, now: dict, tolerance: float = 1e-12) -> None:
     """An error unless results were made from these inputs: formula, layer, hashes and style equal, S2 within a relative tolerance."""
     for name in ("formula", "layer", "data_hash", "weight_hash", "style"):

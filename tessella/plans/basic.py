@@ -341,11 +341,12 @@ def common(spark: S, sf: str) -> DataFrame:
     return rounded(tables.common_pairs(lee_of(info, z), turned).select("gene1", "gene2", "L", "r"))
 
 
-@query("JN13_barcode_alignment", with_("counts info", "SELECT grid_id, gene, c AS count, center_x FROM counts JOIN (SELECT grid_id, center_x FROM info SEMI JOIN (SELECT grid_id FROM counts GROUP BY grid_id HAVING count(DISTINCT gene) >= 20) USING (grid_id)) USING (grid_id)"))
+@query("JN13_barcode_alignment", with_("counts info", "SELECT grid_id, gene, c AS count, center_x FROM counts JOIN info USING (grid_id) SEMI JOIN (SELECT grid_id FROM sz WHERE n >= (SELECT quantile_cont(n, 0.5) FROM sz)) USING (grid_id)", "sz AS (SELECT grid_id, sum(c) AS n FROM counts GROUP BY grid_id)"))
 def barcodes(spark: S, sf: str) -> DataFrame:
-    """In-tissue tiles are those of twenty genes or more."""
+    """In-tissue tiles are those of the median library size or more."""
     info, c = layer(spark, sf)
-    tissue = tables.members(info, grids.rich_tiles(c, 20), "grid_id")
+    size = c.groupBy("grid_id").agg(F.sum("count").alias("n"))
+    tissue = tables.members(info, size.crossJoin(F.broadcast(size.agg(F.percentile("n", F.lit(0.5)).alias("mid")))).where("n >= mid"), "grid_id")
     return tables.positioned(c, tissue, columns=("center_x",)).select("grid_id", "gene", "count", "center_x")
 
 

@@ -67,16 +67,50 @@ def test_against_matrices(spark, dense):
     assert got == {(f"g{i}", f"g{j}"): k[i, j] for i in range(5) for j in range(i + 1, 5)}
 
 
-def test_dense_permutations_don_t_depend_on_tasks(spark, chain):
-    _, counts, info = chain
-    z = grids.normalise(counts, info).persist()
-    e = weights.weights(info)
-    seen = pairs.lees_l(z, e, info)
-    a = {(r.gene1, r.gene2): r.k for r in inference.permutation_test_dense(z, e, seen, 20).collect()}
-    b = {(r.gene1, r.gene2): r.k for r in inference.permutation_test_dense(z.repartition(5), e.repartition(1), seen.repartition(2), 20).collect()}
-    assert a == b and all(0 <= k <= 20 for k in a.values())
+@pytest.mark.parametrize("block", [None, "block"])
+def test_dense_permutations_are_those_of_the_joins(spark, block):
+    """By blocks of genes, by joins, with any partitioning, and beyond the limit: the same counts."""
+    rng = np.random.default_rng(4)
+    info = spark.createDataFrame([(f"g{x}_{y}", x, y) for x in range(1, 7) for y in range(1, 6)], "grid_id string, gx int, gy int")
+    tiles = grids.block_ids(info, 3).persist()
+    rows = [(r.grid_id, f"g{j}", float(rng.normal())) for r in info.collect() for j in range(7)]
+    z = spark.createDataFrame(rows, "grid_id string, gene string, z double").persist()
+    e = weights.weights(info).persist()
+    seen = pairs.lees_l(z, e, info).join(pairs.pearson(z, "grid_id", "z"), ["gene1", "gene2"]).persist()
+    perms = inference.permutations(tiles, 11, block).persist()
+    for reference in (None, "r"):
+        want = {(r.gene1, r.gene2): r.k for r in inference.permutation_test(z, e, tiles, seen, perms, 11, reference).collect()}
+        dense = lambda *a, **kw: {(r.gene1, r.gene2): r.k for r in inference.permutation_test_dense(*a, 11, block, reference, **kw).collect()}
+        assert dense(z, e, tiles, seen, genes_a_block=3) == want
+        assert dense(z.repartition(5), e.repartition(1), tiles, seen.repartition(2)) == want
+        assert dense(z, e, tiles, seen, limit=3) == want
+    assert dense(z, e, tiles, seen, recompute=True) == want
     with pytest.raises(ValueError):
-        inference.permutation_test_dense(z, e, seen, 20, limit=3)
+        inference.permutation_test_dense(z, e, tiles, seen, 11, recompute=True)
+
+
+@pytest.mark.parametrize("genes", [3, 2])
+def test_dense_products_in_blocks_of_genes(spark, monkeypatch, genes):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(9, 7))
+    values = spark.createDataFrame([(f"t{i}", f"g{j}", float(x[i, j])) for i in range(9) for j in range(7)], "grid_id string, gene string, z double")
+    monkeypatch.setattr(pairs, "GENES", genes)
+    got = {(r.gene1, r.gene2): r.s for r in pairs.pair_sums_dense(values, "grid_id", "z", 4).collect()}
+    want = x.T @ x
+    assert len(got) == 28 and all(abs(s - want[int(a[1]), int(b[1])]) < 1e-12 for (a, b), s in got.items())
+    with pytest.raises(MemoryError):
+        pairs.require_size(values.select("gene").distinct(), 1e-9)
+
+
+def test_kendall(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 4, (12, 3))
+    values = spark.createDataFrame([(i, f"g{j}", float(x[i, j])) for i in range(12) for j in range(3) if x[i, j]], "u int, gene string, value double")
+    for r in pairs.kendall(values, "u").collect():
+        a, b = x[:, int(r.gene1[1])], x[:, int(r.gene2[1])]
+        s = [np.sign(a[i] - a[j]) * np.sign(b[i] - b[j]) for i in range(12) for j in range(i)]
+        n = [sum(v[i] != v[j] for i in range(12) for j in range(i)) for v in (a, b)]
+        assert r.r == pytest.approx(sum(s) / np.sqrt(n[0] * n[1]))
 
 
 def test_blocks_are_kept(spark):
