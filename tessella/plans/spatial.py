@@ -408,7 +408,7 @@ def perm_query(name: str, n: int, block: bool, delta_: bool, recompute: bool = F
         return rounded(out.select("gene1", "gene2", "k", "p"))
 
 
-perm_query("PRM01_global_permutations", 99, False, False)
+perm_query("PRM01_global_permutations", 999, False, False)
 perm_query("PRM02_block_permutations", 99, True, False)
 perm_query("PRM03_delta_permutations", 99, False, True)
 perm_query("PRM04_delta_recomputed", 49, True, True, True)

@@ -146,6 +146,7 @@ def test_other_verbs(spark, scope):
         s.add_histology("grid200", "bad", 0, 1, (0, 1, 0, 1), 1.0)
     s = s.compute_mh("grid200").compute_idelta("grid200").gene_jaccard("grid200").cluster_genes(restarts=3, threshold=0.5, second_stage=True, drop_unstable=False)
     assert 0 < s.stats["modules"].count() <= 25
+    s = s.with_stats(jaccard=s.stats["L_Xz"].selectExpr("gene1", "gene2", "L as jaccard"))
     for alternative in ("two.sided", "greater", "less"):
         assert 0 <= s.module_test(alternative=alternative).first().p <= 1
         assert 0 < s.module_test(method="flips", alternative=alternative, n_perm=20).first().p <= 1
