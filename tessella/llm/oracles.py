@@ -31,6 +31,33 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
 FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
 """
 
+#: The digest from its description: hashed triplets of bytes, codes of 2,048 buckets by quartiles, and the two likenesses.
+OP5 = """
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id DESC NULLS LAST) AS rn, doc_id, coalesce(text, '') AS t FROM documents),
+e AS MATERIALIZED (SELECT a.rn, b.rn AS nx, a.doc_id, a.t, substr(a.t, 1, length(a.t) - length(a.t) // 3) || substr(b.t, 1, length(a.t) // 3) AS ed FROM d a JOIN d b ON b.rn = a.rn % (SELECT count(*) FROM d) + 1),
+u AS MATERIALIZED (SELECT rn, kind, octet_length(encode(x)) AS n, hex(encode(x)) || CASE octet_length(encode(x)) WHEN 1 THEN '0000' WHEN 2 THEN '00' ELSE '' END AS h FROM (SELECT rn, 0 AS kind, t AS x FROM e UNION ALL SELECT rn, 1, ed FROM e)),
+l AS MATERIALIZED (SELECT rn, kind, n, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::UBIGINT) AS l FROM u),
+w AS MATERIALIZED (SELECT rn, kind, l[i] AS x, l[i + 1] AS y, l[i + 2] AS z, l[i + 3] AS q FROM l, unnest(range(1, len(l) - 2)) AS r(i)),
+g AS MATERIALIZED (SELECT rn, kind, x * 65536 + y * 256 + z AS g FROM w UNION ALL SELECT rn, kind, x * 65536 + y * 256 + q + 16777216 FROM w UNION ALL SELECT rn, kind, x * 65536 + z * 256 + q + 33554432 FROM w
+  UNION ALL SELECT rn, kind, l[-3] * 65536 + l[-2] * 256 + l[-1] FROM l WHERE n > 0),
+m AS MATERIALIZED (SELECT rn, kind, g * 2654435761::UBIGINT % 4294967296 AS k FROM g),
+c AS MATERIALIZED (SELECT rn, kind, ((xor(k, k >> 15) * 2246822519::UBIGINT % 4294967296) >> 21)::INT AS bucket, count(*) AS c FROM m GROUP BY ALL),
+f AS MATERIALIZED (SELECT u.rn, u.kind, b AS bucket, coalesce(c, 0) AS c FROM u CROSS JOIN range(0, 2048) AS t(b) LEFT JOIN c ON c.rn = u.rn AND c.kind = u.kind AND bucket = b),
+q AS MATERIALIZED (SELECT rn, kind, list_sort(list(c)) AS s FROM f GROUP BY rn, kind),
+k AS MATERIALIZED (SELECT rn, kind, bucket, (c > s[512])::INT + (c > s[1024])::INT + (c > s[1536])::INT AS code FROM f JOIN q USING (rn, kind)),
+z AS MATERIALIZED (SELECT rn, kind, least(255, round(4 * log2(1 + n)))::INT AS size FROM u),
+p AS MATERIALIZED (SELECT rn, kind, to_base64(from_hex(printf('%02X', any_value(size)) || string_agg(printf('%02X', byte), '' ORDER BY nth))) AS fingerprint FROM (SELECT rn, kind, bucket // 4 AS nth, sum(code << (6 - 2 * (bucket % 4)))::INT AS byte FROM k GROUP BY ALL) JOIN z USING (rn, kind) GROUP BY rn, kind),
+pair AS MATERIALIZED (SELECT rn, 0 AS what, rn AS other, 1 AS okind FROM e UNION ALL SELECT rn, 1, nx, 0 FROM e),
+s AS MATERIALIZED (SELECT rn, kind, list(code ORDER BY bucket) AS codes FROM k GROUP BY rn, kind),
+both_ AS MATERIALIZED (SELECT rn, what, unnest(x) AS x, unnest(y) AS y FROM (SELECT pair.rn, what, a.codes AS x, b.codes AS y FROM pair JOIN s a ON a.rn = pair.rn AND a.kind = 0 JOIN s b ON b.rn = other AND b.kind = okind)),
+differ AS MATERIALIZED (SELECT rn, what, sum(CASE WHEN abs(x - y) = 3 THEN 6 ELSE abs(x - y) END) AS v FROM both_ GROUP BY ALL),
+chance AS MATERIALIZED (SELECT a.rn, a.what, sum(a.n * b.n * CASE WHEN abs(a.x - b.y) = 3 THEN 6 ELSE abs(a.x - b.y) END)::DOUBLE / 2048 AS v FROM (SELECT rn, what, x, count(*) AS n FROM both_ GROUP BY ALL) a JOIN (SELECT rn, what, y, count(*) AS n FROM both_ GROUP BY ALL) b ON a.rn = b.rn AND a.what = b.what GROUP BY ALL),
+likeness AS MATERIALIZED (SELECT pair.rn, what, greatest(0.0::DOUBLE, 1.0::DOUBLE - CASE WHEN chance.v > 0 THEN differ.v::DOUBLE / chance.v WHEN differ.v > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END - 0.1::DOUBLE * least(1.0::DOUBLE, abs(a.size - b.size) / 16.0::DOUBLE)) AS v
+  FROM pair JOIN differ USING (rn, what) JOIN chance USING (rn, what) JOIN z a ON a.rn = pair.rn AND a.kind = 0 JOIN z b ON b.rn = other AND b.kind = okind)
+SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(ed) AS edited_sha256, a.fingerprint, b.fingerprint AS edited_fingerprint, x.v AS near_edited, y.v AS near_next
+FROM e JOIN p a ON a.rn = e.rn AND a.kind = 0 JOIN p b ON b.rn = e.rn AND b.kind = 1 JOIN likeness x ON x.rn = e.rn AND x.what = 0 JOIN likeness y ON y.rn = e.rn AND y.what = 1
+"""
+
 OP6 = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {words("text", SPACED, True)} AS ws FROM documents),
 sh AS (
@@ -119,4 +146,4 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, f::
 FROM w LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id)
 """
 
-ORACLES = {"op2_substring_dedup": OP2, "op6_minmax_neardups": OP6, "op7_decontamination": OP7, "op8_perspectives": OP8, "op9_url_filter": OP9, "op10_license_scan": OP10}
+ORACLES = {"op2_substring_dedup": OP2, "op5_quartile_digest": OP5, "op6_minmax_neardups": OP6, "op7_decontamination": OP7, "op8_perspectives": OP8, "op9_url_filter": OP9, "op10_license_scan": OP10}
