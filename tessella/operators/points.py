@@ -79,10 +79,29 @@ def in_ring(df: DataFrame, ring: list[tuple[float, float]], x: str, y: str) -> D
     return df.where(F.col(x).between(float(min(xs)), float(max(xs))) & F.col(y).between(float(min(ys)), float(max(ys)))).where(crosses(F.col(x), F.col(y), literal))
 
 
+def is_box(ring: Column) -> Column:
+    """Whether a closed ring is a rectangle along the axes: four edges along them, and both pairs of opposite corners differ in x and in y."""
+    at = lambda i: F.get(ring, F.lit(i))
+    along = lambda i: (at(i)["x"] == at(i + 1)["x"]) != (at(i)["y"] == at(i + 1)["y"])
+    apart = lambda i: (at(i)["x"] != at(i + 2)["x"]) & (at(i)["y"] != at(i + 2)["y"])
+    return F.coalesce((F.size(ring) == 5) & (at(0) == at(4)) & reduce(Column.__and__, [along(i) for i in range(4)]) & apart(0) & apart(1), F.lit(False))
+
+
 def locate(points: DataFrame, polygons: DataFrame, cell: float, x: str = "x", y: str = "y") -> DataFrame:
-    """points joined with the polygons (label_id, ring) they are strictly inside of. Polygons are dealt to the squares of side `cell`
-    that their boxes touch, so points meet only those of their square: an equi-join whatever the numbers."""
-    at = lambda c: F.floor(c / cell)
-    side = lambda f, k: at(f(F.transform("ring", lambda p: p[k])))
-    boxed = polygons.select("label_id", "ring", F.explode(F.sequence(side(F.array_min, "x"), side(F.array_max, "x"))).alias("__sx"), side(F.array_min, "y").alias("lo"), side(F.array_max, "y").alias("hi")).withColumn("__sy", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
-    return points.withColumns({"__sx": at(F.col(x)), "__sy": at(F.col(y))}).join(boxed, ["__sx", "__sy"]).where(crosses(F.col(x), F.col(y), F.col("ring"))).drop("__sx", "__sy", "ring")
+    """points joined with the polygons (label_id, ring) they are strictly inside of. Polygons are dealt to the squares that their boxes
+    touch, of a side near their own: `cell` halved or doubled until it is, so that a polygon has nine squares at most. Points stand in
+    one square of each side that occurs and meet only polygons of it whose box holds them: an equi-join whatever the numbers. Only rings
+    that aren't boxes themselves need a look at their edges; they have a join of their own, so that the other stays compiled."""
+    end = lambda f, k: f(F.transform("ring", lambda p: p[k]))
+    boxed = polygons.select("label_id", "ring", *[end(f, k).alias(f"__{k}{n}") for k in "xy" for n, f in enumerate((F.array_min, F.array_max))], is_box(F.col("ring")).alias("__box"))
+    extent = F.greatest(F.col("__x1") - F.col("__x0"), F.col("__y1") - F.col("__y0"))
+    boxed = boxed.where((F.col("__x0") < F.col("__x1")) & (F.col("__y0") < F.col("__y1")) & (extent < float("inf")))
+    boxed = boxed.withColumn("__side", cell * F.pow(F.lit(2.0), F.round(F.log2(extent / cell))))
+    at = lambda c: F.floor(F.col(c) / F.col("__side"))
+    dealt = boxed.withColumn("__sx", F.explode(F.sequence(at("__x0"), at("__x1")))).withColumn("__sy", F.explode(F.sequence(at("__y0"), at("__y1"))))
+    placed = points.crossJoin(F.broadcast(boxed.select("__side").distinct())).withColumns({"__sx": at(x), "__sy": at(y)})
+    held = (F.col(x) > F.col("__x0")) & (F.col(x) < F.col("__x1")) & (F.col(y) > F.col("__y0")) & (F.col(y) < F.col("__y1"))
+    met = lambda some: placed.join(some, ["__side", "__sx", "__sy"]).where(held)
+    boxes = met(dealt.where("__box")).drop("ring")
+    others = met(dealt.where("NOT __box")).where(crosses(F.col(x), F.col(y), F.col("ring"))).drop("ring")
+    return boxes.union(others).drop("__side", "__sx", "__sy", "__x0", "__x1", "__y0", "__y1", "__box")

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.operators import grids, points
 from tessella.operators.ranking import parse_quantile
@@ -42,6 +43,30 @@ def test_locate_equals_one_by_one(spark):
     assert got == want and got
 
 
+def test_locate_polygons_of_all_sizes(spark):
+    """Boxes, diamonds, triangles and flat rings from 0.01 to 10,000 wide, against squares far too small for them."""
+    import random
+
+    rng = random.Random(2)
+    shapes = [((0, 0), (1, 0), (1, 1), (0, 1)), ((1, 1), (1, 0), (0, 0), (0, 1)), ((0.5, 0), (1, 0.5), (0.5, 1), (0, 0.5)), ((0, 0), (1, 0), (0.3, 1)), ((0, 0), (1, 0), (0.5, 0)), ((0, 0), (1, 1), (1, 0), (0, 1))]
+    rings = [(f"l{i}", [(x + w * dx, y + w * dy) for dx, dy in shapes[i % 6]]) for i in range(48) for w, x, y in [(10.0 ** (i // 6 % 7 - 2), float(rng.randint(-9, 9)), float(rng.randint(-9, 9)))]]
+    xy = [(rng.uniform(-20, 20), rng.uniform(-20, 20)) for _ in range(150)] + [v for _, ring in rings for v in ring] + [((a + c) / 2 + e, (b + d) / 2 + e / 3) for _, ((a, b), (c, d), *_) in rings for e in (0.0, 1e-3, -1e-3)]
+    pts = spark.createDataFrame([(i, *v) for i, v in enumerate(xy)], "id int, x double, y double").withColumn("a.b", F.lit(1))
+    poly = spark.createDataFrame([(n, [*ring, ring[0]]) for n, ring in rings], "label_id string, ring array<struct<x: double, y: double>>")
+    out = points.locate(pts, poly, 1e-6)
+    assert out.columns == ["id", "x", "y", "a.b", "label_id"]
+    got = [(r.id, r.label_id) for r in out.select("id", "label_id").collect()]
+    want = [(r.id, r.label_id) for r in pts.crossJoin(poly).where(points.crosses(F.col("x"), F.col("y"), F.col("ring"))).select("id", "label_id").collect()]
+    assert sorted(got) == sorted(want) and {int(n[1:]) % 6 for _, n in got} == {0, 1, 2, 3, 5}
+
+
+@pytest.mark.parametrize(("ring", "box"), [("0 0 2 0 2 1 0 1 0 0", True), ("0 1 2 1 2 0 0 0 0 1", True), ("0 0 0 1 2 1 2 0 0 0", True), ("0 0 2 0 2 1 0 2 0 0", False), ("0 0 2 0 0 0 2 0 0 0", False), ("0 0 2 1 2 0 0 1 0 0", False), ("1 0 2 1 1 2 0 1 1 0", False), ("0 0 2 0 2 1 0 0", False), ("0 0 2 0 2 1 0 1 0 2", False), ("0 0 0 0 2 1 2 1 0 0", False)])
+def test_which_rings_are_boxes(spark, ring, box):
+    v = [float(c) for c in ring.split()]
+    df = spark.createDataFrame([(list(zip(v[::2], v[1::2], strict=True)),)], "ring array<struct<x: double, y: double>>")
+    assert df.select(points.is_box(F.col("ring")).alias("b")).first().b is box
+
+
 def test_tiles_and_last_break(spark):
     df = mols(spark, [("A", 0.0, 0.0, 40.0, 0.0), ("B", 25.0, 10.0, 40.0, 0.0), ("B", 19.0, 9.0, 40.0, 0.0)])
     all_tiles = grids.tiles(grids.bounds(df), 10.0, keep_partial=True)
