@@ -206,18 +206,18 @@ def within_between(pairs: DataFrame, modules: DataFrame, value: str = "jaccard",
 
 def signed_rank(table: DataFrame, alternative: str = "greater") -> DataFrame:
     """One row (n, v, z, p): Wilcoxon's signed-rank statistic of within - between, zeros dropped, ties at mean ranks, normal approximation
-    with tie and continuity correction, for the alternative greater, less or two.sided."""
+    with tie and continuity correction, for the alternative greater, less or two.sided. Where no difference is left, n is 0 and the others are null."""
     d = table.select((F.col("within") - F.col("between")).alias("d")).where("d <> 0").withColumn("a", F.round(F.abs("d"), 12))
     levels = d.groupBy("a").agg(F.count("*").alias("c"), F.sum((F.col("d") > 0).cast("long")).alias("up"))
     ranked_, _ = running(levels, "a", "c", "__upto")
-    s = ranked_.select("c", "up", (F.col("__upto") - (F.col("c") - 1) / 2.0).alias("r")).agg(F.sum("c").cast("double").alias("n"), F.sum(F.col("up") * F.col("r")).alias("v"), F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).cast("double").alias("ties"))
+    s = ranked_.select("c", "up", (F.col("__upto") - (F.col("c") - 1) / 2.0).alias("r")).agg(F.coalesce(F.sum("c"), F.lit(0)).cast("double").alias("n"), F.sum(F.col("up") * F.col("r")).alias("v"), F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).cast("double").alias("ties"))
     n = F.col("n")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0)
     off = F.col("v") - n * (n + 1) / 4.0
     shift = {"greater": F.lit(0.5), "less": F.lit(-0.5), "two.sided": F.signum(off) * 0.5}[alternative]
     out = s.select(n.cast("long").alias("n"), "v", F.try_divide(off - shift, sd).alias("z"))
     tail = {"greater": upper_tail(F.col("z")), "less": upper_tail(-F.col("z")), "two.sided": F.least(F.lit(1.0), 2.0 * upper_tail(F.abs("z")))}[alternative]
-    return out.withColumn("p", tail)
+    return out.withColumn("p", F.when(F.col("z").isNotNull(), tail))
 
 
 def sign_flips(table: DataFrame, n_perm: int, alternative: str = "greater") -> DataFrame:

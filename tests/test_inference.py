@@ -91,6 +91,13 @@ def test_wilcoxon(spark):
     assert inference.sign_flips(t, 50).first().p <= 1
 
 
+@pytest.mark.parametrize("rows", [[], [("g1", 1.0, 1.0), ("g2", 0.5, 0.5)]])
+@pytest.mark.parametrize("alternative", ["greater", "less", "two.sided"])
+def test_wilcoxon_without_differences(spark, rows, alternative):
+    t = spark.createDataFrame(rows, "gene string, within double, between double")
+    assert tuple(inference.signed_rank(t, alternative).first()) == (0, None, None, None)
+
+
 def test_migration_is_idempotent_and_stale_inputs_fail(spark):
     rows = spark.createDataFrame([("a", "xenium", 1), ("b", "xenium", 2), ("__scope_platform__", "cosmx", None)], "gene string, platform string, cluster int")
     once, found = metadata.migrated(rows, {}, {"dataset": "d"})
