@@ -448,7 +448,10 @@ def quantile_strata(spark: S, sf: str) -> DataFrame:
 
 @query("WIN09_first_occurrence", "SELECT l_partkey, min(l_orderkey * 8 + l_linenumber) AS mol_id, arg_min(l_suppkey, l_orderkey * 8 + l_linenumber) AS l_suppkey FROM lineitem GROUP BY l_partkey")
 def first_occurrence(spark: S, sf: str) -> DataFrame:
-    return tables.first_of(T.table(spark, sf, "lineitem").select("l_partkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("mol_id"), "l_suppkey"), "l_partkey", "mol_id")
+    """Of line items that share a number, the first by its place in the files."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    rows = T.table(spark, sf, "lineitem").select("l_partkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("mol_id"), "l_suppkey", *place)
+    return tables.first_of(rows, "l_partkey", "mol_id", ("file", "row"), known=True)
 
 
 @query("TOP03_variable_genes", with_("xz share", "SELECT gene, round(var_samp(coalesce(s, 0)) * 1000, 6) + 0.0 AS variance FROM (SELECT DISTINCT grid_id, gene FROM xz) LEFT JOIN share USING (grid_id, gene) GROUP BY gene ORDER BY var_samp(coalesce(s, 0)) DESC, gene LIMIT 10"))

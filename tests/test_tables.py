@@ -1,6 +1,8 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from tessella.operators import tables
 
 
@@ -27,6 +29,26 @@ def test_pairs_metadata_and_first(spark):
     assert {tuple(r) for r in tables.first_of(rows, "k", "o").collect()} == {("a", 3, "w"), ("b", None, "v")}
 
 
+def test_first_of_nulls_and_ties(spark):
+    rows = spark.createDataFrame([("a", None, "x", 1), ("a", 5, None, 2), ("a", 5, "z", 3), ("a", 5, "y", 4), ("a", 6, "a", 0), ("b", None, "v", 5), ("c", 1, None, 6)], "k string, o int, s string, at int")
+    got = lambda *a: {tuple(r) for r in tables.first_of(rows, "k", "o", *a).collect()}
+    assert got(("at",)) == {("a", 5, None), ("b", None, "v"), ("c", 1, None)}
+    assert got(("at",), True) == {("a", 5, "z"), ("b", None, None), ("c", 1, None)}
+    assert got() == {("a", 5, None, 2), ("b", None, "v", 5), ("c", 1, None, 6)}
+
+
+def test_first_occurrence_of_repeated_numbers(spark, tmp_path):
+    """Line items with the same number count in the order of the file, as in the SQL on one thread; nulls are passed over."""
+    rows = [(1, 1, 9, 2), (1, 1, 3, 2), (2, 1, 1, 1), (1, 2, None, 1), (1, 2, 8, 1), (1, 2, 7, 1), (None, 3, 5, 1), (4, 3, 6, 1), (4, 4, None, 1), (None, 5, 2, 1), (1, None, 4, 1), (1, None, 2, 1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = set(con.execute(__spark_entry__.oracle_sql()["WIN09_first_occurrence"]).fetchall())
+    got = {tuple(r) for r in __spark_entry__.queries()["WIN09_first_occurrence"](spark, str(tmp_path)).collect()}
+    assert got == want == {(1, 10, 9), (2, 9, 8), (3, 33, 6), (4, 33, None), (5, None, None), (None, 9, 4)}
+
+
 def test_sets(spark):
     t = lambda *g: spark.createDataFrame([(x,) for x in g], "gene string")
     names = lambda d: sorted(r.gene for r in d.collect())
