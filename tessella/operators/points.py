@@ -87,21 +87,43 @@ def is_box(ring: Column) -> Column:
     return F.coalesce((F.size(ring) == 5) & (at(0) == at(4)) & reduce(Column.__and__, [along(i) for i in range(4)]) & apart(0) & apart(1), F.lit(False))
 
 
+#: Bits of the table that tells where polygons lie.
+NEAR_BITS = 1 << 20
+
+
+def near_boxes(points: DataFrame, boxed: DataFrame, x: str, y: str) -> DataFrame:
+    """points without most of those that no box (__x0, __x1, __y0, __y1, of a __side near its own) can hold: squares of the largest side that
+    boxes touch set bits of a table of 128 KB, by their hash. It is a plain filter, so joins below points take it before they shuffle."""
+    top = boxed.select("__side").distinct().agg(F.max("__side").alias("__top"))
+    at = lambda c: F.floor(F.col(c) / F.col("__top"))
+    bit = lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(NEAR_BITS)).cast("int")
+    squares = boxed.crossJoin(F.broadcast(top)).withColumn("__sx", F.explode(F.sequence(at("__x0"), at("__x1")))).withColumn("__sy", F.explode(F.sequence(at("__y0"), at("__y1"))))
+    words = squares.select(bit("__sx", "__sy").alias("__bit")).groupBy(F.shiftright("__bit", 6).alias("__word")).agg(F.expr("bit_or(shiftleft(1L, __bit & 63))").alias("__set"))
+    every = boxed.sparkSession.range(NEAR_BITS // 64).select(F.col("id").cast("int").alias("__word")).join(words, "__word", "left")
+    table = every.agg(F.array_sort(F.collect_list(F.struct("__word", F.coalesce("__set", F.lit(0).cast("long")).alias("__set")))).alias("t")).select(F.col("t")["__set"])
+    mine = bit(F.floor(F.col(x) / top.scalar()), F.floor(F.col(y) / top.scalar()))
+    word = F.get(table.scalar(), F.shiftright(mine, 6))
+    return points.where(F.call_function("shiftright", word, mine.bitwiseAND(63)).bitwiseAND(F.lit(1)) == 1)
+
+
 def locate(points: DataFrame, polygons: DataFrame, cell: float, x: str = "x", y: str = "y") -> DataFrame:
     """points joined with the polygons (label_id, ring) they are strictly inside of. Polygons are dealt to the squares that their boxes
     touch, of a side near their own: `cell` halved or doubled until it is, so that a polygon has nine squares at most. Points stand in
     one square of each side that occurs and meet only polygons of it whose box holds them: an equi-join whatever the numbers. Only rings
-    that aren't boxes themselves need a look at their edges; they have a join of their own, so that the other stays compiled."""
+    that aren't boxes themselves need a look at their edges; they have a join of their own, so that the other stays compiled. Polygons of
+    the same ring are met once and listed after that, and points far from all polygons go before anything is shuffled."""
     end = lambda f, k: f(F.transform("ring", lambda p: p[k]))
     boxed = polygons.select("label_id", "ring", *[end(f, k).alias(f"__{k}{n}") for k in "xy" for n, f in enumerate((F.array_min, F.array_max))], is_box(F.col("ring")).alias("__box"))
     extent = F.greatest(F.col("__x1") - F.col("__x0"), F.col("__y1") - F.col("__y0"))
     boxed = boxed.where((F.col("__x0") < F.col("__x1")) & (F.col("__y0") < F.col("__y1")) & (extent < float("inf")))
     boxed = boxed.withColumn("__side", cell * F.pow(F.lit(2.0), F.round(F.log2(extent / cell))))
     at = lambda c: F.floor(F.col(c) / F.col("__side"))
-    dealt = boxed.withColumn("__sx", F.explode(F.sequence(at("__x0"), at("__x1")))).withColumn("__sy", F.explode(F.sequence(at("__y0"), at("__y1"))))
-    placed = points.crossJoin(F.broadcast(boxed.select("__side").distinct())).withColumns({"__sx": at(x), "__sy": at(y)})
+    box = ["__x0", "__x1", "__y0", "__y1", "__side"]
+    once = lambda some, *more: some.groupBy(*box, *more).agg(F.collect_list(F.struct("label_id")).alias("__labels"))  # noqa: E731  # structs, as lists leave out nulls
+    dealt = lambda some: some.withColumn("__sx", F.explode(F.sequence(at("__x0"), at("__x1")))).withColumn("__sy", F.explode(F.sequence(at("__y0"), at("__y1"))))
+    placed = near_boxes(points, boxed, x, y).crossJoin(F.broadcast(boxed.select("__side").distinct())).withColumns({"__sx": at(x), "__sy": at(y)})
     held = (F.col(x) > F.col("__x0")) & (F.col(x) < F.col("__x1")) & (F.col(y) > F.col("__y0")) & (F.col(y) < F.col("__y1"))
-    met = lambda some: placed.join(some, ["__side", "__sx", "__sy"]).where(held)
-    boxes = met(dealt.where("__box")).drop("ring")
-    others = met(dealt.where("NOT __box")).where(crosses(F.col(x), F.col(y), F.col("ring"))).drop("ring")
-    return boxes.union(others).drop("__side", "__sx", "__sy", "__x0", "__x1", "__y0", "__y1", "__box")
+    met = lambda some: placed.join(dealt(some), ["__sx", "__sy", "__side"]).where(held)
+    boxes = met(once(boxed.where("__box")))
+    others = met(once(boxed.where("NOT __box"), "ring")).where(crosses(F.col(x), F.col(y), F.col("ring"))).drop("ring")
+    return boxes.union(others).select("*", F.inline("__labels")).drop("__sx", "__sy", "__labels", *box)

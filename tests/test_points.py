@@ -60,6 +60,47 @@ def test_locate_polygons_of_all_sizes(spark):
     assert sorted(got) == sorted(want) and {int(n[1:]) % 6 for _, n in got} == {0, 1, 2, 3, 5}
 
 
+def written_and_met(df):
+    """Rows that shuffles wrote in the run of df, and rows that came out of its joins by sorting or hashing."""
+    written, met, todo = [], [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        elif name != "ReusedExchange":
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+            if name == "Exchange":
+                written.append(node.metrics().apply("shuffleRecordsWritten").value())
+            if name in ("SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin"):
+                met.append(node.metrics().apply("numOutputRows").value())
+    return sum(written), sum(met)
+
+
+def test_locate_shuffles_only_near_points_and_meets_copies_once(spark):
+    """2,000 points of a join, 20 of them in forty boxes of one place and twenty diamonds of another; a label that is null is one too."""
+    pts = spark.range(2000).select("id", (F.col("id") % 100 + 0.5).alias("x"), (F.floor(F.col("id") / 100) * 1000 + 0.5).alias("y"))
+    pts = pts.join(spark.range(2000).hint("merge"), "id")
+    box, diamond = [(5.0, 0.0), (15.0, 0.0), (15.0, 10.0), (5.0, 10.0)], [(35.5, -4.5), (40.5, 0.5), (35.5, 5.5), (30.5, 0.5)]
+    rings = [(f"b{i}" if i else None, [*box, box[0]]) for i in range(40)] + [(f"d{i}", [*diamond, diamond[0]]) for i in range(20)]
+    poly = spark.createDataFrame(rings, "label_id string, ring array<struct<x: double, y: double>>")
+    out = points.locate(pts, poly, 8.0).select("id", "label_id")
+    got = [(r.id, r.label_id) for r in out.collect()]
+    want = [(i, n) for i in range(5, 15) for n, _ in rings[:40]] + [(i, n) for i in range(31, 40) for n, _ in rings[40:]]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    written, met = written_and_met(out)
+    assert written < 2000 + 300 and met < 2 * 100  # the join's other side is all that is shuffled whole
+
+
+def test_near_boxes_leaves_out_no_held_point(spark):
+    pts = spark.createDataFrame([(1.5, 1.5), (1000.5, 7.0), (None, 1.0), (float("nan"), 1.0), (float("inf"), 1.0), (9e5, 9e5)], "x double, y double")
+    boxed = spark.createDataFrame([(1.0, 2.0, 1.0, 2.0, 1.0), (990.0, 1010.0, -5.0, 9.0, 16.0)], "__x0 double, __x1 double, __y0 double, __y1 double, __side double")
+    assert {(1.5, 1.5), (1000.5, 7.0)} <= (kept := {(r.x, r.y) for r in points.near_boxes(pts, boxed, "x", "y").collect()}) and (9e5, 9e5) not in kept
+    assert points.near_boxes(pts, boxed.limit(0), "x", "y").count() == 0 == points.locate(pts, spark.createDataFrame([], "label_id string, ring array<struct<x: double, y: double>>"), 1.0).count()
+
+
 @pytest.mark.parametrize(("ring", "box"), [("0 0 2 0 2 1 0 1 0 0", True), ("0 1 2 1 2 0 0 0 0 1", True), ("0 0 0 1 2 1 2 0 0 0", True), ("0 0 2 0 2 1 0 2 0 0", False), ("0 0 2 0 0 0 2 0 0 0", False), ("0 0 2 1 2 0 0 1 0 0", False), ("1 0 2 1 1 2 0 1 1 0", False), ("0 0 2 0 2 1 0 0", False), ("0 0 2 0 2 1 0 1 0 2", False), ("0 0 0 0 2 1 2 1 0 0", False)])
 def test_which_rings_are_boxes(spark, ring, box):
     v = [float(c) for c in ring.split()]
