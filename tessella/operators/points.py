@@ -111,19 +111,23 @@ def locate(points: DataFrame, polygons: DataFrame, cell: float, x: str = "x", y:
     touch, of a side near their own: `cell` halved or doubled until it is, so that a polygon has nine squares at most. Points stand in
     one square of each side that occurs and meet only polygons of it whose box holds them: an equi-join whatever the numbers. Only rings
     that aren't boxes themselves need a look at their edges; they have a join of their own, so that the other stays compiled. Polygons of
-    the same ring are met once and listed after that, and points far from all polygons go before anything is shuffled."""
+    the same ring are met once and listed after that, and points far from all polygons go before anything is shuffled. A square's points are
+    in one task, by their place, so that results have the same lists one after the other, which files hold in little; as the join
+    multiplies rows, parts are four times as many as the session's shuffles have and aren't merged."""
     end = lambda f, k: f(F.transform("ring", lambda p: p[k]))
     boxed = polygons.select("label_id", "ring", *[end(f, k).alias(f"__{k}{n}") for k in "xy" for n, f in enumerate((F.array_min, F.array_max))], is_box(F.col("ring")).alias("__box"))
     extent = F.greatest(F.col("__x1") - F.col("__x0"), F.col("__y1") - F.col("__y0"))
     boxed = boxed.where((F.col("__x0") < F.col("__x1")) & (F.col("__y0") < F.col("__y1")) & (extent < float("inf")))
-    boxed = boxed.withColumn("__side", cell * F.pow(F.lit(2.0), F.round(F.log2(extent / cell))))
+    boxed = boxed.withColumn("__level", F.round(F.log2(extent / cell)).cast("int")).withColumn("__side", cell * F.pow(F.lit(2.0), F.col("__level")))
     at = lambda c: F.floor(F.col(c) / F.col("__side"))
-    box = ["__x0", "__x1", "__y0", "__y1", "__side"]
+    box = ["__x0", "__x1", "__y0", "__y1", "__level", "__side"]
     once = lambda some, *more: some.groupBy(*box, *more).agg(F.collect_list(F.struct("label_id")).alias("__labels"))  # noqa: E731  # structs, as lists leave out nulls
     dealt = lambda some: some.withColumn("__sx", F.explode(F.sequence(at("__x0"), at("__x1")))).withColumn("__sy", F.explode(F.sequence(at("__y0"), at("__y1"))))
-    placed = near_boxes(points, boxed, x, y).crossJoin(F.broadcast(boxed.select("__side").distinct())).withColumns({"__sx": at(x), "__sy": at(y)})
+    placed = near_boxes(points, boxed, x, y).crossJoin(F.broadcast(boxed.select("__level", "__side").distinct())).withColumns({"__sx": at(x), "__sy": at(y)}).drop("__side")
+    square = ["__sx", "__sy", "__level"]
+    placed = placed.repartition(4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), *square).sortWithinPartitions(*square, x, y)
     held = (F.col(x) > F.col("__x0")) & (F.col(x) < F.col("__x1")) & (F.col(y) > F.col("__y0")) & (F.col(y) < F.col("__y1"))
-    met = lambda some: placed.join(dealt(some), ["__sx", "__sy", "__side"]).where(held)
+    met = lambda some: placed.join(dealt(some), square).where(held)
     boxes = met(once(boxed.where("__box")))
     others = met(once(boxed.where("NOT __box"), "ring")).where(crosses(F.col(x), F.col(y), F.col("ring"))).drop("ring")
     return boxes.union(others).select("*", F.inline("__labels")).drop("__sx", "__sy", "__labels", *box)
